@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import cpu_percent, seconds_between
+from metricloom.functions.scalars import MICROS, cpu_percent, micros, seconds_between
 from metricloom.operators.chunks import CHUNK, DAY, positions, previous_values, with_halo, with_row_halo
 
 
@@ -82,8 +82,7 @@ def trailing_count(
     """Number of rows of the key in the last ``seconds``, the current row included."""
     chunked = with_halo(events, ts, chunk_seconds, before=seconds)
     frame = (
-        Window.partitionBy(*keys, CHUNK).orderBy(F.col(ts).cast("timestamp"))
-        .rangeBetween(F.expr(f"INTERVAL '-{seconds}' SECOND"), F.expr("INTERVAL '0' SECOND"))
+        Window.partitionBy(*keys, CHUNK).orderBy(micros(ts)).rangeBetween(-seconds * MICROS, 0)
     )
     return chunked.withColumn(name, F.count(F.lit(1)).over(frame)).filter("_own").drop("_own", CHUNK)
 
