@@ -34,9 +34,8 @@ def regular_grid(points: DataFrame, step_seconds: int = 60) -> DataFrame:
     aggregated buckets, whose number is bounded by the time span.
     """
     step = step_seconds * MICROS
-    span = points.select(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    lo = micros(floor_time(span.select("lo").scalar(), step_seconds))
-    hi = micros(floor_time(span.select("hi").scalar(), step_seconds))
+    span = points.select(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
+    lo, hi = (micros(floor_time(span[end], step_seconds)) for end in ("lo", "hi"))
     buckets = (
         mean_per_timestamp(points)
         .groupBy("name", micros(floor_time("ts", step_seconds)).alias("m"))
