@@ -1,13 +1,23 @@
-"""Operation, rollback and snapshot logs."""
+"""Operation, rollback, container, snapshot and proposal logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import MICROS, floor_time, micros
+from metricloom.functions.scalars import MICROS, floor_time, micros, seconds_between
+from metricloom.operators.chunks import (
+    CHUNK, DAY, positions, prefix_by_chunk, previous_values, running_total, with_chunk,
+)
 
 BUCKET = 3600
+# Timeouts and the number of cluster nodes.
+OPERATION_TIMEOUT = 300
+PROPOSAL_SECONDS = 30
+COOLDOWN = 300
+NODES = 3
 
 
 def operation_metrics(points: DataFrame, operations: DataFrame, key: str, bucket_seconds: int = BUCKET) -> DataFrame:
@@ -30,3 +40,221 @@ def operation_metrics(points: DataFrame, operations: DataFrame, key: str, bucket
         .groupBy("operation_id", floor_time("ts", 60).alias("minute"))
         .agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n_points"))
     )
+
+
+def history(
+    log: DataFrame, kind: str, ts: str, key: str, value: str | None = None,
+    start: Column | None = None, end: Column | None = None, limit: int | None = None,
+) -> DataFrame:
+    """Log rows of one type and time range (inclusive), newest first."""
+    if value is not None:
+        log = log.filter(F.col(kind) == value)
+    if start is not None:
+        log = log.filter(F.col(ts) >= start)
+    if end is not None:
+        log = log.filter(F.col(ts) <= end)
+    log = log.orderBy(F.col(ts).desc(), F.col(key).desc())
+    return log.limit(limit) if limit else log
+
+
+def filter_events(
+    events: DataFrame, types: Sequence[str] | None = None, sources: Sequence | None = None,
+    start: Column | None = None, end: Column | None = None, metadata: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Events by type list, source list, time range and metadata equality; each optional."""
+    if types:
+        events = events.filter(F.col("event_type").isin(list(types)))
+    if sources:
+        events = events.filter(F.col("source").isin(list(sources)))
+    if start is not None:
+        events = events.filter(F.col("ts") >= start)
+    if end is not None:
+        events = events.filter(F.col("ts") <= end)
+    for field, value in (metadata or {}).items():
+        events = events.filter(F.get_json_object("metadata", f"$.{field}") == value)
+    return events
+
+
+def flag_timeouts(operations: DataFrame, now: Column, seconds: int = OPERATION_TIMEOUT) -> DataFrame:
+    """Fail operations in progress for longer than the timeout."""
+    late = (F.col("status") == "in_progress") & (seconds_between("created_at", now) > seconds)
+    return operations.withColumns({
+        "error": F.when(late, F.lit("Operation timeout exceeded")),
+        "status": F.when(late, F.lit("failed")).otherwise(F.col("status")),
+    })
+
+
+def rolled_back(operations: DataFrame) -> DataFrame:
+    """Failed operations whose rollback operation completed become rolled_back."""
+    rollbacks = operations.filter(F.col("rollback_for").isNotNull()).select(
+        F.col("rollback_for").alias("operation_id"), F.col("status").alias("_rollback_status")
+    ).groupBy("operation_id").agg(F.max((F.col("_rollback_status") == "completed").cast("int")).alias("_done"))
+    undone = (F.col("status") == "failed") & (F.coalesce("_done", F.lit(0)) == 1)
+    return operations.join(rollbacks, "operation_id", "left").withColumn(
+        "status", F.when(undone, F.lit("rolled_back")).otherwise(F.col("status"))
+    ).drop("_done")
+
+
+def rollback_outcome(steps: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Overall status and the joined failure texts of each operation's steps.
+
+    The texts of one operation are gathered in step order; a plan holds a
+    bounded list of steps.
+    """
+    failed = F.when(F.col("status") == "failed", F.struct(*order, "error"))
+    return steps.groupBy("operation_id").agg(
+        F.when(F.bool_and(F.col("status") == "completed"), "completed").otherwise("failed").alias("status"),
+        F.array_join(F.transform(
+            F.sort_array(F.collect_list(failed)),
+            lambda s: F.concat(F.lit("Step "), s[order[0]].cast("string"), F.lit(" failed: "), s["error"]),
+        ), "\n").alias("error"),
+    )
+
+
+def state_snapshots(steps: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Map step -> {before, after} per operation; the last entry of a step wins."""
+    last = steps.groupBy("operation_id", "step_id").agg(
+        F.max_by(F.struct("before", "after"), F.struct(*order)).alias("state")
+    )
+    return last.groupBy("operation_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("step_id", "state")))).alias("states")
+    )
+
+
+def step_durations(steps: DataFrame, start: str, end: str) -> DataFrame:
+    return steps.withColumn("duration_seconds", seconds_between(start, end))
+
+
+def container_retention(containers: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Drop records of deleted containers that finished more than ``days`` ago."""
+    old = (F.col("state") == "deleted") & (seconds_between("finished_at", now) > days * DAY)
+    return containers.filter(~F.coalesce(old, F.lit(False)))
+
+
+def merge_config(defaults: Column, given: Column) -> Column:
+    """Defaults with the given entries on top."""
+    kept = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(given, k))
+    return F.map_concat(kept, given)
+
+
+# --- snapshots -----------------------------------------------------------------------
+
+
+def snapshot_log(snapshots: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """Version per type (from 1), parent snapshot and checksum of the data."""
+    numbered = positions(snapshots, ["state_type"], "ts", [key], "version")
+    linked = previous_values(numbered, ["state_type"], "ts", [key], {"parent_id": key})
+    return linked.withColumn("version", F.col("version") + 1).withColumn("checksum", F.sha2("data", 256))
+
+
+def latest_snapshots(log: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct(*[c for c in log.columns if c != "state_type"]), F.col("version"))
+    return log.groupBy("state_type").agg(newest.alias("_s")).select("state_type", "_s.*")
+
+
+def snapshot_at(log: DataFrame, state_type: str, version: int) -> DataFrame:
+    return log.filter((F.col("state_type") == state_type) & (F.col("version") == version))
+
+
+def version_gate(
+    updates: DataFrame, self_node, ts: str = "ts", tie_break: Sequence[str] = ("update_id",), chunk_seconds: int = 30 * DAY
+) -> DataFrame:
+    """Updates applied in arrival order: not from this node and newer than the version held."""
+    foreign = with_chunk(updates.filter(F.col("node") != self_node), ts, chunk_seconds)
+    before = prefix_by_chunk(foreign, ["state_type"], {"_pre": (F.max("version"), "max")})
+    earlier = (
+        Window.partitionBy("state_type", CHUNK).orderBy(ts, *tie_break).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    held = F.greatest(F.col("_pre"), F.col("_local"))  # greatest skips nulls
+    return (
+        foreign.withColumn("_local", F.max("version").over(earlier))
+        .join(before, ["state_type", CHUNK])
+        .filter(F.col("version") > F.coalesce(held, F.lit(0)))
+        .drop("_pre", "_local", CHUNK)
+    )
+
+
+def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """One page (from 1) of an ordered listing with the total count."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total_count", total)
+
+
+# --- proposals and votes -------------------------------------------------------------
+
+
+def first_proposals(messages: DataFrame, order: Sequence[str], lifetime_seconds: int = PROPOSAL_SECONDS) -> DataFrame:
+    """The first message of each proposal with its expiration."""
+    fields = [c for c in messages.columns if c != "proposal_id"]
+    first = F.min_by(F.struct(*fields), F.struct("ts", *order))
+    return messages.groupBy("proposal_id").agg(first.alias("_f")).select("proposal_id", "_f.*").withColumn(
+        "expiration", F.col("ts") + F.expr(f"INTERVAL {lifetime_seconds} SECONDS")
+    )
+
+
+def allowed_proposals(proposals: DataFrame, allowed_types: DataFrame, cluster: DataFrame) -> DataFrame:
+    """Proposals of an allowed type from a member of the cluster."""
+    return proposals.join(allowed_types, "proposal_type", "left_semi").join(cluster, "proposer", "left_semi")
+
+
+def accepted_votes(votes: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Votes cast before their proposal expired."""
+    limits = proposals.select("proposal_id", "expiration")
+    return votes.join(limits, "proposal_id").filter(F.col("ts") <= F.col("expiration"))
+
+
+def tally(votes: DataFrame, order: Sequence[str], nodes: int = NODES) -> DataFrame:
+    """Last vote per voter, then the consensus state of each proposal.
+
+    Accepted with q yes votes, rejected when q votes are in and more than n - q
+    are no; q = n // 2 + 1.
+    """
+    quorum = nodes // 2 + 1
+    last = votes.groupBy("proposal_id", "voter").agg(F.max_by("vote", F.struct(*order)).alias("vote"))
+    counts = last.groupBy("proposal_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("vote").alias("yes"))
+    enough = F.col("total") >= quorum
+    state = (
+        F.when(enough & (F.col("yes") >= quorum), "accepted")
+        .when(enough & (F.col("total") - F.col("yes") > nodes - quorum), "rejected")
+        .otherwise("open")
+    )
+    return counts.withColumn("state", state)
+
+
+def final_status(proposals: DataFrame, tallied: DataFrame, now: Column) -> DataFrame:
+    """Accepted proposals are executed, rejected ones kept, undecided ones removed once expired."""
+    joined = proposals.join(tallied.select("proposal_id", "state"), "proposal_id", "left")
+    state = F.coalesce("state", F.lit("open"))
+    return (
+        joined.withColumn("state", F.when(state == "accepted", "executed").otherwise(state))
+        .filter((F.col("state") != "open") | (F.col("expiration") >= now))
+    )
+
+
+def apply_cooldown(
+    candidates: DataFrame, keys: list[str], ts: str, tie_break: list[str], seconds: int = COOLDOWN
+) -> DataFrame:
+    """Mark the candidates applied when each applied one silences its key for ``seconds``.
+
+    A candidate at least ``seconds`` after the previous candidate is always
+    applied, so the key falls into independent islands; the ordered fold runs
+    inside each island, all islands in parallel.
+    """
+    before = previous_values(candidates, keys, ts, tie_break, {"_prev": ts})
+    fresh = F.col("_prev").isNull() | (seconds_between("_prev", ts) >= seconds)
+    numbered = running_total(before, keys, ts, tie_break, {"_island": fresh.cast("bigint")})
+    rows = F.struct(F.col(ts).alias("t"), *tie_break)
+    islands = numbered.groupBy(*keys, "_island").agg(F.sort_array(F.collect_list(rows)).alias("rows"))
+    start = F.struct(
+        F.lit(None).cast("bigint").alias("last"),
+        F.filter(F.transform("rows", lambda r: F.struct(r["t"].alias(ts), *[r[c].alias(c) for c in tie_break], F.lit(True).alias("applied"))), lambda r: F.lit(False)).alias("out"),
+    )
+
+    def step(acc: Column, r: Column) -> Column:
+        go = acc["last"].isNull() | (micros(r["t"]) - acc["last"] >= seconds * MICROS)
+        return F.struct(
+            F.when(go, micros(r["t"])).otherwise(acc["last"]).alias("last"),
+            F.array_append(acc["out"], F.struct(r["t"].alias(ts), *[r[c].alias(c) for c in tie_break], go.alias("applied"))).alias("out"),
+        )
+
+    return islands.select(*keys, F.inline(F.aggregate("rows", start, step)["out"]))
