@@ -74,6 +74,11 @@ def text(*parts: Any) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
+def steady(value: Column) -> Column:
+    """Drop float noise before a number is shown with few decimals (halves round up)."""
+    return F.round(value, 9)
+
+
 def schema_checks(schema: Mapping[str, Any], get: Getter) -> list[tuple[str, Column]]:
     """(path, message-or-null) of every check: required fields first, then properties."""
     checks: list[tuple[str, Column]] = [
@@ -134,7 +139,7 @@ def pattern_checks(pattern: str, baselines: Mapping[str, Mapping[str, float]] =
             "Value ", v.cast("string"), f" for {field} is outside expected range [{base['min']:g}, {base['max']:g}]"
         )))
         warnings.append(F.when(z > MAX_Z, F.format_string(
-            f"Value %s for {field} is statistically unusual (z-score: %.2f)", v.cast("string"), z
+            f"Value %s for {field} is statistically unusual (z-score: %.2f)", v.cast("string"), steady(z)
         )))
     odd = (get("cpu_usage") > 0.9) & (get("memory_usage") < 0.1)
     warnings.append(F.when(odd, "Unusual relationship between CPU and memory usage"))
@@ -165,7 +170,7 @@ def relation_warnings(pattern: str, outcome: str) -> Column:
     cpu, mem = p("cpu_usage"), p("memory_usage")
     both = cpu.isNotNull() & mem.isNotNull()
     top = F.greatest(cpu, mem)
-    shown = lambda head: F.format_string(head + " (CPU: %.2f, Memory: %.2f)", cpu, mem)
+    shown = lambda head: F.format_string(head + " (CPU: %.2f, Memory: %.2f)", steady(cpu), steady(mem))
     rate, throughput = p("request_rate"), o("metrics.throughput")
     return messages(
         F.when(both & (o("action") == "scale_out") & (top < 0.5), shown("Scale out action with low resource usage")),
