@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricloom.operators.models import tree_predictions
 from metricloom.operators.windows import latest_rows, sliding_sequences
+from metricloom.session import cut_lineage
 
 # Forecast defaults.
 LINEAR_CONFIDENCE = 0.7
@@ -102,7 +102,10 @@ def forest_forecast(
     inputs = [f"x{j}" for j in range(lags)] + ["hour"]
     as_columns = [F.element_at("features", j + 1).alias(f"x{j}") for j in range(lags)]
     assembler = VectorAssembler(inputCols=inputs, outputCol="x")
-    train = assembler.transform(frame.select(*as_columns, F.hour("h").cast("double").alias("hour"), "target"))
+    # the fit reads its input several times: written once, it is not recomputed
+    train = assembler.transform(cut_lineage(
+        frame.select(*as_columns, F.hour("h").cast("double").alias("hour"), "target")
+    ))
     model = RandomForestRegressor(
         featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed
     ).fit(train)
@@ -116,14 +119,10 @@ def forest_forecast(
     )
     future = _future(last, horizon_seconds // step_seconds, step_seconds)
     rows = assembler.transform(future.select("name", "ts", *as_columns, F.hour("ts").cast("double").alias("hour")))
-    votes = []
-    for n, tree in enumerate(model.trees):
-        rows = tree.setPredictionCol(f"_t{n}").transform(rows)
-        votes.append(F.col(f"_t{n}"))
-    mean = reduce(lambda a, b: a + b, votes) / len(votes)
-    spread = reduce(lambda a, b: a + b, [(v - mean) * (v - mean) for v in votes]) / len(votes)
+    rows = rows.withColumn("_spread", tree_predictions(grid.sparkSession, model)(F.col("x")))
     return rows.select(
-        "name", "ts", mean.alias("value"), F.sqrt(spread).alias("confidence"), F.lit("random_forest").alias("model")
+        "name", "ts", F.col("_spread.mean").alias("value"), F.col("_spread.deviation").alias("confidence"),
+        F.lit("random_forest").alias("model"),
     )
 
 
