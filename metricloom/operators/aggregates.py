@@ -10,14 +10,14 @@ from metricloom.functions.scalars import MICROS, floor_time, from_micros, micros
 AGGREGATIONS = ("sum", "avg", "min", "max", "count", "percentile")
 
 
-def exact_quantile(
-    df: DataFrame, keys: list[str], value: str, q: float = 0.95, name: str = "p95", accuracy: int = 10_000
+def _ranked_pass(
+    df: DataFrame, keys: list[str], value: str, q: float, accuracy: int, extra: list[Column]
 ) -> DataFrame:
-    """Exact linear-interpolated quantile per key, safe for keys of any size.
+    """Two scans: a sketch that brackets the quantile, then counts of what lies inside.
 
-    A mergeable sketch first brackets the quantile; the second scan collapses
-    everything below the bracket into one row per key, drops what lies above,
-    and ranks only the distinct values inside.  No task holds a whole key.
+    The second scan folds everything below the bracket into one row per key and
+    everything above into another, so only the distinct values inside are ever
+    ordered.  No task holds a whole key, and the result is exact.
     """
     eps = 3.0 / accuracy
     rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
@@ -32,11 +32,14 @@ def exact_quantile(
         F.when(~whole, F.col("_b")[0]).alias("_lo"),
         F.when(~whole, F.col("_b")[1]).alias("_hi"),
     )
-    inside = rows.join(sketch, keys).filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    clipped = F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v"))
-    counted = inside.groupBy(*keys, "_n", clipped.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    v = F.col("_v")
+    # null sorts before, NaN after every value of the bracket
+    folded = F.when(v > F.col("_hi"), F.lit(float("nan"))).when(F.col("_lo").isNull() | (v >= F.col("_lo")), v)
+    counted = rows.join(sketch, keys).groupBy(*keys, "_n", folded.alias("_f")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+    )
     up_to = (
-        Window.partitionBy(*keys, "_n").orderBy(F.col("_v").asc_nulls_first())
+        Window.partitionBy(*keys, "_n").orderBy(F.col("_f").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = counted.withColumn("_end", F.sum("_c").over(up_to))
@@ -44,22 +47,30 @@ def exact_quantile(
     low, high = F.floor(rank), F.ceil(rank)
 
     def at(position: Column) -> Column:
-        return F.max(F.when((F.col("_end") > position) & (F.col("_end") - F.col("_c") <= position), F.col("_v")))
+        return F.max(F.when((F.col("_end") > position) & (F.col("_end") - F.col("_c") <= position), F.col("_f")))
 
-    picked = ranked.groupBy(*keys, "_n").agg(at(low).alias("_a"), at(high).alias("_z"))
-    return picked.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * (rank - low)).alias(name))
+    picked = ranked.groupBy(*keys, "_n").agg(at(low).alias("_a"), at(high).alias("_z"), *extra)
+    return picked.withColumn("_q", F.col("_a") + (F.col("_z") - F.col("_a")) * (rank - low))
 
 
-def range_aggregates(points: DataFrame, keys: list[str], value: str = "value", q: float = 0.95) -> DataFrame:
-    """Sum, mean, min, max, count and quantile of each series."""
-    simple = points.groupBy(*keys).agg(
-        F.sum(value).alias("sum_value"),
-        F.avg(value).alias("avg_value"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        F.count(value).alias("n_points"),
+def exact_quantile(
+    df: DataFrame, keys: list[str], value: str, q: float = 0.95, name: str = "p95", accuracy: int = 10_000
+) -> DataFrame:
+    """Exact linear-interpolated quantile per key, safe for keys of any size."""
+    return _ranked_pass(df, keys, value, q, accuracy, []).select(*keys, F.col("_q").alias(name))
+
+
+def range_aggregates(
+    points: DataFrame, keys: list[str], value: str = "value", q: float = 0.95, accuracy: int = 10_000
+) -> DataFrame:
+    """Sum, mean, min, max, count and exact quantile of each series, all from the same two scans."""
+    extra = [F.sum("_s").alias("_s"), F.min("_min").alias("_min"), F.max("_max").alias("_max")]
+    return _ranked_pass(points, keys, value, q, accuracy, extra).select(
+        *keys,
+        F.col("_s").alias("sum_value"), (F.col("_s") / F.col("_n")).alias("avg_value"),
+        F.col("_min").alias("min_value"), F.col("_max").alias("max_value"),
+        F.col("_n").alias("n_points"), F.col("_q").alias("p_value"),
     )
-    return simple.join(exact_quantile(points, keys, value, q, "p_value"), keys, "left")
 
 
 def windowed_aggregates(

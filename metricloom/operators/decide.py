@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import clamp
 from metricloom.operators.quality import messages, steady
-from metricloom.operators.windows import latest_rows
 
 # Limits, weights and lookup tables of the decision rules.
 HIGH_UTILISATION, LOW_UTILISATION, LOW_FORECAST = 0.7, 0.3, 0.5
@@ -281,7 +280,7 @@ def judged_decisions(decisions: DataFrame, impacts: DataFrame, order: Sequence[s
 
 def success_rates(judged: DataFrame, order: list[Column], last: int = HISTORY) -> DataFrame:
     """Success rate per (decision_type, action) among the newest decisions."""
-    newest = latest_rows(judged.withColumn("_all", F.lit(1)), ["_all"], order, last)
+    newest = judged.orderBy(*order).limit(last)
     return newest.groupBy("decision_type", "action").agg(
         F.avg(F.col("success").cast("double")).alias("success_rate"), F.count(F.lit(1)).alias("n_decisions")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.operators.models import tree_predictions
-from metricloom.operators.windows import latest_rows, sliding_sequences
+from metricloom.operators.windows import sliding_sequences
 from metricloom.session import cut_lineage
 
 # Forecast defaults.
@@ -137,7 +137,7 @@ def model_weights(errors: DataFrame, models: DataFrame, order: list[Column], las
 
     A mean error of zero counts as 1e-9, so a perfect model takes all the weight.
     """
-    newest = latest_rows(errors.withColumn("_all", F.lit(1)), ["_all"], order, last)
+    newest = errors.orderBy(*order).limit(last)
     mae = newest.groupBy("model").agg(F.avg("error").alias("mae"))
     inverse = F.when(F.col("mae").isNull(), F.lit(0.0)).otherwise(1 / F.greatest("mae", F.lit(ERROR_FLOOR)))
     joined = models.join(mae, "model", "left").withColumn("inverse", inverse)

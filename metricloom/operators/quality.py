@@ -230,7 +230,7 @@ def refresh_baselines(
     pattern: str = "pattern", last: int = 1000, min_confidence: float = 0.8,
 ) -> DataFrame:
     """Baseline per field from the newest results that are valid and trusted."""
-    newest = latest_rows(results.withColumn("_all", F.lit(1)), ["_all"], order, last)
+    newest = results.orderBy(*order).limit(last)
     good = newest.filter(F.col("is_valid") & (F.col("confidence") > min_confidence))
     long = good.select(*[F.col(f"{pattern}.{f}").alias(f) for f in fields]).unpivot([], list(fields), "field", "value")
     return long.filter(F.col("value").isNotNull()).groupBy("field").agg(
@@ -247,7 +247,7 @@ def baselines_of(table: DataFrame) -> dict[str, dict[str, float]]:
 
 def validator_metrics(results: DataFrame, order: list[Column], last: int = 100) -> DataFrame:
     """Number of validations and means over the newest ``last``."""
-    newest = latest_rows(results.withColumn("_all", F.lit(1)), ["_all"], order, last)
+    newest = results.orderBy(*order).limit(last)
     means = newest.agg(
         F.avg(F.size("errors")).alias("error_rate"), F.avg(F.size("warnings")).alias("warning_rate"),
         F.avg("confidence").alias("average_confidence"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.operators import clustering, similarity
-from metricloom.operators.aggregates import exact_quantile
+from metricloom.operators.aggregates import exact_quantile, range_aggregates
 from metricloom.operators.chunks import positions, previous_values, running_total
 from metricloom.operators.windows import trailing_count
 
@@ -67,6 +67,16 @@ def test_quantile_with_heavy_copies(spark):
         assert abs(got - np.quantile(values, q)) < 1e-9
 
 
+def test_range_aggregates_of_a_large_key(frame):
+    df, pdf = frame
+    got = {r["key"]: r for r in range_aggregates(df, ["key"], "value", 0.9, accuracy=200).collect()}
+    for key, part in pdf.groupby("key")["value"]:
+        r = got[key]
+        assert r["n_points"] == len(part) and r["min_value"] == part.min() and r["max_value"] == part.max()
+        assert abs(r["sum_value"] - part.sum()) < 1e-6 and abs(r["avg_value"] - part.mean()) < 1e-9
+        assert abs(r["p_value"] - part.quantile(0.9)) < 1e-9
+
+
 def test_best_match_does_not_depend_on_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(120, 6))
