@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.operators.similarity import neighbour_pairs
+from metricloom.operators.similarity import block_pairs
 from metricloom.session import cut_lineage
 
 MAX_ROUNDS = 60
@@ -53,43 +55,162 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _box(columns: list[str], prefix: str = "") -> list[Column]:
+    """Bounding box of a group as two arrays."""
+    return [
+        F.array(*[F.min(c) for c in columns]).alias(f"{prefix}lo"), F.array(*[F.max(c) for c in columns]).alias(f"{prefix}hi"),
+    ]
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+def _gap2(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """Squared distance between two boxes (a point is a box with lo = hi)."""
+    gap = F.zip_with(
+        F.zip_with(lo_b, hi_a, lambda x, y: x - y), F.zip_with(lo_a, hi_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
+    )
+    return _sum(F.transform(gap, lambda g: g * g))
+
+
+def _reach2(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """Squared distance between the farthest corners of two boxes."""
+    span = F.zip_with(
+        F.zip_with(hi_b, lo_a, lambda x, y: x - y), F.zip_with(hi_a, lo_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y)
+    )
+    return _sum(F.transform(span, lambda g: g * g))
+
+
+def _cell_pairs(cells: DataFrame, width: float, eps2: float, cell_columns: int) -> DataFrame:
+    """Ordered pairs of different cells that hold points within eps of each other, at the least.
+
+    ``inside`` tells that even their farthest points are within eps.
+    """
+    corner = [F.floor(F.col("lo")[i] / F.lit(width)).cast("bigint").alias(f"_g{i}") for i in range(cell_columns)]
+    a = cells.select("cell", "lo", "hi", *corner)
+    b = a.toDF("other", "o_lo", "o_hi", *[f"_g{i}" for i in range(cell_columns)])
+    for i in range(cell_columns):
+        b = b.withColumn(f"_g{i}", F.explode(F.array(*[F.col(f"_g{i}") + d for d in (-1, 0, 1)])))
+    boxes = [F.col(c) for c in ("lo", "hi", "o_lo", "o_hi")]
+    return (
+        a.join(b, [f"_g{i}" for i in range(cell_columns)])
+        .filter((F.col("cell") != F.col("other")) & (_gap2(*boxes) <= eps2))
+        .select("cell", "other", (_reach2(*boxes) <= eps2).alias("inside"))
+    )
+
+
+def _touching(pairs: DataFrame, cores: DataFrame, boxes: DataFrame, eps2: float) -> DataFrame:
+    """Of the given core-cell pairs, those with two core points within eps.
+
+    Only points near the other cell's box are looked at, block by block; a task
+    answers with at most one row per pair.
+    """
+    far = boxes.select(F.col("cell").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    back = pairs.select(F.col("other").alias("cell"), F.col("cell").alias("other"))
+
+    def facing(wanted: DataFrame, id_name: str, first: str, second: str) -> DataFrame:
+        near = _gap2(F.col("x"), F.col("x"), F.col("o_lo"), F.col("o_hi")) <= eps2
+        return cores.join(wanted, "cell").join(far, "other").filter(near).select(
+            F.col(first).alias("u"), F.col(second).alias("v"), F.col("rep").alias(id_name), "x"
+        )
+
+    def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=["u", "v"])
+        a, b = np.stack(p["x"].to_numpy()), np.stack(q["x"].to_numpy())
+        for row in a:
+            if (((b - row) ** 2).sum(axis=1) <= eps2).any():
+                return p[["u", "v"]].iloc[:1]
+        return pd.DataFrame(columns=["u", "v"])
+
+    left, right = facing(pairs, "probe", "cell", "other"), facing(back, "held", "other", "cell")
+    return block_pairs(left, right, ["u", "v"], "probe", "held", score, "u bigint, v bigint").distinct()
+
+
 def density_clusters(
     points: DataFrame, key: str, columns: list[str], eps: float = 0.3, min_points: int = 5, cell_columns: int = 3
 ) -> DataFrame:
     """DBSCAN labels: (key, core, label); the label is the smallest core id, -1 is noise.
 
-    Exact copies are collapsed to one weighted point first, so a large group of
-    copies costs one row.  A border point joins the lowest core cluster in reach.
+    Points are laid in cells so small that all points of a cell are neighbours.
+    Exact copies are one weighted point.  A cell of enough weight is core as a
+    whole; only the few points of light cells are compared one by one, and two
+    core cells are linked by their boxes or, failing that, by one block search.
+    So a dense region never turns into pairs of its points.  A border point
+    joins the lowest core cluster in reach.  The key must be an integer.
     """
-    copies = cut_lineage(
-        points.groupBy(*columns).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("weight"))
+    eps2 = eps * eps
+    side = eps / len(columns) ** 0.5 * (1 - 1e-9)
+    fine = F.array(*[F.floor(F.col(c) / F.lit(side)).cast("bigint") for c in columns])
+    source = cut_lineage(points.select(F.col(key).cast("bigint").alias("id"), *columns))
+    copies = source.groupBy(*columns).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    shaped = copies.withColumn("fine", fine)
+    named = shaped.groupBy("fine").agg(
+        F.min("rep").alias("cell"), F.sum("weight").alias("cell_weight"), *_box(columns)
     )
-    pairs = cut_lineage(
-        neighbour_pairs(copies, "rep", columns, eps, cell_columns)
-        .join(copies.select(F.col("rep").alias("other"), F.col("weight").alias("other_weight")), "other")
-        .select("rep", "other", "other_weight")
+    cells = cut_lineage(named)
+    base = cut_lineage(shaped.join(cells.select("fine", "cell", "cell_weight"), "fine").select(
+        "rep", "weight", "cell", "cell_weight", F.array(*columns).alias("x")
+    ))
+    pairs = cut_lineage(_cell_pairs(cells, eps + side, eps2, min(cell_columns, len(columns))))
+    light = base.filter(F.col("cell_weight") < min_points)
+
+    def close(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Left points (rep, cell, x) with right points (o_cell, o_x, ...) of a partly reachable cell, within eps."""
+        reach = pairs.filter(~F.col("inside")).select("cell", "other")
+        apart = F.zip_with("x", "o_x", lambda a, b: (a - b) * (a - b))
+        return left.join(reach, "cell").join(right, F.col("other") == F.col("o_cell")).filter(_sum(apart) <= eps2)
+
+    whole = (
+        light.select("rep", "cell").join(pairs.filter("inside").select("cell", "other"), "cell")
+        .join(cells.select(F.col("cell").alias("other"), F.col("cell_weight").alias("w")), "other").select("rep", "w")
     )
-    around = pairs.groupBy("rep").agg(F.sum("other_weight").alias("near"))
-    cores = cut_lineage(
-        copies.join(around, "rep", "left")
-        .filter(F.col("weight") + F.coalesce("near", F.lit(0)) >= min_points).select("rep")
+    others = base.select(F.col("cell").alias("o_cell"), F.col("x").alias("o_x"), F.col("weight").alias("w"))
+    partly = close(light.select("rep", "cell", "x"), others).select("rep", "w")
+    around = whole.unionByName(partly).groupBy("rep").agg(F.sum("w").alias("near"))
+    marked = cut_lineage(base.join(around, "rep", "left").withColumn(
+        "core", (F.col("cell_weight") + F.coalesce("near", F.lit(0))) >= min_points
+    ).select("rep", "cell", "x", "core"))
+    cores = marked.filter("core")
+    size = range(len(columns))
+    boxes = cut_lineage(cores.groupBy("cell").agg(
+        F.array(*[F.min(F.col("x")[i]) for i in size]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in size]).alias("hi")
+    ))
+    o = boxes.toDF("other", "o_lo", "o_hi")
+    ends = [F.col(c) for c in ("lo", "hi", "o_lo", "o_hi")]
+    linked = cut_lineage(
+        pairs.filter("cell < other").select("cell", "other").join(boxes, "cell").join(o, "other")
+        .filter(_gap2(*ends) <= eps2).select("cell", "other", (_reach2(*ends) <= eps2).alias("sure"))
     )
-    core_edges = (
-        pairs.filter("rep < other").join(cores, "rep")
-        .join(cores.select(F.col("rep").alias("other")), "other")
-        .select(F.col("rep").alias("u"), F.col("other").alias("v"))
+    sure = linked.filter("sure").select(F.col("cell").alias("u"), F.col("other").alias("v"))
+    known = connected_components(sure)
+    root = lambda c, name: known.select(F.col("node").alias(c), F.col("root").alias(name))
+    open_pairs = (
+        linked.filter(~F.col("sure")).join(root("cell", "_r"), "cell", "left").join(root("other", "_s"), "other", "left")
+        .filter(F.coalesce("_r", "cell") != F.coalesce("_s", "other")).select("cell", "other")
     )
-    roots = connected_components(core_edges)
-    core_labels = cores.join(roots, cores.rep == roots.node, "left").select(
-        "rep", F.coalesce("root", "rep").alias("label"), F.lit(True).alias("core")
+    roots = connected_components(sure.unionByName(_touching(open_pairs, cores, boxes, eps2)))
+    # cells are named by their smallest point; a cluster by its smallest core point
+    core_cells = cores.groupBy("cell").agg(F.min("rep").alias("lowest")).join(
+        roots.withColumnRenamed("node", "cell"), "cell", "left"
+    ).withColumn("root", F.coalesce("root", "cell"))
+    clusters = core_cells.groupBy("root").agg(F.min("lowest").alias("label"))
+    cell_labels = cut_lineage(core_cells.join(clusters, "root").select("cell", "label"))
+    core_labels = cores.join(cell_labels, "cell").select("rep", "label", F.lit(True).alias("core"))
+    loose = marked.filter(~F.col("core")).select("rep", "cell", "x")
+    own = loose.join(cell_labels, "cell").select("rep", "label")
+    reached = (
+        loose.select("rep", "cell").join(pairs.filter("inside").select("cell", "other"), "cell")
+        .join(cell_labels.select(F.col("cell").alias("other"), "label"), "other").select("rep", "label")
     )
+    labelled = cores.join(cell_labels, "cell").select(F.col("cell").alias("o_cell"), F.col("x").alias("o_x"), "label")
     border = (
-        pairs.join(cores, "rep", "left_anti")
-        .join(core_labels.select(F.col("rep").alias("other"), "label"), "other")
+        own.unionByName(reached).unionByName(close(loose, labelled).select("rep", "label"))
         .groupBy("rep").agg(F.min("label").alias("label")).withColumn("core", F.lit(False))
     )
     labels = core_labels.unionByName(border)
-    back = points.select(key, *columns).join(copies.drop("weight"), columns).join(labels, "rep", "left")
+    back = source.join(copies.select(*columns, "rep"), columns).join(labels, "rep", "left")
     return back.select(
-        key, F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("label", F.lit(-1)).alias("label")
+        F.col("id").alias(key), F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("label", F.lit(-1)).alias("label")
     )

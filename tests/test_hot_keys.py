@@ -94,6 +94,7 @@ def test_best_match_does_not_depend_on_blocks(spark):
 def test_density_clusters_agree_with_a_plain_search(spark):
     rng = np.random.default_rng(5)
     pts = np.vstack([rng.normal(c, 0.25, size=(60, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 4, 1))] + [rng.uniform(-6, 6, size=(40, 3))])
+    pts = np.vstack([pts, rng.normal((-4, 3, 0), 0.04, size=(80, 3))])  # one dense ball
     pts = np.vstack([pts, np.repeat([[9.0, 9.0, 9.0]], 6, axis=0)])  # copies make one core point
     eps, need = 0.4, 5
     near = np.linalg.norm(pts[:, None] - pts[None], axis=2) <= eps
