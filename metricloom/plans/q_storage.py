@@ -24,7 +24,7 @@ def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
-@query("windowed_mean_and_p95", "A5 S1", f"""
+@query("windowed_mean_and_p95", "A5 S1 D1", f"""
 SELECT event_type AS name, {siso("date_trunc('hour', ts)")} AS window_start,
   {r6('avg(value)')} AS avg_value, {r6('quantile_cont(value, 0.95)')} AS p_value,
   {r6('sum(value)')} AS sum_value, min(value) AS min_value, max(value) AS max_value,
@@ -50,7 +50,7 @@ def scan_points_by_name(spark, sf):
     return out.select("point_id", "name", iso("ts").alias("ts"), "value")
 
 
-@query("flatten_container_stats", "S2 D17 W13 F5", f"""
+@query("flatten_container_stats", "S2 D2 D17 W13 F5", f"""
 WITH c AS (
   SELECT event_id, user_id, ts, value,
     sum(value) OVER w AS cpu_total, sum(1.0::DOUBLE) OVER w AS system_total
