@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,71 +56,81 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _box(columns: list[str], prefix: str = "") -> list[Column]:
-    """Bounding box of a group as two arrays."""
-    return [
-        F.array(*[F.min(c) for c in columns]).alias(f"{prefix}lo"), F.array(*[F.max(c) for c in columns]).alias(f"{prefix}hi"),
-    ]
+def _names(prefix: str, size: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(size)]
 
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+def _box(columns: list[str]) -> list[Column]:
+    """Bounding box of a group, one pair of columns per dimension."""
+    return [f(c).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i, c in enumerate(columns)]
 
 
-def _gap2(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
-    """Squared distance between two boxes (a point is a box with lo = hi)."""
-    gap = F.zip_with(
-        F.zip_with(lo_b, hi_a, lambda x, y: x - y), F.zip_with(lo_a, hi_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
-    )
-    return _sum(F.transform(gap, lambda g: g * g))
+def _squares(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [p * p for p in parts])
+
+
+def _gap2(size: int, lo: str, hi: str, o_lo: str, o_hi: str) -> Column:
+    """Squared distance between two boxes given by column prefixes (a point is a box with lo = hi)."""
+    return _squares([
+        F.greatest(F.col(f"{o_lo}{i}") - F.col(f"{hi}{i}"), F.col(f"{lo}{i}") - F.col(f"{o_hi}{i}"), F.lit(0.0)) for i in range(size)
+    ])
 
 
-def _reach2(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+def _reach2(size: int, lo: str, hi: str, o_lo: str, o_hi: str) -> Column:
     """Squared distance between the farthest corners of two boxes."""
-    span = F.zip_with(
-        F.zip_with(hi_b, lo_a, lambda x, y: x - y), F.zip_with(hi_a, lo_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y)
+    return _squares([
+        F.greatest(F.col(f"{o_hi}{i}") - F.col(f"{lo}{i}"), F.col(f"{hi}{i}") - F.col(f"{o_lo}{i}")) for i in range(size)
+    ])
+
+
+def _other(boxes: DataFrame, size: int) -> DataFrame:
+    """The boxes as the other side of a pair."""
+    return boxes.select(
+        F.col("cell").alias("other"), *[F.col(c).alias(f"o_{c}") for p in ("lo", "hi") for c in _names(p, size)]
     )
-    return _sum(F.transform(span, lambda g: g * g))
 
 
-def _cell_pairs(cells: DataFrame, width: float, eps2: float, cell_columns: int) -> DataFrame:
-    """Ordered pairs of different cells that hold points within eps of each other, at the least.
+def _cell_pairs(cells: DataFrame, size: int, width: float, eps2: float, cell_columns: int) -> DataFrame:
+    """Ordered pairs of different cells whose boxes are within eps.
 
     ``inside`` tells that even their farthest points are within eps.
     """
-    corner = [F.floor(F.col("lo")[i] / F.lit(width)).cast("bigint").alias(f"_g{i}") for i in range(cell_columns)]
-    a = cells.select("cell", "lo", "hi", *corner)
-    b = a.toDF("other", "o_lo", "o_hi", *[f"_g{i}" for i in range(cell_columns)])
-    for i in range(cell_columns):
-        b = b.withColumn(f"_g{i}", F.explode(F.array(*[F.col(f"_g{i}") + d for d in (-1, 0, 1)])))
-    boxes = [F.col(c) for c in ("lo", "hi", "o_lo", "o_hi")]
+    boxes = cells.select("cell", *_names("lo", size), *_names("hi", size))
+    slots = _names("_g", cell_columns)
+    at = [F.floor(F.col(f"{p}lo{i}") / F.lit(width)).cast("bigint") for p in ("", "o_") for i in range(cell_columns)]
+    a = boxes.withColumns(dict(zip(slots, at[:cell_columns])))
+    b = _other(boxes, size).withColumns(dict(zip(slots, at[cell_columns:])))
+    for g in slots:
+        b = b.withColumn(g, F.explode(F.array(*[F.col(g) + d for d in (-1, 0, 1)])))
+    ends = (size, "lo", "hi", "o_lo", "o_hi")
     return (
-        a.join(b, [f"_g{i}" for i in range(cell_columns)])
-        .filter((F.col("cell") != F.col("other")) & (_gap2(*boxes) <= eps2))
-        .select("cell", "other", (_reach2(*boxes) <= eps2).alias("inside"))
+        a.join(b, slots)
+        .filter((F.col("cell") != F.col("other")) & (_gap2(*ends) <= eps2))
+        .select("cell", "other", (_reach2(*ends) <= eps2).alias("inside"))
     )
 
 
-def _touching(pairs: DataFrame, cores: DataFrame, boxes: DataFrame, eps2: float) -> DataFrame:
+def _touching(pairs: DataFrame, cores: DataFrame, boxes: DataFrame, size: int, eps2: float) -> DataFrame:
     """Of the given core-cell pairs, those with two core points within eps.
 
     Only points near the other cell's box are looked at, block by block; a task
     answers with at most one row per pair.
     """
-    far = boxes.select(F.col("cell").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    far = _other(boxes, size)
     back = pairs.select(F.col("other").alias("cell"), F.col("cell").alias("other"))
+    axes = _names("x", size)
 
     def facing(wanted: DataFrame, id_name: str, first: str, second: str) -> DataFrame:
-        near = _gap2(F.col("x"), F.col("x"), F.col("o_lo"), F.col("o_hi")) <= eps2
+        near = _gap2(size, "x", "x", "o_lo", "o_hi") <= eps2
         return cores.join(wanted, "cell").join(far, "other").filter(near).select(
-            F.col(first).alias("u"), F.col(second).alias("v"), F.col("rep").alias(id_name), "x"
+            F.col(first).alias("u"), F.col(second).alias("v"), F.col("rep").alias(id_name), *axes
         )
 
     def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame(columns=["u", "v"])
-        a, b = np.stack(p["x"].to_numpy()), np.stack(q["x"].to_numpy())
-        for row in a:
+        b = q[axes].to_numpy()
+        for row in p[axes].to_numpy():
             if (((b - row) ** 2).sum(axis=1) <= eps2).any():
                 return p[["u", "v"]].iloc[:1]
         return pd.DataFrame(columns=["u", "v"])
@@ -140,7 +151,8 @@ def density_clusters(
     So a dense region never turns into pairs of its points.  A border point
     joins the lowest core cluster in reach.  The key must be an integer.
     """
-    eps2 = eps * eps
+    eps2, size = eps * eps, len(columns)
+    axes = _names("x", size)
     side = eps / len(columns) ** 0.5 * (1 - 1e-9)
     fine = F.array(*[F.floor(F.col(c) / F.lit(side)).cast("bigint") for c in columns])
     source = cut_lineage(points.select(F.col(key).cast("bigint").alias("id"), *columns))
@@ -151,36 +163,34 @@ def density_clusters(
     )
     cells = cut_lineage(named)
     base = cut_lineage(shaped.join(cells.select("fine", "cell", "cell_weight"), "fine").select(
-        "rep", "weight", "cell", "cell_weight", F.array(*columns).alias("x")
+        "rep", "weight", "cell", "cell_weight", *[F.col(c).alias(a) for c, a in zip(columns, axes)]
     ))
-    pairs = cut_lineage(_cell_pairs(cells, eps + side, eps2, min(cell_columns, len(columns))))
+    pairs = cut_lineage(_cell_pairs(cells, size, eps + side, eps2, min(cell_columns, size)))
     light = base.filter(F.col("cell_weight") < min_points)
 
     def close(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Left points (rep, cell, x) with right points (o_cell, o_x, ...) of a partly reachable cell, within eps."""
+        """Left points (rep, cell, x..) with right points (o_cell, o_x.., ...) of a partly reachable cell, within eps."""
         reach = pairs.filter(~F.col("inside")).select("cell", "other")
-        apart = F.zip_with("x", "o_x", lambda a, b: (a - b) * (a - b))
-        return left.join(reach, "cell").join(right, F.col("other") == F.col("o_cell")).filter(_sum(apart) <= eps2)
+        apart = _squares([F.col(a) - F.col(f"o_{a}") for a in axes])
+        return left.join(reach, "cell").join(right, F.col("other") == F.col("o_cell")).filter(apart <= eps2)
+
+    def facing(rows: DataFrame, *payload: str) -> DataFrame:
+        return rows.select(F.col("cell").alias("o_cell"), *[F.col(a).alias(f"o_{a}") for a in axes], *payload)
 
     whole = (
         light.select("rep", "cell").join(pairs.filter("inside").select("cell", "other"), "cell")
         .join(cells.select(F.col("cell").alias("other"), F.col("cell_weight").alias("w")), "other").select("rep", "w")
     )
-    others = base.select(F.col("cell").alias("o_cell"), F.col("x").alias("o_x"), F.col("weight").alias("w"))
-    partly = close(light.select("rep", "cell", "x"), others).select("rep", "w")
+    partly = close(light.select("rep", "cell", *axes), facing(base.withColumnRenamed("weight", "w"), "w")).select("rep", "w")
     around = whole.unionByName(partly).groupBy("rep").agg(F.sum("w").alias("near"))
     marked = cut_lineage(base.join(around, "rep", "left").withColumn(
         "core", (F.col("cell_weight") + F.coalesce("near", F.lit(0))) >= min_points
-    ).select("rep", "cell", "x", "core"))
+    ).select("rep", "cell", *axes, "core"))
     cores = marked.filter("core")
-    size = range(len(columns))
-    boxes = cut_lineage(cores.groupBy("cell").agg(
-        F.array(*[F.min(F.col("x")[i]) for i in size]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in size]).alias("hi")
-    ))
-    o = boxes.toDF("other", "o_lo", "o_hi")
-    ends = [F.col(c) for c in ("lo", "hi", "o_lo", "o_hi")]
+    boxes = cut_lineage(cores.groupBy("cell").agg(*_box(axes)))
+    ends = (size, "lo", "hi", "o_lo", "o_hi")
     linked = cut_lineage(
-        pairs.filter("cell < other").select("cell", "other").join(boxes, "cell").join(o, "other")
+        pairs.filter("cell < other").select("cell", "other").join(boxes, "cell").join(_other(boxes, size), "other")
         .filter(_gap2(*ends) <= eps2).select("cell", "other", (_reach2(*ends) <= eps2).alias("sure"))
     )
     sure = linked.filter("sure").select(F.col("cell").alias("u"), F.col("other").alias("v"))
@@ -190,7 +200,7 @@ def density_clusters(
         linked.filter(~F.col("sure")).join(root("cell", "_r"), "cell", "left").join(root("other", "_s"), "other", "left")
         .filter(F.coalesce("_r", "cell") != F.coalesce("_s", "other")).select("cell", "other")
     )
-    roots = connected_components(sure.unionByName(_touching(open_pairs, cores, boxes, eps2)))
+    roots = connected_components(sure.unionByName(_touching(open_pairs, cores, boxes, size, eps2)))
     # cells are named by their smallest point; a cluster by its smallest core point
     core_cells = cores.groupBy("cell").agg(F.min("rep").alias("lowest")).join(
         roots.withColumnRenamed("node", "cell"), "cell", "left"
@@ -198,13 +208,13 @@ def density_clusters(
     clusters = core_cells.groupBy("root").agg(F.min("lowest").alias("label"))
     cell_labels = cut_lineage(core_cells.join(clusters, "root").select("cell", "label"))
     core_labels = cores.join(cell_labels, "cell").select("rep", "label", F.lit(True).alias("core"))
-    loose = marked.filter(~F.col("core")).select("rep", "cell", "x")
+    loose = marked.filter(~F.col("core")).select("rep", "cell", *axes)
     own = loose.join(cell_labels, "cell").select("rep", "label")
     reached = (
         loose.select("rep", "cell").join(pairs.filter("inside").select("cell", "other"), "cell")
         .join(cell_labels.select(F.col("cell").alias("other"), "label"), "other").select("rep", "label")
     )
-    labelled = cores.join(cell_labels, "cell").select(F.col("cell").alias("o_cell"), F.col("x").alias("o_x"), "label")
+    labelled = facing(cores.join(cell_labels, "cell"), "label")
     border = (
         own.unionByName(reached).unionByName(close(loose, labelled).select("rep", "label"))
         .groupBy("rep").agg(F.min("label").alias("label")).withColumn("core", F.lit(False))
