@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -290,18 +290,16 @@ class _VoteTally(StatefulProcessor):
         # one value per proposal: a few votes (one per voter) as JSON, or the final state
         self.held = handle.getValueState("held", "state string, votes string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.held.get() if self.held.exists() else None
         if held and held[0]:
             return
         last = {v[0]: v[1:] for v in json.loads(held[1])} if held else {}
         limit = None
-        for batch in rows:  # a popular proposal streams through; only one vote per voter is kept
-            limit = int(batch["expires_ms"].iloc[0])
-            newest = batch.sort_values(["t", "tie1", "tie2", "tie3"]).drop_duplicates("voter", keep="last")
-            for voter, vote, *order in zip(*[newest[c].tolist() for c in ("voter", "vote", "t", "tie1", "tie2", "tie3")]):
-                if voter not in last or order > last[voter][1:]:
-                    last[voter] = [vote, *order]
+        for r in rows:  # a popular proposal streams through; only one vote per voter is kept
+            limit, order = r["expires_ms"], [r["t"], r["tie1"], r["tie2"], r["tie3"]]
+            if r["voter"] not in last or order > last[r["voter"]][1:]:
+                last[r["voter"]] = [r["vote"], *order]
         total, yes = len(last), sum(v[0] for v in last.values())
         state = None
         if total >= self.quorum and yes >= self.quorum:
@@ -310,21 +308,19 @@ class _VoteTally(StatefulProcessor):
             state = "rejected"
         if state:
             self.held.update((state, ""))
-            yield pd.DataFrame({"proposal_id": [key[0]], "total": [total], "yes": [yes], "state": [state]})
+            yield Row(proposal_id=key[0], total=total, yes=yes, state=state)
         else:
             self.held.update(("", json.dumps([[k, *v] for k, v in last.items()])))
             if limit is not None:
                 self.handle.registerTimer(limit)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state, votes = self.held.get()
         if state:
             return
         last = json.loads(votes)
         self.held.update(("expired", ""))
-        yield pd.DataFrame({
-            "proposal_id": [key[0]], "total": [len(last)], "yes": [sum(v[1] for v in last)], "state": ["expired"],
-        })
+        yield Row(proposal_id=key[0], total=len(last), yes=sum(v[1] for v in last), state="expired")
 
     def close(self) -> None:
         pass
@@ -341,7 +337,8 @@ def tally_stream(votes: DataFrame, delay_seconds: int = 0, nodes: int = NODES) -
         *[F.col(c).cast("double").alias(c) for c in ("tie1", "tie2", "tie3")],
         F.unix_millis("expiration").alias("expires_ms"),
     )
-    return rows.groupBy("proposal_id").transformWithStateInPandas(
+    # row form: most proposals have a handful of votes, too few for a frame each
+    return rows.groupBy("proposal_id").transformWithState(
         statefulProcessor=_VoteTally(nodes), outputStructType="proposal_id bigint, total bigint, yes bigint, state string",
         outputMode="Append", timeMode="EventTime",
     )
