@@ -1,7 +1,51 @@
-"""Corpus pipeline (stages follow)."""
+"""From documents to packed training sequences.
 
+Every stage takes what its predecessor kept; all but the last return the columns
+of ``documents``.  ``run`` writes each stage as Parquet under the shared folder
+and rereads it, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from metricloom.llm.bag_minhash import keep_one
+from metricloom.llm.common import read
+from metricloom.llm.line_templates import drop_recurring_lines
+from metricloom.llm.packing import pack_documents
+from metricloom.llm.quality_model import score, train
+from metricloom.session import cut_lineage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half go; the score itself is not kept."""
+    return score(docs, train(docs, read(spark, sf_dir, "labels"))).filter("score >= 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; every document stays, with its ``n_chars`` renewed."""
+    return drop_recurring_lines(docs).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return keep_one(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("best-fit packing", packing)]
+
+#: Trees, registers and tokens are no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
