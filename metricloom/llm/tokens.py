@@ -20,29 +20,54 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~"
 
 
-class WordEncoder:
-    """``encode(texts)`` equals the tokenizer's own ids for every text.
+class WordCache:
+    """Ids of words, computed once while they fit into ``cache_words``; that bounds
+    a worker's memory, not the result."""
 
-    ``cache_words`` bounds the worker's memory, not the result: words beyond it
-    are encoded again when they return.
-    """
+    cache_words = 500_000
+
+    def __init__(self):
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and bounds of a list of distinct words."""
+        raise NotImplementedError
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, bounds, place of each word in them) of distinct words."""
+        if len(self.known) > self.cache_words:
+            self._forget()
+        place = pc.index_in(words, value_set=self.known)
+        new = pc.is_null(place)
+        fresh = words.filter(new)
+        flat, bounds = self.word_ids(fresh)
+        place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        self.flat = np.concatenate([self.flat, flat])
+        self.known = pa.concat_arrays([self.known, fresh])
+        return self.flat, self.bounds, place
+
+
+class WordEncoder(WordCache):
+    """``encode(texts)`` equals the tokenizer's own ids for every text."""
 
     def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.cache_words = cache_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and bounds of a list of distinct words."""
         plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
         text = words.to_pylist()
@@ -66,24 +91,9 @@ class WordEncoder:
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         order = np.concatenate(order)
-        flat, bounds = _gather(np.concatenate(parts), _bounds(lengths[order]), np.argsort(order))
+        flat, bounds = gather(np.concatenate(parts), bounds_of(lengths[order]), np.argsort(order))
         return flat, bounds
 
-    def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, bounds, place of each word in them) of distinct words."""
-        if len(self.known) > self.cache_words:
-            self._forget()
-        place = pc.index_in(words, value_set=self.known)
-        new = pc.is_null(place)
-        fresh = words.filter(new)
-        flat, bounds = self._word_ids(fresh)
-        place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
-        self.flat = np.concatenate([self.flat, flat])
-        self.known = pa.concat_arrays([self.known, fresh])
-        return self.flat, self.bounds, place
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts and the bounds of each text in them."""
         spaced = pc.replace_substring_regex(texts, f"([{LETTERS}])([{MARKS}])", r"\1 \2")
@@ -94,20 +104,20 @@ class WordEncoder:
         distinct = coded.dictionary
         plain = pc.match_substring_regex(distinct, f"^[{LETTERS}]+$")
         lowered = pc.if_else(plain, pc.utf8_lower(distinct), distinct).dictionary_encode()
-        flat, bounds, place = self._lookup(lowered.dictionary)
-        ids, ends = _gather(flat, bounds, place[lowered.indices.to_numpy()][coded.indices.to_numpy()])
+        flat, bounds, place = self.lookup(lowered.dictionary)
+        ids, ends = gather(flat, bounds, place[lowered.indices.to_numpy()][coded.indices.to_numpy()])
         starts = words.offsets.to_numpy()
         return ids, ends[starts - starts[0]]
 
 
-def _bounds(lengths: np.ndarray) -> np.ndarray:
+def bounds_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _gather(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ranges ``rows`` of ``flat``, one after the other, and their bounds."""
     lengths = np.diff(bounds)[rows]
-    ends = _bounds(lengths)
+    ends = bounds_of(lengths)
     shift = np.repeat(bounds[rows] - ends[:-1], lengths)
     shift += np.arange(ends[-1])
     return flat[shift], ends
