@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from metricloom.operators.similarity import block_pairs
 from metricloom.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node id of the component of every node: columns (node, root).
@@ -44,14 +42,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     current = settle(edges.select("u", "v"))
     seen = mark(current)
-    for _ in range(MAX_ROUNDS):
+    while True:
         current = settle(small_star(large_star(current)))
         now = mark(current)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

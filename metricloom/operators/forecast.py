@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.operators.models import tree_predictions
+from metricloom.operators.models import with_tree_spread
 from metricloom.operators.windows import sliding_sequences
 from metricloom.session import cut_lineage
 
@@ -119,13 +122,24 @@ def forest_forecast(
     )
     future = _future(last, horizon_seconds // step_seconds, step_seconds)
     rows = assembler.transform(future.select("name", "ts", *as_columns, F.hour("ts").cast("double").alias("hour")))
-    rows = rows.withColumn("_spread", tree_predictions(grid.sparkSession, model)(F.col("x")))
+    rows = with_tree_spread(rows, model)
     return rows.select(
-        "name", "ts", F.col("_spread.mean").alias("value"), F.col("_spread.deviation").alias("confidence"),
+        "name", "ts", F.col("tree_mean").alias("value"), F.col("tree_deviation").alias("confidence"),
         F.lit("random_forest").alias("model"),
     )
 
 
+def forest_forecasts(grid: DataFrame, names: Sequence[str], horizon_seconds: int, step_seconds: int, **how) -> DataFrame:
+    """A forest per metric of the configured ``names``; a metric with too few rows
+    for training gives nothing."""
+    enough = grid.filter(F.col("name").isin(list(names))).groupBy("name").count().filter(F.col("count") >= MIN_TRAINING_ROWS)
+    found = {r["name"] for r in enough.collect()}
+    parts = [forest_forecast(grid.filter(F.col("name") == n), horizon_seconds, step_seconds, **how) for n in names if n in found]
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    return grid.select("name", F.col("h").alias("ts"), *[F.lit(None).cast("double").alias(c) for c in ("value", "confidence")], F.lit("random_forest").alias("model")).filter(F.lit(False))
+
+
 def prediction_errors(predictions: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Absolute error of each prediction whose actual value is known."""
     known = actual.select(*keys, F.col("value").alias("actual"))

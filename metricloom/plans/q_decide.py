@@ -13,6 +13,10 @@ from metricloom.plans.inputs import HOUR, table
 from metricloom.plans.oracle import FILLED, UTIL, iso as siso, r6
 from metricloom.plans.q_quality import r4, rounded
 from metricloom.plans.registry import query
+from metricloom.session import cut_lineage
+
+#: The configured metrics.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def grid(spark, sf):
@@ -50,10 +54,20 @@ def seasonal_forecast(spark, sf):
     return out.select("name", iso("ts").alias("ts"), round6("value").alias("value"), round6("confidence").alias("confidence"))
 
 
-@query("random_forest_forecast", "M2")
+@query("random_forest_forecast", "M2", f"""
+WITH {FILLED}, {LINE} SELECT future.name, {siso('ts')} AS ts, true AS in_range, true AS spread_known, 'random_forest' AS model
+FROM future JOIN (SELECT name FROM filled GROUP BY name HAVING count(*) >= 100) USING (name) WHERE step <= 12
+""")
 def random_forest_forecast(spark, sf):
-    g = grid(spark, sf).filter(F.col("name") == "click")
-    return forecast.forest_forecast(g, 12 * HOUR, HOUR)
+    """The forecasts with what SQL can state about them: a forest averages known
+    values, so it stays within their range."""
+    g = cut_lineage(grid(spark, sf))
+    out = forecast.forest_forecasts(g, EVENT_TYPES, 12 * HOUR, HOUR)
+    known = g.groupBy("name").agg(F.min("filled").alias("lo"), F.max("filled").alias("hi"))
+    in_range = (F.col("value") >= F.col("lo") - 1e-9) & (F.col("value") <= F.col("hi") + 1e-9)
+    return out.join(known, "name").select(
+        "name", iso("ts").alias("ts"), in_range.alias("in_range"), (F.col("confidence") >= 0).alias("spread_known"), "model"
+    )
 
 
 @query("supervised_frame", "M9 W16", f"""
@@ -101,7 +115,7 @@ def errors(spark, sf):
 
 def weights(spark, sf):
     models = predictions(spark, sf).select("model").distinct().unionByName(
-        table(spark, sf, "region").select(F.lit("unused").alias("model")).distinct()
+        spark.createDataFrame([("unused",)], "model string")
     )
     return forecast.model_weights(errors(spark, sf), models, [F.col("h").desc(), F.col("name"), F.col("model")])
 
@@ -353,14 +367,13 @@ def mean_impacts_per_action(spark, sf):
 
 
 @query("predicted_impacts", "K13 A28", f"""
-WITH {DECISIONS}, learned AS (SELECT action, avg(perf) AS p, avg(cost) AS c, avg(res) AS r FROM decisions JOIN impacts USING (decision_id) WHERE action <> 'scale_up' GROUP BY 1),
+WITH {DECISIONS}, learned AS (SELECT action, avg(perf) AS p, avg(cost) AS c, avg(res) AS r FROM decisions JOIN impacts USING (decision_id) GROUP BY 1),
 fixed(action) AS (VALUES ('scale_out'), ('scale_in'), ('scale_up'), ('scale_down'))
 SELECT coalesce(f.action, l.action) AS action, {r6('coalesce(p, 0.1)')} AS performance_impact, {r6('coalesce(c, -0.1)')} AS cost_impact,
   {r6('coalesce(r, 0.2)')} AS resource_efficiency, p IS NOT NULL AS learned FROM fixed f FULL JOIN learned l ON l.action = f.action
 """)
 def predicted_impacts(spark, sf):
-    d = decisions(spark, sf).filter(F.col("action") != "scale_up")
-    out = decide.learned_impact(decide.mean_impacts(d, impacts(spark, sf)))
+    out = decide.learned_impact(decide.mean_impacts(decisions(spark, sf), impacts(spark, sf)))
     return out.select("action", *[round6(c).alias(c) for c in ("performance_impact", "cost_impact", "resource_efficiency")], "learned")
 
 
@@ -468,12 +481,11 @@ def cheapest_allocation(spark, sf):
 
 
 @query("allocation_by_strategy", "K7 J8", f"""
-WITH {search(0.3, 13, 256, 32, ALL_WEIGHTS)}
+WITH {search(0.1, 39, 64, 126, ALL_WEIGHTS)}
 SELECT {siso('h')} AS h, strategy, {r6('c')} AS cpu_allocation, {r6('m')} AS memory_allocation FROM chosen
 """)
 def allocation_by_strategy(spark, sf):
-    limits = Limits(memory_cost=0.1, step_cpu=0.3, step_memory=256.0, max_memory=8320.0)
-    out = allocate.best_allocation(allocate.with_strategies(demand(spark, sf)), limits)
+    out = allocate.best_allocation(allocate.with_strategies(demand(spark, sf)), LIMITS)
     return out.select(iso("h").alias("h"), "strategy", round6("cpu_allocation").alias("cpu_allocation"), round6("memory_allocation").alias("memory_allocation"))
 
 

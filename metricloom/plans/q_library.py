@@ -21,7 +21,7 @@ def segments(spark, sf):
     packed = F.sort_array(F.collect_list(F.struct("idx", "value", "event_type")))
     out = p.groupBy("user_id", "seg").agg(packed.alias("p"), F.min("ts").alias("ts"))
     return out.select(
-        (F.col("user_id") * 1000 + F.col("seg")).alias("pattern_id"),
+        (F.col("user_id") * F.lit(1 << 32) + F.col("seg")).alias("pattern_id"),
         F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("user_id") % 3 + 1).cast("int")).alias("pattern_type"),
         "seg", "ts", F.col("p.value").alias("values"),
         F.sort_array(F.array_distinct("p.event_type")).alias("tags"),
@@ -34,7 +34,7 @@ def featured(spark, sf, season_lag=8):
 
 FEATURES = f"""
 {USER_POINTS},
-sp AS (SELECT user_id * 1000 + idx // 32 AS pid, user_id, idx // 32 AS seg, idx % 32 AS i, ts, event_type, value FROM up),
+sp AS (SELECT user_id * 4294967296 + idx // 32 AS pid, user_id, idx // 32 AS seg, idx % 32 AS i, ts, event_type, value FROM up),
 sized AS (SELECT sp.*, count(*) OVER (PARTITION BY pid) AS n, avg(value) OVER (PARTITION BY pid) AS mu,
   value - lag(value) OVER (PARTITION BY pid ORDER BY i) AS d,
   lag(value, 8) OVER (PARTITION BY pid ORDER BY i) AS lagged FROM sp),
@@ -97,7 +97,7 @@ def series_category(spark, sf):
 
 
 CUMULATIVE = FEATURES.replace(
-    "sp AS (SELECT user_id * 1000", "sp0 AS (SELECT user_id * 1000"
+    "sp AS (SELECT user_id * 4294967296", "sp0 AS (SELECT user_id * 4294967296"
 ).replace("value FROM up),\nsized", "value FROM up),\nsp AS (SELECT * REPLACE (sum(value) OVER (PARTITION BY pid ORDER BY i) AS value) FROM sp0),\nsized")
 
 

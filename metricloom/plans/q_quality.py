@@ -177,15 +177,15 @@ def pattern_scope_result(spark, sf):
 
 
 @query("baseline_refresh", "A17 W9", f"""
-WITH {RESULTS}, last AS (SELECT * FROM scored ORDER BY h DESC LIMIT 500),
-good AS (SELECT * FROM last WHERE ne = 0 AND confidence > 0.75),
+WITH {RESULTS}, last AS (SELECT * FROM scored ORDER BY h DESC LIMIT 1000),
+good AS (SELECT * FROM last WHERE ne = 0 AND confidence > 0.8),
 long AS (SELECT 'cpu_usage' AS field, cpu AS x FROM good UNION ALL SELECT 'memory_usage', mem FROM good
   UNION ALL SELECT 'request_rate', rate FROM good UNION ALL SELECT 'error_rate', err FROM good)
 SELECT field, {r6('avg(x)')} AS mean, {r6('coalesce(stddev_samp(x), 0.1)')} AS std, min(x) AS min, max(x) AS max FROM long GROUP BY 1
 """)
 def baseline_refresh(spark, sf):
     results = quality.validate_knowledge(records(spark, sf), baselines=LOCAL)
-    out = quality.refresh_baselines(results, [F.col("h").desc()], last=500, min_confidence=0.75)
+    out = quality.refresh_baselines(results, [F.col("h").desc()])
     return out.select("field", round6("mean").alias("mean"), round6("std").alias("std"), "min", "max")
 
 
@@ -353,7 +353,7 @@ found AS (SELECT o_orderkey, {FIRST} AS schema_error,
 
 
 def rule_table(spark):
-    return spark.createDataFrame([(scope, json.dumps(rule)) for scope, rule in RULES], "scope string, rule string")
+    return spark.createDataFrame([(i, scope, json.dumps(rule)) for i, (scope, rule) in enumerate(RULES)], "position int, scope string, rule string")
 
 
 @query("rules_over_records", "J9 S14 K11 D18", f"""

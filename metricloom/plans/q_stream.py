@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import iso, round6
 from metricloom.operators import models, similarity
-from metricloom.operators.knowledge import entry_confidence, store
+from metricloom.operators.knowledge import entry_confidence
 from metricloom.plans import inputs
 from metricloom.plans.inputs import table
-from metricloom.plans.oracle import SNAPSHOTS, iso as siso, r6
+from metricloom.plans.oracle import ENTRIES, SNAPSHOTS, iso as siso, r6
 from metricloom.plans.q_knowledge import RAW
 from metricloom.plans.q_oplog import TALLY, UPDATES
 from metricloom.plans.q_thresholds import FOLD, HOUR, config
@@ -213,20 +213,37 @@ def model_entries(spark, sf):
     return e.withColumns({"label": bucket, "target": F.col("outcome_value") / 500_000})
 
 
-@query("knowledge_model_confidence", "M4 M5")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+CLASSIFIED = {"1-URGENT", "2-HIGH"}
+MODELLED = f"""
+{ENTRIES}, modelled AS (SELECT * FROM entries WHERE type IN (SELECT type FROM entries GROUP BY type HAVING count(*) >= 50))
+"""
+
+
+@query("knowledge_model_confidence", "M4 M5", f"""
+WITH {MODELLED} SELECT entry_id, type, CASE WHEN type IN ('1-URGENT', '2-HIGH') THEN 'class' ELSE 'value' END AS kind, true AS in_bounds FROM modelled
+""")
 def knowledge_model_confidence(spark, sf):
     e = cut_lineage(model_entries(spark, sf))
-    fitted = models.fit_models(e, RAW, {"1-URGENT", "2-HIGH"}, trees=20)
-    return models.model_confidence(e, fitted)
+    fitted = models.fit_models(e, RAW, PRIORITIES, CLASSIFIED)
+    out = models.model_confidence(e, fitted)
+    kind = F.when(F.col("type").isin(*CLASSIFIED), "class").otherwise("value")
+    sure = F.col("model_confidence")
+    # the likeliest of four classes has a quarter at least
+    in_bounds = (sure > 0) & (sure <= 1 + 1e-9) & ((kind == "value") | (sure >= 0.25))
+    return out.select("entry_id", "type", kind.alias("kind"), in_bounds.alias("in_bounds"))
 
 
-@query("gated_knowledge_matches", "M4 M5 J6")
+@query("gated_knowledge_matches", "M4 M5 J6", f"""
+WITH {MODELLED} SELECT entry_id, type, true AS gate_held FROM modelled
+""")
 def gated_knowledge_matches(spark, sf):
     e = cut_lineage(model_entries(spark, sf).withColumn("vector", F.array(*RAW)))
-    fitted = models.fit_models(e, RAW, {"1-URGENT", "2-HIGH"}, trees=20)
-    sure = models.gated(e, models.model_confidence(e, fitted), 0.9)
-    return entry_confidence(sure.select("entry_id", "type", "vector", "outcome_value"), store(e)).select(
-        "entry_id", "type", "n_similar", "new_confidence"
-    )
-
-
+    fitted = models.fit_models(e, RAW, PRIORITIES, CLASSIFIED)
+    confidence = cut_lineage(models.model_confidence(e, fitted))
+    sure = models.gated(e, confidence, 0.9)
+    matched = entry_confidence(sure.select("entry_id", "type", "ts", "vector", "outcome_value"), e)
+    # every entry of a model: matches are looked for exactly where the model is sure
+    all_of = confidence.join(matched.select("entry_id", "n_similar"), "entry_id", "left")
+    held = (F.col("model_confidence") >= 0.9) == F.col("n_similar").isNotNull()
+    return all_of.select("entry_id", "type", held.alias("gate_held"))

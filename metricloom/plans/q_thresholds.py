@@ -260,11 +260,11 @@ def held_alert_rule(spark, sf):
 
 
 @query("scaling_rate_check", "W18", """
-SELECT event_id, count(*) OVER w AS n_recent, count(*) OVER w > 3 AS too_many FROM events WHERE event_type = 'click'
+SELECT event_id, count(*) OVER w AS n_recent, count(*) OVER w > 3 AS too_many FROM events
 WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)
 """)
 def scaling_rate_check(spark, sf):
-    e = table(spark, sf, "events").filter(F.col("event_type") == "click").select(
+    e = table(spark, sf, "events").select(
         "event_id", (F.col("user_id") % 10).alias("service"), "ts"
     )
     out = windows.trailing_count(e, ["service"], "ts", 12 * HOUR)
