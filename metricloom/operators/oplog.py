@@ -198,27 +198,34 @@ def allowed_proposals(proposals: DataFrame, allowed_types: DataFrame, cluster: D
 
 
 def accepted_votes(votes: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Votes cast before their proposal expired."""
-    limits = proposals.select("proposal_id", "expiration")
-    return votes.join(limits, "proposal_id").filter(F.col("ts") <= F.col("expiration"))
+    """Votes cast on a known proposal before it expired."""
+    limits = proposals.select("proposal_id", F.col("ts").alias("proposed_at"), "expiration")
+    return votes.join(limits, "proposal_id").filter((F.col("ts") >= F.col("proposed_at")) & (F.col("ts") <= F.col("expiration")))
 
 
 def tally(votes: DataFrame, order: Sequence[str], nodes: int = NODES) -> DataFrame:
-    """Last vote per voter, then the consensus state of each proposal.
+    """Consensus state of each proposal, final at the first vote that settles it.
 
-    Accepted with q yes votes, rejected when q votes are in and more than n - q
-    are no; q = n // 2 + 1.
+    Votes count in ``order`` (the event time first), a voter's later vote replaces
+    the earlier.  Accepted with q yes votes, rejected when q votes are in and more
+    than n - q are no; q = n // 2 + 1.  Votes after the decision change nothing.
     """
     quorum = nodes // 2 + 1
-    last = votes.groupBy("proposal_id", "voter").agg(F.max_by("vote", F.struct(*order)).alias("vote"))
-    counts = last.groupBy("proposal_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("vote").alias("yes"))
+    ts, ties = order[0], list(order[1:])
+    before = previous_values(votes, ["proposal_id", "voter"], ts, ties, {"_had": "vote"})
+    change = F.col("vote").cast("bigint") - F.coalesce(F.col("_had").cast("bigint"), F.lit(0))
+    # a repeated vote moves no count
+    moves = before.filter(F.col("_had").isNull() | (change != 0))
+    running = running_total(moves, ["proposal_id"], ts, ties, {"total": F.col("_had").isNull().cast("bigint"), "yes": change})
     enough = F.col("total") >= quorum
-    state = (
-        F.when(enough & (F.col("yes") >= quorum), "accepted")
-        .when(enough & (F.col("total") - F.col("yes") > nodes - quorum), "rejected")
-        .otherwise("open")
+    state = F.when(enough & (F.col("yes") >= quorum), "accepted").when(enough & (F.col("total") - F.col("yes") > nodes - quorum), "rejected")
+    at = F.struct(ts, *ties)
+    counts = F.struct("total", "yes", "state")
+    out = running.withColumn("state", state).groupBy("proposal_id").agg(
+        F.min_by(F.when(F.col("state").isNotNull(), counts), F.when(F.col("state").isNotNull(), at)).alias("_first"), F.max_by(counts, at).alias("_last")
     )
-    return counts.withColumn("state", state)
+    found = F.coalesce("_first", "_last")
+    return out.select("proposal_id", found["total"].alias("total"), found["yes"].alias("yes"), F.coalesce(found["state"], F.lit("open")).alias("state"))
 
 
 def final_status(proposals: DataFrame, tallied: DataFrame, now: Column) -> DataFrame:

@@ -212,10 +212,17 @@ def first_proposal_messages(spark, sf):
 ORDER = ["ts", "tie1", "tie2", "tie3"]
 TALLY = f"""
 {VOTES},
-valid AS (SELECT v.* FROM votes v JOIN proposals p ON p.proposal_id = v.proposal_id AND v.ts <= expiration),
-last AS (SELECT proposal_id, voter, max_by(vote, (ts, tie1, tie2, tie3)) AS vote FROM valid GROUP BY 1, 2),
-tally AS (SELECT proposal_id, count(*) AS total, count(*) FILTER (WHERE vote) AS yes FROM last GROUP BY 1),
-decided AS (SELECT *, CASE WHEN total >= 2 AND yes >= 2 THEN 'accepted' WHEN total >= 2 AND total - yes > 1 THEN 'rejected' ELSE 'open' END AS state FROM tally)
+valid AS (SELECT v.* FROM votes v JOIN proposals p ON p.proposal_id = v.proposal_id AND v.ts >= p.ts AND v.ts <= expiration),
+steps AS (SELECT *, lag(vote) OVER mine AS had FROM valid WINDOW mine AS (PARTITION BY proposal_id, voter ORDER BY ts, tie1, tie2, tie3)),
+running AS (
+  SELECT *, count(*) FILTER (had IS NULL) OVER upto AS total, CAST(sum(vote::INT - coalesce(had::INT, 0)) OVER upto AS BIGINT) AS yes
+  FROM steps WINDOW upto AS (PARTITION BY proposal_id ORDER BY ts, tie1, tie2, tie3 ROWS UNBOUNDED PRECEDING)),
+judged AS (SELECT *, CASE WHEN total >= 2 AND yes >= 2 THEN 'accepted' WHEN total >= 2 AND total - yes > 1 THEN 'rejected' END AS s FROM running),
+decided AS (
+  SELECT proposal_id, coalesce(min_by(total, (ts, tie1, tie2, tie3)) FILTER (s IS NOT NULL), max_by(total, (ts, tie1, tie2, tie3))) AS total,
+    coalesce(min_by(yes, (ts, tie1, tie2, tie3)) FILTER (s IS NOT NULL), max_by(yes, (ts, tie1, tie2, tie3))) AS yes,
+    coalesce(min_by(s, (ts, tie1, tie2, tie3)) FILTER (s IS NOT NULL), 'open') AS state
+  FROM judged GROUP BY 1)
 """
 
 

@@ -128,8 +128,9 @@ FROM decided t JOIN proposals p USING (proposal_id)
 WHERE state <> 'open' OR expiration <= (SELECT max(v.ts) FROM votes v JOIN proposals USING (proposal_id))
 """)
 def stream_vote_tally(spark, sf):
-    limits = inputs.proposals(spark, sf).select("proposal_id", F.col("expiration").cast("timestamp").alias("expiration"))
-    return live.run_to_table(live.tally_stream(vote_stream(spark, sf).join(limits, "proposal_id")), "tally")[0]
+    times = [F.col(c).cast("timestamp").alias(n) for c, n in (("ts", "proposed_at"), ("expiration", "expiration"))]
+    votes = vote_stream(spark, sf).join(inputs.proposals(spark, sf).select("proposal_id", *times), "proposal_id")
+    return live.run_to_table(live.tally_stream(votes), "tally")[0]
 
 
 @query("stream_votes_in_time", "J10", f"WITH {TALLY} SELECT proposal_id, voter, tie1, tie3, {siso('ts')} AS ts FROM valid")
@@ -138,16 +139,23 @@ def stream_votes_in_time(spark, sf):
         F.col("o_orderkey").alias("proposal_id"), F.col("o_orderdate").alias("ts"),
         (F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS")).alias("expiration"),
     )
-    joined = live.votes_in_time(vote_stream(spark, sf), live.as_event_time(p, "ts", "expiration"))
+    joined = live.votes_in_time(vote_stream(spark, sf), live.as_event_time(p, "ts", "expiration"), 365 * 86_400)
     out, _ = live.run_to_table(joined.select("proposal_id", "voter", "tie1", "tie3", "ts"), "in-time")
     return out.withColumn("ts", iso("ts"))
 
 
-@query("stream_first_proposals", "P28", "SELECT DISTINCT l_partkey AS proposal_id FROM lineitem")
+@query("stream_first_proposals", "P28", f"""
+SELECT l_partkey AS proposal_id, {siso('min(l_shipdate)')} AS ts, min_by(l_suppkey, (l_shipdate, l_orderkey, l_suppkey, l_linenumber, l_extendedprice)) AS proposer
+FROM lineitem GROUP BY 1
+""")
 def stream_first_proposals(spark, sf):
-    m = stream_of(spark, sf, "lineitem").select(F.col("l_partkey").alias("proposal_id"), F.col("l_shipdate").alias("ts"))
-    out, _ = live.run_to_table(live.first_proposals_stream(live.as_event_time(m, "ts")), "first")
-    return out.select("proposal_id")
+    m = stream_of(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("proposal_id"), F.col("l_shipdate").alias("ts"), F.col("l_suppkey").alias("proposer"),
+        "l_orderkey", "l_linenumber", "l_extendedprice",
+    )
+    first = live.first_proposals_stream(live.as_event_time(m, "ts"), ["l_orderkey", "proposer", "l_linenumber", "l_extendedprice"])
+    out, _ = live.run_to_table(first, "first")
+    return out.select("proposal_id", iso("ts").alias("ts"), "proposer")
 
 
 @query("stream_cooldown", "I7", """

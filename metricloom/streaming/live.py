@@ -7,6 +7,7 @@ gives the same rows.  Event time is TIMESTAMP: zone-less timestamps are cast.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -140,18 +141,77 @@ def latest_state(updates: DataFrame, self_node, payload: list[str]) -> DataFrame
     return foreign.groupBy("state_type").agg(held.alias("s")).select("state_type", "s.*")
 
 
-def first_proposals_stream(messages: DataFrame, delay_seconds: int = 0) -> DataFrame:
-    """First message of each proposal id within the watermark."""
-    return messages.withWatermark("ts", f"{delay_seconds} seconds").dropDuplicatesWithinWatermark(["proposal_id"])
+class _FirstMessage(StatefulProcessor):
+    """Earliest message of a proposal; it stands once the watermark has passed it."""
 
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
-def votes_in_time(votes: DataFrame, proposals: DataFrame, delay_seconds: int = 0) -> DataFrame:
-    """Stream-stream interval join: votes cast before their proposal expired."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "at string, body string, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.held.get() if self.held.exists() else None
+        if held and held[2]:
+            return
+        best = json.loads(held[0]) if held else None
+        body = held[1] if held else None
+        for r in rows:
+            at = [r["t_ms"], r["place"]]
+            if best is None or at < best:
+                best, body = at, r["body"]
+        self.held.update((json.dumps(best), body, False))
+        self.handle.registerTimer(best[0])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.held.exists():
+            return
+        at, body, done = self.held.get()
+        if done:  # later copies are late by now
+            self.held.clear()
+        elif json.loads(at)[0] <= timerValues.getCurrentWatermarkInMs():
+            self.held.update((at, "", True))
+            self.handle.registerTimer(json.loads(at)[0] + self.keep_ms)
+            yield Row(proposal_id=key[0], body=body)
+
+    def close(self) -> None:
+        pass
+
+
+def first_proposals_stream(messages: DataFrame, order: list[str], delay_seconds: int = 0, keep_seconds: int = 86_400) -> DataFrame:
+    """First message of each proposal id by (ts, order), whatever batch it came in.
+
+    A proposal is remembered for ``keep_seconds`` after its first message.
+    """
+    kind = messages.schema["proposal_id"].dataType.simpleString()
+    fields = [f for f in messages.schema if f.name != "proposal_id"]
+    rows = messages.withWatermark("ts", f"{delay_seconds} seconds").select(
+        "proposal_id", "ts", F.unix_millis("ts").alias("t_ms"), F.to_json(F.struct(*[f.name for f in fields])).alias("body"),
+        F.array(F.col("ts").cast("double"), *[F.col(c).cast("double") for c in order]).alias("place"),
+    )
+    out = rows.groupBy("proposal_id").transformWithState(
+        statefulProcessor=_FirstMessage(keep_seconds * 1000), outputStructType=f"proposal_id {kind}, body string",
+        outputMode="Append", timeMode="EventTime",
+    )
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    return out.select("proposal_id", F.from_json("body", schema).alias("m")).select("proposal_id", "m.*")
+
+
+def votes_in_time(votes: DataFrame, proposals: DataFrame, lifetime_seconds: int, delay_seconds: int = 0) -> DataFrame:
+    """Stream-stream interval join: votes from their proposal until its expiration.
+
+    ``lifetime_seconds`` bounds every expiration, so the watermarks of both sides
+    clear the state.
+    """
     v = votes.withWatermark("ts", f"{delay_seconds} seconds")
     p = proposals.select("proposal_id", F.col("ts").alias("proposed_at"), "expiration").withWatermark(
         "proposed_at", f"{delay_seconds} seconds"
-    )
-    return v.join(p, "proposal_id").filter(F.col("ts") <= F.col("expiration"))
+    ).withColumnRenamed("proposal_id", "_proposal")
+    last = F.col("proposed_at") + F.expr(f"INTERVAL {lifetime_seconds} SECONDS")
+    in_time = (F.col("ts") >= F.col("proposed_at")) & (F.col("ts") <= last) & (F.col("ts") <= F.col("expiration"))
+    return v.join(p, (F.col("proposal_id") == F.col("_proposal")) & in_time).drop("_proposal")
 
 
 def append_snapshots(sink: str) -> Callable[[DataFrame, int], None]:
@@ -280,59 +340,75 @@ def cooldown_stream(candidates: DataFrame, seconds: float = 300) -> DataFrame:
 
 
 class _VoteTally(StatefulProcessor):
-    """Last vote of each voter until the proposal is decided or expires."""
+    """Counts votes in event order and decides at the first vote that settles a
+    proposal, so the cut into batches has no influence.
+
+    Votes wait until the watermark has passed them.  A decided proposal is
+    remembered until its expiration, then its state goes.
+    """
 
     def __init__(self, nodes: int):
         self.nodes, self.quorum = nodes, nodes // 2 + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # one value per proposal: a few votes (one per voter) as JSON, or the final state
-        self.held = handle.getValueState("held", "state string, votes string")
+        # waiting votes [order, voter, vote], the last vote of each voter, both as JSON
+        self.held = handle.getValueState("held", "decided boolean, limit_ms bigint, waiting string, last string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.held.get() if self.held.exists() else None
-        if held and held[0]:
+        decided, limit, waiting, last = self.held.get() if self.held.exists() else (False, None, "[]", "{}")
+        if decided:
             return
-        last = {v[0]: v[1:] for v in json.loads(held[1])} if held else {}
-        limit = None
-        for r in rows:  # a popular proposal streams through; only one vote per voter is kept
-            limit, order = r["expires_ms"], [r["t"], r["tie1"], r["tie2"], r["tie3"]]
-            if r["voter"] not in last or order > last[r["voter"]][1:]:
-                last[r["voter"]] = [r["vote"], *order]
-        total, yes = len(last), sum(v[0] for v in last.values())
-        state = None
-        if total >= self.quorum and yes >= self.quorum:
-            state = "accepted"
-        elif total >= self.quorum and total - yes > self.nodes - self.quorum:
-            state = "rejected"
-        if state:
-            self.held.update((state, ""))
-            yield Row(proposal_id=key[0], total=total, yes=yes, state=state)
-        else:
-            self.held.update(("", json.dumps([[k, *v] for k, v in last.items()])))
-            if limit is not None:
-                self.handle.registerTimer(limit)
+        votes = json.loads(waiting)
+        for r in rows:
+            limit = r["expires_ms"]
+            votes.append([[r["t"], r["tie1"], r["tie2"], r["tie3"]], r["voter"], r["vote"]])
+            self.handle.registerTimer(math.ceil(r["t"] * 1000))
+        self.held.update((False, limit, json.dumps(votes), last))
+        self.handle.registerTimer(limit)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state, votes = self.held.get()
-        if state:
+        if not self.held.exists():
             return
-        last = json.loads(votes)
-        self.held.update(("expired", ""))
-        yield Row(proposal_id=key[0], total=len(last), yes=sum(v[1] for v in last), state="expired")
+        decided, limit, waiting, held = self.held.get()
+        now = timerValues.getCurrentWatermarkInMs()
+        last, votes = dict(json.loads(held)) if held != "{}" else {}, sorted(json.loads(waiting))
+        due = [v for v in votes if v[0][0] * 1000 <= now]
+        state, total, yes = None, len(last), sum(last.values())
+        for _, voter, vote in [] if decided else due:
+            last[voter] = vote
+            total, yes = len(last), sum(last.values())
+            if total >= self.quorum and yes >= self.quorum:
+                state = "accepted"
+            elif total >= self.quorum and total - yes > self.nodes - self.quorum:
+                state = "rejected"
+            if state:
+                break
+        if not state and not decided and limit <= now:
+            state = "expired"
+        if state:
+            yield Row(proposal_id=key[0], total=total, yes=yes, state=state)
+        if limit <= now:
+            self.held.clear()
+        elif state or decided:
+            self.held.update((True, limit, "[]", "{}"))
+        else:
+            self.held.update((False, limit, json.dumps(votes[len(due):]), json.dumps(list(last.items()))))
 
     def close(self) -> None:
         pass
 
 
 def tally_stream(votes: DataFrame, delay_seconds: int = 0, nodes: int = NODES) -> DataFrame:
-    """Consensus per proposal from votes that carry their proposal's expiration.
+    """Consensus per proposal from votes that carry their proposal's time and expiration.
 
     Emits accepted or rejected when reached and expired when the event-time
     timer at the expiration fires first.
     """
-    rows = votes.withWatermark("ts", f"{delay_seconds} seconds").filter(F.col("ts") <= F.col("expiration")).select(
+    rows = votes.withWatermark("ts", f"{delay_seconds} seconds").filter(
+        (F.col("ts") >= F.col("proposed_at")) & (F.col("ts") <= F.col("expiration"))
+    ).select(
         "proposal_id", "voter", "vote", "ts", (F.unix_micros("ts") / 1e6).alias("t"),
         *[F.col(c).cast("double").alias(c) for c in ("tie1", "tie2", "tie3")],
         F.unix_millis("expiration").alias("expires_ms"),
