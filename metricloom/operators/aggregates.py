@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def _ranked_pass(
 
     The second scan folds everything below the bracket into one row per key and
     everything above into another, so only the distinct values inside are ever
-    ordered.  No task holds a whole key, and the result is exact.
+    ordered.  No task holds a whole key, and the result is exact: the sketch errs
+    by a rank share of 1 / accuracy at most, the bracket allows three times that.
     """
     eps = 3.0 / accuracy
     rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
@@ -60,25 +63,62 @@ def exact_quantile(
     return _ranked_pass(df, keys, value, q, accuracy, []).select(*keys, F.col("_q").alias(name))
 
 
+def _simple(value: str) -> dict[str, Column]:
+    return {
+        "sum": F.sum(value).alias("sum_value"), "avg": F.avg(value).alias("avg_value"), "min": F.min(value).alias("min_value"),
+        "max": F.max(value).alias("max_value"), "count": F.count(value).alias("n_points"),
+    }
+
+
 def range_aggregates(
-    points: DataFrame, keys: list[str], value: str = "value", q: float = 0.95, accuracy: int = 10_000
+    points: DataFrame, keys: list[str], value: str = "value", q: float = 0.95, accuracy: int = 10_000,
+    aggregations: Sequence[str] = AGGREGATIONS,
 ) -> DataFrame:
-    """Sum, mean, min, max, count and exact quantile of each series, all from the same two scans."""
+    """The chosen aggregates of each series: sum, avg, min, max, count, percentile.
+
+    All but the percentile come from one scan with partial aggregates.  The exact
+    percentile first counts rows per key: where no key holds more than
+    ``accuracy`` rows, the built-in aggregate keeps a key in one task; otherwise
+    the bracketing form takes two scans and holds no key whole.
+    """
+    unknown = set(aggregations) - set(AGGREGATIONS)
+    if unknown:
+        raise ValueError(f"unknown aggregations {sorted(unknown)}")
+    simple = [c for name, c in _simple(value).items() if name in aggregations]
+    rows = points.filter(F.col(value).isNotNull())
+    if "percentile" not in aggregations:
+        return rows.groupBy(*keys).agg(*simple)
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= accuracy:
+        return rows.groupBy(*keys).agg(*simple, F.percentile(value, F.lit(q)).alias("p_value"))
     extra = [F.sum("_s").alias("_s"), F.min("_min").alias("_min"), F.max("_max").alias("_max")]
-    return _ranked_pass(points, keys, value, q, accuracy, extra).select(
-        *keys,
-        F.col("_s").alias("sum_value"), (F.col("_s") / F.col("_n")).alias("avg_value"),
-        F.col("_min").alias("min_value"), F.col("_max").alias("max_value"),
-        F.col("_n").alias("n_points"), F.col("_q").alias("p_value"),
-    )
+    found = {
+        "sum": F.col("_s").alias("sum_value"), "avg": (F.col("_s") / F.col("_n")).alias("avg_value"), "min": F.col("_min").alias("min_value"),
+        "max": F.col("_max").alias("max_value"), "count": F.col("_n").alias("n_points"), "percentile": F.col("_q").alias("p_value"),
+    }
+    return _ranked_pass(points, keys, value, q, accuracy, extra).select(*keys, *[c for name, c in found.items() if name in aggregations])
 
 
 def windowed_aggregates(
-    points: DataFrame, keys: list[str], interval_seconds: int, ts: str = "ts", value: str = "value", q: float = 0.95
+    points: DataFrame, keys: list[str], interval_seconds: int, ts: str = "ts", value: str = "value", q: float = 0.95,
+    aggregations: Sequence[str] = AGGREGATIONS, names: Sequence[str] | None = None, start: str | None = None, stop: str | None = None,
+    labels: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Aggregates per key and tumbling window of ``interval_seconds``."""
+    """The chosen aggregates per key and tumbling window of ``interval_seconds``.
+
+    ``names``, ``start`` (included), ``stop`` (excluded) and ``labels`` restrict
+    the points read.
+    """
+    if names is not None:
+        points = points.filter(F.col("name").isin(list(names)))
+    if start is not None:
+        points = points.filter(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
+    if stop is not None:
+        points = points.filter(F.col(ts) < F.lit(stop).cast("timestamp_ntz"))
+    for label, wanted in (labels or {}).items():
+        points = points.filter(F.try_element_at("labels", F.lit(label)) == wanted)
     bucketed = points.select(*keys, floor_time(ts, interval_seconds).alias("window_start"), value)
-    return range_aggregates(bucketed, [*keys, "window_start"], value, q)
+    return range_aggregates(bucketed, [*keys, "window_start"], value, q, aggregations=aggregations)
 
 
 def trailing_stats(points: DataFrame, keys: list[str], now: Column, window_seconds: int = 60) -> DataFrame:

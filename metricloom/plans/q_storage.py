@@ -301,6 +301,28 @@ def range_aggregates(spark, sf):
     )
 
 
+@query("range_average_only", "A4", f"""
+SELECT event_type AS name, {r6('avg(value)')} AS avg_value FROM events
+WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{STOP}' GROUP BY 1
+""")
+def range_average_only(spark, sf):
+    points = metrics.read_range(inputs.metric_points(spark, sf), inputs.EVENT_TYPES, START, STOP)
+    return agg.range_aggregates(points, ["name"], aggregations=["avg"]).withColumn("avg_value", round6("avg_value"))
+
+
+@query("windowed_choice_filtered", "A5", f"""
+SELECT event_type AS name, {siso("date_trunc('day', ts)")} AS window_start, {r6('sum(value)')} AS sum_value, min(value) AS min_value, max(value) AS max_value,
+  count(*) AS n_points FROM events
+WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{STOP}' AND user_id = 3 GROUP BY 1, 2
+""")
+def windowed_choice_filtered(spark, sf):
+    out = agg.windowed_aggregates(
+        inputs.metric_points(spark, sf), ["name"], 86_400, aggregations=["sum", "min", "max", "count"],
+        names=["click", "view"], start=START, stop=STOP, labels={"user": "3"},
+    )
+    return out.select("name", iso("window_start").alias("window_start"), round6("sum_value").alias("sum_value"), "min_value", "max_value", "n_points")
+
+
 @query("series_metadata", "A6", f"""
 SELECT event_type AS name, {siso('min(ts)')} AS ts, min_by(event_id, (ts, event_id)) AS point_id,
   min_by(CAST(json_extract(props, '$.k') AS BIGINT), (ts, event_id)) AS k
