@@ -35,12 +35,17 @@ SCHEMAS: dict[str, dict[str, Any]] = {
         "properties": {
             "action": {"type": "string", "enum": ["scale_out", "scale_in", "scale_up", "scale_down"]},
             "magnitude": {"type": "number", "minimum": 0},
+            "success": {"type": "boolean"},
+            "metrics": {"type": "object", "properties": {
+                "response_time": {"type": "number", "minimum": 0}, "throughput": {"type": "number", "minimum": 0},
+                "error_rate": {"type": "number", "minimum": 0},
+            }},
         },
     },
     "workload_pattern": {
         "required": ["request_rate", "pattern_type"],
         "properties": {
-            "request_rate": {"type": "array", "items": {"minimum": 0}},
+            "request_rate": {"type": "array", "items": {"type": "number", "minimum": 0}},
             "pattern_type": {"type": "string", "enum": ["spike", "gradual", "periodic", "random"]},
         },
     },
@@ -89,12 +94,24 @@ def schema_checks(schema: Mapping[str, Any], get: Getter) -> list[tuple[str, Col
         shown = raw.cast("string")
         if spec.get("type") == "array":
             low = spec.get("items", {}).get("minimum")
+            if spec.get("items", {}).get("type") == "number":
+                checks.append((field, F.when(
+                    F.exists(raw, lambda x: x.isNotNull() & x.try_cast("double").isNull()), F.lit(f"an item of '{field}' is not of type 'number'")
+                )))
             if low is not None:
                 checks.append((field, F.when(
-                    F.exists(raw, lambda x: x < low), F.lit(f"an item of '{field}' is less than the minimum of {low}")
+                    F.exists(raw, lambda x: x.try_cast("double") < low), F.lit(f"an item of '{field}' is less than the minimum of {low}")
                 )))
             continue
+        if spec.get("type") == "object":
+            nested = {"required": spec.get("required", []), "properties": spec.get("properties", {})}
+            below = schema_checks(nested, lambda path, parent=field: get(f"{parent}.{path}"))
+            checks += [(f"{field}.{path}", F.when(raw.isNotNull(), found)) for path, found in below]
+            continue
         value = raw
+        if spec.get("type") == "boolean":
+            checks.append((field, F.when(raw.isNotNull() & raw.try_cast("boolean").isNull(), text("'", shown, "' is not of type 'boolean'"))))
+            continue
         if spec.get("type") == "number":
             value = raw.try_cast("double")
             checks.append((field, F.when(raw.isNotNull() & value.isNull(), text("'", shown, "' is not of type 'number'"))))
@@ -323,7 +340,7 @@ def rule_findings(rules: Sequence[Mapping[str, Any]], level: str, get: Getter) -
         for spec in rule["conditions"]:
             applies = applies & _condition(spec, get)
         failed = F.coalesce(*[_constraint(spec, get) for spec in rule["constraints"]])
-        found = F.when(applies & failed.isNotNull(), text(rule["id"], ": ", failed))
+        found = F.when(applies, text(rule["id"], ": ", failed))  # null without a failure
         (errors if rule["priority"].lower() == "high" else warnings).append(found)
     return messages(*errors), messages(*warnings)
 
@@ -333,9 +350,12 @@ def validate_records(
     rules: Mapping[str, Sequence[Mapping[str, Any]]], get: Getter = F.col,
 ) -> DataFrame:
     """Schema and rule validation of each record in one scan."""
-    first = first_violation(schemas, scope, get)
     rule_errors, rule_warnings = rule_findings(rules.get(scope, []), level, get)
-    schema = messages(F.when(first.isNotNull(), text(first["path"], ": ", first["error"])))
+    if scope in schemas:
+        # joined to null where the check holds, so every check is evaluated once
+        schema = messages(F.coalesce(*[text(path, ": ", found) for path, found in schema_checks(schemas[scope], get)]))
+    else:
+        schema = F.array(F.lit(f": No schema found for scope: {scope}"))
     out = records.withColumns({"errors": F.concat(schema, rule_errors), "warnings": rule_warnings})
     return out.withColumn("is_valid", F.size("errors") == 0)
 

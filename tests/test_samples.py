@@ -251,3 +251,24 @@ def test_empty_input_gives_empty_output(spark, frame):
         from metricloom.operators.aggregates import range_aggregates
 
         assert range_aggregates(p, ["name"]).count() == 0
+
+
+def test_outcome_and_item_types(spark):
+    """Nested minimums, boolean and item types of the schemas."""
+    row = spark.sql("""SELECT named_struct('action', 'scale_out', 'magnitude', 2D, 'success', 'perhaps', 'metrics',
+      named_struct('response_time', -1D, 'throughput', 90D, 'error_rate', -0.5D)) AS outcome, array('1', 'x', '-2') AS request_rate, 'spike' AS pattern_type""")
+    found = row.select(
+        quality.schema_errors(quality.SCHEMAS["scaling_outcome"], quality.fields_of("outcome")).alias("o"),
+        quality.schema_errors(quality.SCHEMAS["workload_pattern"], F.col).alias("w"),
+    ).first()
+    assert [m.removeprefix("Schema validation error: ") for m in found.o] == [
+        "'perhaps' is not of type 'boolean'", "-1.0 is less than the minimum of 0", "-0.5 is less than the minimum of 0"]
+    assert [m.removeprefix("Schema validation error: ") for m in found.w] == [
+        "an item of 'request_rate' is not of type 'number'", "an item of 'request_rate' is less than the minimum of 0"]
+
+
+def test_baselines_and_rules_keep_every_row(spark):
+    table = spark.createDataFrame([(f"f{i}", 1.0, 1.0, 0.0, 2.0) for i in range(6)], "field string, mean double, std double, min double, max double")
+    assert len(quality.baselines_of(table)) == 6
+    rules = spark.createDataFrame([(2, "s", '{"id": "a", "v": 2}'), (1, "s", '{"id": "a", "v": 1}'), (3, "s", '{"id": "b"}')], "position int, scope string, rule string")
+    assert quality.load_rules(rules) == {"s": [{"id": "a", "v": 2}, {"id": "b"}]}
