@@ -198,9 +198,12 @@ def allowed_proposals(proposals: DataFrame, allowed_types: DataFrame, cluster: D
 
 
 def accepted_votes(votes: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Votes cast on a known proposal before it expired."""
-    limits = proposals.select("proposal_id", F.col("ts").alias("proposed_at"), "expiration")
-    return votes.join(limits, "proposal_id").filter((F.col("ts") >= F.col("proposed_at")) & (F.col("ts") <= F.col("expiration")))
+    """Votes cast before their proposal expired, and not before it was known if
+    the proposals carry their own ``ts``."""
+    known = "ts" in proposals.columns
+    limits = proposals.select("proposal_id", "expiration", *[F.col("ts").alias("proposed_at")] * known)
+    early = F.col("ts") < F.col("proposed_at") if known else F.lit(False)
+    return votes.join(limits, "proposal_id").filter(~early & (F.col("ts") <= F.col("expiration")))
 
 
 def tally(votes: DataFrame, order: Sequence[str], nodes: int = NODES) -> DataFrame:

@@ -147,10 +147,13 @@ def test_outcome_similarity_and_cosine(spark):
 
 
 def test_entry_without_similar_ones_gets_the_base_confidence(spark):
-    schema = "entry_id bigint, type string, vector array<double>, outcome_value double"
-    new = spark.createDataFrame([(1, "t", [1.0, 0.0], 10.0), (2, "t", [0.0, 0.0], 10.0), (3, "u", [1.0, 0.0], 10.0)], schema)
-    held = spark.createDataFrame([(7, "t", [2.0, 0.1], 5.0, 0.8), (8, "t", [0.0, 1.0], 5.0, 0.8)], schema + ", confidence double")
-    got = {r["entry_id"]: r["new_confidence"] for r in entry_confidence(new, held, block_rows=1).collect()}
+    schema = "entry_id bigint, type string, ts timestamp, vector array<double>, outcome_value double"
+    new = spark.createDataFrame([(1, "t", T0, [1.0, 0.0], 10.0), (2, "t", T0, [0.0, 0.0], 10.0), (3, "u", T0, [1.0, 0.0], 10.0)], schema)
+    past, later = T0 - timedelta(days=1), T0 + timedelta(days=1)
+    held = [(7, "t", past, [2.0, 0.1], 5.0, 0.8), (8, "t", past, [0.0, 1.0], 5.0, 0.8)]
+    # stored later, or at the same time under the same or a higher id: not looked at
+    held += [(9, "t", later, [1.0, 0.0], 10.0, 1.0), (1, "t", T0, [1.0, 0.0], 10.0, 1.0), (4, "t", T0, [1.0, 0.0], 10.0, 1.0)]
+    got = {r["entry_id"]: r["new_confidence"] for r in entry_confidence(new, spark.createDataFrame(held, schema + ", confidence double"), block_rows=1).collect()}
     assert math.isclose(got[1], 0.4) and got[2] == 0.5 and got[3] == 0.5
 
 
