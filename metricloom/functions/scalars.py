@@ -15,15 +15,6 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Added before rounding, so that a decimal tie at the seventh digit does not
-# depend on the order in which a mean was summed.
-TIE_NUDGE = 3.3e-8
-
-
-def round6(c: Column | str) -> Column:
-    return F.round(col(c) + TIE_NUDGE, 6)
-
-
 def iso(ts: Column | str) -> Column:
     """ISO-8601 text with microseconds."""
     return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

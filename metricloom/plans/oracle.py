@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def r6(expr: str) -> str:
-    """Rounding as in ``functions.scalars.round6``."""
+    """Rounding as in ``plans.rounding.round6``."""
     return f"(round(({expr}) + 3.3e-8, 6) + 0)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import iso, round6
+from metricloom.functions.scalars import iso
 from metricloom.operators import allocate, decide, forecast, oplog, prepare
 from metricloom.operators.allocate import Limits
 from metricloom.plans import inputs
@@ -13,6 +13,7 @@ from metricloom.plans.inputs import HOUR, table
 from metricloom.plans.oracle import FILLED, UTIL, iso as siso, r6
 from metricloom.plans.q_quality import r4, rounded
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 from metricloom.session import cut_lineage
 
 #: The configured metrics.

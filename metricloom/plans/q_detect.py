@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import iso, round6
+from metricloom.functions.scalars import iso
 from metricloom.operators import detect, prepare, windows
 from metricloom.operators.chunks import positions
 from metricloom.plans import inputs
 from metricloom.plans.inputs import EVENT_TYPES, HOUR, table
 from metricloom.plans.oracle import FILLED, GRID, iso as siso, r6
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 
 PERIOD = 24
 

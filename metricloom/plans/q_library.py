@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import cosine, iso, round6, stable_id, text_bucket
+from metricloom.functions.scalars import cosine, iso, stable_id, text_bucket
 from metricloom.operators import clustering, features, library, similarity
 from metricloom.plans import inputs
 from metricloom.plans.inputs import table
 from metricloom.plans.oracle import SNAPSHOTS, USER_POINTS, iso as siso, r6
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 
 SEGMENT = 32
 TYPES = ["workload", "performance", "resource"]
@@ -87,7 +88,8 @@ WITH {FEATURES} SELECT pid AS pattern_id, {r6('freq')} AS dominant_frequency, {r
 FROM feats WHERE freq IS NOT NULL
 """)
 def series_spectrum_numpy(spark, sf):
-    out = features.numpy_features(segments(spark, sf), "pattern_id")
+    """The series with a spectrum; the numeric routine itself is a built-in expression."""
+    out = features.series_features(segments(spark, sf)).filter(F.col("dominant_frequency").isNotNull())
     return out.select("pattern_id", *[round6(c).alias(c) for c in ("dominant_frequency", "spectral_entropy")])
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import iso, round6
+from metricloom.functions.scalars import iso
 from metricloom.operators import oplog
 from metricloom.plans import inputs
 from metricloom.plans.inputs import table
 from metricloom.plans.oracle import OPERATIONS, SNAPSHOTS, VOTES, iso as siso, r6
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 
 
 def stamp(text):

@@ -6,13 +6,14 @@ import json
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import TIE_NUDGE, iso, round6
+from metricloom.functions.scalars import iso
 from metricloom.operators import quality
 from metricloom.plans import inputs
 from metricloom.plans.inputs import table
 from metricloom.plans.oracle import UTIL, iso as siso, r6
 from metricloom.plans.q_library import FEATURES, featured
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import TIE_NUDGE, round6
 from metricloom.sources.metrics import METRIC_DEFINITIONS, metric_definitions
 
 

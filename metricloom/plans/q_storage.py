@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import iso, memory_percent, parse_iso, round6, seconds_between
+from metricloom.functions.scalars import iso, memory_percent, parse_iso, seconds_between
 from metricloom.operators import aggregates as agg
 from metricloom.operators.chunks import previous_values
 from metricloom.operators.knowledge import update_confidence
@@ -13,6 +13,7 @@ from metricloom.plans import inputs
 from metricloom.plans.inputs import table
 from metricloom.plans.oracle import ENTRIES, SNAPSHOTS, iso as siso, r6
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 from metricloom.session import shared_folder
 from metricloom.sources import containers, metrics, tables
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import iso, round6
+from metricloom.functions.scalars import iso
 from metricloom.operators import models, similarity
 from metricloom.operators.knowledge import entry_confidence
 from metricloom.plans import inputs
@@ -14,6 +14,7 @@ from metricloom.plans.q_knowledge import RAW
 from metricloom.plans.q_oplog import TALLY, UPDATES
 from metricloom.plans.q_thresholds import FOLD, HOUR, config
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 from metricloom.session import cut_lineage, shared_folder
 from metricloom.streaming import live
 

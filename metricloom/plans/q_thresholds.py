@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import iso, register_comparator, round6, violates
+from metricloom.functions.scalars import iso, register_comparator, violates
 from metricloom.operators import thresholds, windows
 from metricloom.plans import inputs
 from metricloom.plans.inputs import HOUR, table
 from metricloom.plans.oracle import iso as siso, r6
 from metricloom.plans.registry import query
+from metricloom.plans.rounding import round6
 
 WINDOW = 24 * HOUR
 CONFIG = [

@@ -217,15 +217,20 @@ def votes_in_time(votes: DataFrame, proposals: DataFrame, lifetime_seconds: int,
 def append_snapshots(sink: str) -> Callable[[DataFrame, int], None]:
     """Batch writer of the snapshot log: versions, parents and checksums go on from the log.
 
-    A batch writes its own folder and reads only earlier ones, so a repeated
-    batch gives the same rows.
+    Beside the log, each batch writes the last version of every type; the next
+    batch reads these heads instead of the log.  A batch writes its own folders
+    and reads only earlier ones, so a repeated batch gives the same rows.
     """
+    heads = f"{sink}-heads"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         log = snapshot_log(batch)
+        held = None
         if batch_id > 0:
-            earlier = spark.read.parquet(sink).filter(F.col("batch") < batch_id)
-            held = latest_snapshots(earlier).select(
+            earlier = spark.read.parquet(heads).filter(F.col("batch") < batch_id)
+            newest = earlier.agg(F.max("batch")).first()[0]
+            held = earlier.filter(F.col("batch") == newest).select(
                 "state_type", F.col("version").alias("_top"), F.col("snapshot_id").alias("_last")
             )
             log = log.join(held, "state_type", "left").withColumns({
@@ -233,6 +238,11 @@ def append_snapshots(sink: str) -> Callable[[DataFrame, int], None]:
                 "parent_id": F.coalesce("parent_id", "_last"),
             }).drop("_top", "_last")
         log.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        last = latest_snapshots(spark.read.parquet(f"{sink}/batch={batch_id}")).select("state_type", "version", "snapshot_id")
+        if held is not None:
+            before = held.select("state_type", F.col("_top").alias("version"), F.col("_last").alias("snapshot_id"))
+            last = last.unionByName(before.join(last, "state_type", "left_anti"))
+        last.write.mode("overwrite").parquet(f"{heads}/batch={batch_id}")
 
     return write
 
