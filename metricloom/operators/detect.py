@@ -6,13 +6,15 @@ time span divided by the step, whatever the number of raw points.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import seconds_between
-from metricloom.operators.prepare import pivot_metrics, regular_grid
+from metricloom.operators.prepare import regular_grid
 
 # Default detector parameters.
 TREND_THRESHOLD = 0.1
@@ -192,25 +194,59 @@ def anomalies(grid: DataFrame, step_seconds: int, threshold: float = ANOMALY_THR
     ))
 
 
+def _pair_sums(width: int):
+    """Task-local sums of products of every pair of columns, null pairs left out."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, width, width))
+        for df in frames:
+            for start in range(0, len(df), 512):
+                x = np.zeros((min(512, len(df) - start), width))
+                known = np.zeros_like(x)
+                for row, (at, values) in enumerate(zip(df["at"].iloc[start : start + 512], df["values"].iloc[start : start + 512])):
+                    x[row, at], known[row, at] = values, 1.0
+                square = x * x
+                # by (a, b): rows, sum of a, sum of a squared, and the same of b by transposition
+                total += np.stack([known.T @ known, x.T @ known, square.T @ known, x.T @ x])
+        i, j = np.triu_indices(width, 1)
+        n, sa, saa, sab = (total[k][i, j] for k in range(4))
+        sb, sbb = total[1][j, i], total[2][j, i]
+        some = n > 0
+        yield pd.DataFrame({"i": i, "j": j, "n": n, "sa": sa, "sb": sb, "saa": saa, "sbb": sbb, "sab": sab})[some]
+    return run
+
+
 def pair_correlations(grid: DataFrame, names: list[str]) -> DataFrame:
     """Pearson correlation of every metric pair, over rows where both are known.
 
-    One aggregate pass over the pivoted grid: no pair rows are ever produced.
-    A constant series has no correlation (null).
+    Values of one time are gathered into a row (as many as configured metrics),
+    centred by their metric's mean; each task sums products of all columns as
+    matrices, and one row per pair and task is added up.  The plan does not grow
+    with the number of metrics.  A constant series has no correlation (null).
     """
     names = sorted(names)
-    wide = pivot_metrics(grid, names, "h", "filled")
-    pairs = list(combinations(names, 2))
-    stats = []
-    for a, b in pairs:
-        x = F.when(F.col(f"`{b}`").isNotNull(), F.col(f"`{a}`"))
-        y = F.when(F.col(f"`{a}`").isNotNull(), F.col(f"`{b}`"))
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        stats.append(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), r.alias("r")))
-    out = wide.agg(
-        F.min("h").alias("start_ts"), F.max("h").alias("end_ts"), F.array(*stats).alias("pairs")
-    )
-    return out.select("start_ts", "end_ts", F.inline("pairs"))
+    spark = grid.sparkSession
+    index = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    rows = grid.filter(F.col("name").isin(names)).select("name", "h", F.col("filled").cast("double").alias("v"))
+    span = rows.agg(F.min("h").alias("start_ts"), F.max("h").alias("end_ts"))
+    means = rows.groupBy("name").agg(F.avg("v").alias("mean"))
+    scale = index.join(means, "name", "left")
+    centred = rows.filter(F.col("v").isNotNull()).join(scale, "name").select("h", "i", (F.col("v") - F.col("mean")).alias("x"))
+    times = centred.groupBy("h").agg(F.collect_list(F.struct("i", "x")).alias("p")).select(F.col("p.i").alias("at"), F.col("p.x").alias("values"))
+    kinds = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    parts = times.mapInPandas(_pair_sums(len(names)), kinds)
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+
+    def variance(total: str, mean: str, squares: str) -> Column:
+        raw = F.col(squares) - F.col(total) * F.col(total) / F.col("n")
+        # what rounding leaves of a constant counts as none
+        return F.when(raw > F.pow(F.col(mean) * 1e-12, F.lit(2)) * F.col("n"), raw)
+
+    first = scale.select("i", F.col("name").alias("metric_a"), F.col("mean").alias("mean_a"), F.explode(F.sequence(F.col("i") + 1, F.lit(len(names)))).alias("j"))
+    pairs = first.filter(F.col("j") < len(names)).join(scale.select(F.col("i").alias("j"), F.col("name").alias("metric_b"), F.col("mean").alias("mean_b")), "j")
+    together = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    r = F.try_divide(together, F.sqrt(variance("sa", "mean_a", "saa") * variance("sb", "mean_b", "sbb")))
+    ends = span.select(F.struct("start_ts", "end_ts")).scalar()
+    return pairs.join(sums, ["i", "j"], "left").select(ends["start_ts"].alias("start_ts"), ends["end_ts"].alias("end_ts"), "metric_a", "metric_b", r.alias("r"))
 
 
 def correlations(grid: DataFrame, names: list[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:

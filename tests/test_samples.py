@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,18 @@ def test_baselines_and_rules_keep_every_row(spark):
     assert len(quality.baselines_of(table)) == 6
     rules = spark.createDataFrame([(2, "s", '{"id": "a", "v": 2}'), (1, "s", '{"id": "a", "v": 1}'), (3, "s", '{"id": "b"}')], "position int, scope string, rule string")
     assert quality.load_rules(rules) == {"s": [{"id": "a", "v": 2}, {"id": "b"}]}
+
+
+def test_pair_correlation_of_many_metrics(spark):
+    """Three hundred metrics plan and run; every pair is there, gaps and constants included."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 300)) + 50
+    x[:, 1], x[:, 2] = 2 * x[:, 0] - 3, 7.1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = [(f"m{j:03d}", T0 + timedelta(hours=i), None if np.isnan(v) else float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+    grid = spark.createDataFrame(rows, "name string, h timestamp_ntz, filled double")
+    got = {(r.metric_a, r.metric_b): r.r for r in detect.pair_correlations(grid, [f"m{j:03d}" for j in range(300)]).collect()}
+    assert len(got) == 300 * 299 // 2 and got["m001", "m002"] is None and math.isclose(got["m000", "m001"], 1)
+    for a, b in [(0, 5), (17, 200), (298, 299)]:
+        both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+        assert math.isclose(got[f"m{a:03d}", f"m{b:03d}"], np.corrcoef(x[both, a], x[both, b])[0, 1], abs_tol=1e-9)
