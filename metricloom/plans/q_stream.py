@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import iso
-from metricloom.operators import models, similarity
+from metricloom.operators import aggregates, models, similarity
 from metricloom.operators.knowledge import entry_confidence
 from metricloom.plans import inputs
 from metricloom.plans.inputs import table
@@ -68,22 +68,36 @@ def collection_cycle_to_topic(spark, sf):
     return live.run_to_table(routed, "routed")[0]
 
 
-@query("stream_threshold_counters", "I3", """
-SELECT event_type AS name, count(*) AS evaluations,
-  count(*) FILTER (WHERE CASE event_type WHEN 'click' THEN value > 60 WHEN 'error' THEN value >= 50 WHEN 'purchase' THEN value > 50 WHEN 'signup' THEN value > 70 ELSE value < 20 END) AS violations
-FROM events GROUP BY 1
+LEARNED = """
+learned AS (SELECT quantile_cont(value, 0.9) AS p FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-15'),
+judged AS (
+  SELECT event_id, event_type AS name, CASE event_type WHEN 'click' THEN value > 60
+    WHEN 'error' THEN value >= CASE WHEN hour(ts) < 6 THEN 85 WHEN hour(ts) < 18 THEN 40 WHEN hour(ts) < 20 THEN 5 ELSE 50 END
+    WHEN 'purchase' THEN value > (SELECT p FROM learned) WHEN 'signup' THEN value > 65 ELSE value < 20 END AS violation
+  FROM events)
+"""
+
+
+def evaluated_stream(spark, sf):
+    """Events judged by type: the percentile learned from the first half of the
+    month, an adapted limit of 65 for the adaptive metric."""
+    past = inputs.metric_points(spark, sf).filter((F.col("name") == "purchase") & (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")))
+    learned = aggregates.exact_quantile(past, ["name"], "value", 0.9, "percentile_value").withColumn("adaptive_value", F.lit(None).cast("double"))
+    adapted = spark.createDataFrame([("signup", None, 65.0)], "name string, percentile_value double, adaptive_value double")
+    return live.evaluate_stream(points(spark, sf), config(spark), cut_lineage(learned.unionByName(adapted)))
+
+
+@query("stream_threshold_counters", "I3", f"""
+WITH {LEARNED} SELECT name, count(*) AS evaluations, count(*) FILTER (WHERE violation) AS violations FROM judged GROUP BY 1
 """)
 def stream_threshold_counters(spark, sf):
-    counters = live.running_counters(live.evaluate_stream(points(spark, sf), config(spark)))
+    counters = live.running_counters(evaluated_stream(spark, sf))
     return live.run_to_table(counters, "counters", "complete")[0].select("name", "evaluations", "violations")
 
 
-@query("stream_threshold_points", "I3 P13", """
-SELECT event_id, CASE event_type WHEN 'click' THEN value > 60 WHEN 'error' THEN value >= 50 WHEN 'purchase' THEN value > 50 WHEN 'signup' THEN value > 70 ELSE value < 20 END AS violation FROM events
-""")
+@query("stream_threshold_points", "I3 P13", f"WITH {LEARNED} SELECT event_id, violation FROM judged")
 def stream_threshold_points(spark, sf):
-    evaluated = live.evaluate_stream(points(spark, sf), config(spark)).select("event_id", "violation")
-    return live.run_to_table(evaluated, "evaluated")[0]
+    return live.run_to_table(evaluated_stream(spark, sf).select("event_id", "violation"), "evaluated")[0]
 
 
 @query("stream_adaptive_threshold", "I4 M8", f"""

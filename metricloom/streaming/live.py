@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from metricloom.functions.scalars import violates
 from metricloom.operators.oplog import NODES, latest_snapshots, snapshot_log
-from metricloom.operators.thresholds import UNBOUNDED
+from metricloom.operators.thresholds import UNBOUNDED, current_threshold
 from metricloom.session import ROCKSDB, shared_folder
 
 COLLECTION_SECONDS = 5  # default cadence of a collection cycle
@@ -117,10 +117,23 @@ def live_stats(points: DataFrame, keys: list[str], window_seconds: int = 60, del
     )
 
 
-def evaluate_stream(points: DataFrame, config: DataFrame) -> DataFrame:
-    """Each arriving point with its threshold and violation: a stream-static join."""
-    limits = config.select("name", "operator", F.col("value").alias("threshold"))
-    return points.join(limits, "name").withColumn("violation", violates("operator", "value", "threshold"))
+def evaluate_stream(points: DataFrame, config: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """Each arriving point with the threshold in force, by the type of its metric.
+
+    Static and time-of-day limits are row-local.  ``learned`` (name,
+    percentile_value, adaptive_value) holds the limits that sliding and adaptive
+    metrics have reached, as their own streams write them: a small table that
+    the stream-static join reads again for every batch.  A metric without a
+    learned limit uses its configured value.
+    """
+    joined = points.join(config.withColumnRenamed("value", "value_limit"), "name")
+    if learned is None:
+        joined = joined.withColumns({c: F.lit(None).cast("double") for c in ("percentile_value", "adaptive_value")})
+    else:
+        joined = joined.join(learned.select("name", "percentile_value", "adaptive_value"), "name", "left")
+    limit = current_threshold(F.col("percentile_value"), F.col("adaptive_value"))
+    out = joined.withColumn("threshold", limit).withColumn("violation", violates("operator", "value", "threshold"))
+    return out.select(*points.columns, "threshold_type", "operator", "threshold", "violation")
 
 
 def running_counters(evaluated: DataFrame) -> DataFrame:
