@@ -9,8 +9,8 @@ with a probability equal to their weighted Jaccard similarity, and the work per
 shingle grows with the logarithm of its weight.  A process ends once its time
 passes the latest register.
 
-Registers are banded; texts that share a band meet the smallest id of the bucket
-first, and the exact multiset overlap of each such pair decides.  Buckets whose
+Registers are banded; texts that share a band meet the most central text of the
+bucket first, and the exact multiset overlap of each such pair decides.  Buckets whose
 members still belong to several classes are then compared member by member on
 their registers in bounded blocks, and what looks similar is verified exactly.
 
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import small_or_merge, text_slices
+from metricloom.llm.tokens import bounds_of, gather
 from metricloom.operators.clustering import connected_components
 from metricloom.session import cut_lineage
 
@@ -98,8 +99,8 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
         sizes = burst[doc[active]]
         for size in np.unique(sizes):
             rows = active[sizes == size]
-            for at in range(0, len(rows), max(1, (1 << 19) // int(size))):
-                r = rows[at : at + max(1, (1 << 19) // int(size))]
+            for at in range(0, len(rows), max(1, (1 << 18) // int(size))):
+                r = rows[at : at + max(1, (1 << 18) // int(size))]
                 z = mix(seed[r, None] + (point[r, None] + np.arange(1, size + 1)).astype(np.uint64) * U(0xD1B54A32D192ED03))
                 gap = -np.log(((z >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[r, None]
                 gap[:, 0] += time[r]
@@ -123,7 +124,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for whole, all_texts in text_slices(batch):
+            for whole, all_texts in text_slices(batch, size=2 << 20):
                 for at in range(0, len(whole), MAX_SLICE):
                     part, texts = whole.slice(at, MAX_SLICE), all_texts.slice(at, MAX_SLICE)
                     row, shingle, weight = shingles(texts, words)
@@ -147,19 +148,36 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def overlaps(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of paired texts."""
-    out = np.zeros(len(left))
-    for at in range(0, len(left), MAX_SLICE):
-        a, b = (shingles(x.slice(at, MAX_SLICE), words) for x in (left, right))
-        n = len(left.slice(at, MAX_SLICE))
-        both = np.concatenate([(x[0].astype(np.uint64) << U(52)) | x[1] for x in (a, b)])
-        weight = np.concatenate([a[2], b[2]])
-        order = np.argsort(both, kind="stable")
-        key, w = both[order], weight[order]
+    """Weighted Jaccard similarity of the shingle multisets of paired texts.
+
+    Each different text is cut into shingles once; pairs are compared in groups
+    of about a million shingles.
+    """
+    n = len(left)
+    coded = pa.concat_arrays([left, right]).dictionary_encode()
+    texts, place = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    parts = [shingles(texts.slice(at, MAX_SLICE), words) for at in range(0, len(texts), MAX_SLICE)]
+    if not parts:
+        return np.zeros(0)
+    row = np.concatenate([p[0] + i * MAX_SLICE for i, p in enumerate(parts)])
+    shingle, weight = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    bounds = bounds_of(np.bincount(row, minlength=len(texts)))
+    total = np.bincount(row, weight, len(texts))
+    sizes = np.diff(bounds)
+    ends, out, start = np.cumsum(sizes[place[:n]] + sizes[place[n:]]), np.zeros(n), 0
+    while start < n:
+        stop = min(start + MAX_SLICE, max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20)))))
+        pairs = np.concatenate([place[start:stop], place[n + start : n + stop]])
+        which, _ = gather(np.arange(len(row)), bounds, pairs)
+        pair = np.repeat(np.tile(np.arange(stop - start, dtype=np.uint64), 2), sizes[pairs])
+        key, w = (pair << U(52)) | shingle[which], weight[which]
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], w[order]
         same = np.flatnonzero(key[1:] == key[:-1])
-        shared = np.bincount((key[same] >> U(52)).astype(np.int64), np.minimum(w[same], w[same + 1]), n)
-        total = np.bincount(a[0], a[2], n) + np.bincount(b[0], b[2], n) - shared
-        out[at : at + n] = np.where(total > 0, shared / np.maximum(total, 1), 0)
+        shared = np.bincount((key[same] >> U(52)).astype(np.int64), np.minimum(w[same], w[same + 1]), stop - start)
+        union = total[place[start:stop]] + total[place[n + start : n + stop]] - shared
+        out[start:stop] = np.where(union > 0, shared / np.maximum(union, 1), 0)
+        start = stop
     return out
 
 
@@ -177,7 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, left in text_slices(batch, "text_a"):
+            for part, left in text_slices(batch, "text_a", 2 << 20):
                 right = part.column("text_b").cast(pa.large_string())
                 good = pa.array(overlaps(left, right, words) >= similarity)
                 yield part.select(["u", "v"]).filter(good)
@@ -246,9 +264,15 @@ def near_duplicates(
     groups = cut_lineage(ids.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
     nodes = signed.join(groups.drop("n"), ["node", "k1", "k2"], "left_semi").filter(F.size("bands") > 0)
     banded = nodes.select("node", "k1", F.explode("bands").alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min(F.struct("node", "k1")).alias("leader"), F.count(F.lit(1)).alias("n"))
-    leaders = cut_lineage(leaders.filter(F.col("n") > 1).select("bucket", F.col("leader.node").alias("b"), F.col("leader.k1").alias("kb"), "n"))
-    members = cut_lineage(banded.join(leaders, "bucket").select("bucket", F.col("node").alias("a"), F.col("k1").alias("ka"), "b", "kb", "n"))
+    shared = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    joined = cut_lineage(banded.join(shared, "bucket"))
+    # the text that meets most others leads a bucket: copies of a common origin differ less from it than from each other
+    degree = cut_lineage(joined.groupBy("node", "k1").agg(F.sum("n").alias("degree")))
+    central = F.max_by(F.struct("node", "k1"), F.struct("degree", -F.col("node")))
+    leaders = joined.join(degree, ["node", "k1"]).groupBy("bucket").agg(central.alias("leader"))
+    leaders = cut_lineage(leaders.select("bucket", F.col("leader.node").alias("b"), F.col("leader.k1").alias("kb")))
+    members = joined.join(leaders, "bucket").select("bucket", F.col("node").alias("a"), F.col("k1").alias("ka"), "b", "kb", "n")
+    members = cut_lineage(members)
     met = cut_lineage(members.filter("a <> b or ka <> kb").groupBy("a", "ka", "b", "kb").agg(F.count(F.lit(1)).alias("bands")))
     check = partial(verified, docs=docs, words=words, similarity=similarity)
 
