@@ -15,12 +15,12 @@ from metricloom.llm.common import read
 from metricloom.llm.line_templates import drop_recurring_lines
 from metricloom.llm.packing import pack_documents
 from metricloom.llm.quality_model import score, train
-from metricloom.session import cut_lineage
+from metricloom.session import cut_lineage, prepare_session
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half go; the score itself is not kept."""
-    return score(docs, train(docs, read(spark, sf_dir, "labels"))).filter("score >= 0.5").select(*docs.columns)
+    return score(docs, train(docs, read(prepare_session(spark), sf_dir, "labels"))).filter("score >= 0.5").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = read(prepare_session(spark), sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
