@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.llm.common import small_or_merge
 from metricloom.operators.clustering import connected_components
@@ -52,8 +53,9 @@ def budgets(size: int, cosine: float) -> np.ndarray:
     return (2 - 2 * cosine + SLACK) * share
 
 
-def _deal(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows (size, block, cell, visit, uid, mult, vector, rotated) of each vector."""
+def _deal(batches: Iterator[pa.RecordBatch], cosine: float, single: bool, cells_only: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (size, block, cell, visit, uid, mult, vector, rotated) of each vector;
+    ``single`` keeps single-precision components in four bytes."""
     for batch in batches:
         values = batch.column("embedding")
         sizes = values.value_lengths().to_numpy()
@@ -67,8 +69,8 @@ def _deal(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             turned = (unit @ rotation(int(size))).astype(np.float32)
             uid, mult = (batch.column(c).to_numpy()[rows] for c in ("uid", "mult"))
-            own = [v.tobytes() for v in np.ascontiguousarray(x, np.float64)]
-            seen = [v.tobytes() for v in turned]
+            own = [] if cells_only else [v.tobytes() for v in np.ascontiguousarray(x, np.float32 if single else np.float64)]
+            seen = [] if cells_only else [v.tobytes() for v in turned]
             for k, (b, budget) in enumerate(zip(blocks_of(int(size)), budgets(int(size), cosine))):
                 lead = turned[:, b][:, :AXES].astype(np.float64)
                 reach, width = np.sqrt(budget), 2 * np.sqrt(budget)
@@ -84,13 +86,17 @@ def _deal(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
                     code = np.zeros(len(r), np.int64)
                     for axis in cell[r].T:
                         code = code * 100_003 + axis
+                    where = [pa.array(np.full(len(r), size, np.int32)), pa.array(np.full(len(r), k, np.int32)), pa.array(code), pa.array(np.full(len(r), visit))]
+                    if cells_only:
+                        yield pa.RecordBatch.from_arrays(where, ["size", "block", "cell", "visit"])
+                        continue
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(r), size, np.int32)), pa.array(np.full(len(r), k, np.int32)), pa.array(code), pa.array(np.full(len(r), visit)),
-                        pa.array(uid[r]), pa.array(mult[r]), pa.array([own[i] for i in r], pa.binary()), pa.array([seen[i] for i in r], pa.binary()),
+                        *where, pa.array(uid[r]), pa.array(mult[r]), pa.array([own[i] for i in r], pa.binary()), pa.array([seen[i] for i in r], pa.binary()),
                     ], ["size", "block", "cell", "visit", "uid", "mult", "vector", "rotated"])
 
 
-DEALT = "size int, block int, cell long, visit boolean, uid long, mult long, vector binary, rotated binary"
+CELLS = "size int, block int, cell long, visit boolean"
+DEALT = CELLS + ", uid long, mult long, vector binary, rotated binary"
 
 
 class Forest:
@@ -112,41 +118,63 @@ class Forest:
             self.edges.append((i, j))
 
 
-def _join_cell(table: pa.Table, cosine: float, tile: int = 1024) -> pa.Table:
-    """Links of one cell: homes with homes, or two blocks of rows with each other."""
+def _join_cell(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -> pa.Table:
+    """Links of one part of a cell, or between two parts: visitors meet homes only."""
     size, k = table.column("size")[0].as_py(), table.column("block")[0].as_py()
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    uid, mult, side = (table.column(c).to_numpy() for c in ("uid", "mult", "side"))
-    order = np.argsort(uid, kind="stable")
-    uid, mult, side = uid[order], mult[order], side[order]
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, size)[order]
-    turned = np.frombuffer(b"".join(table.column("rotated").to_pylist()), np.float32).reshape(-1, size)[order]
+    uid, mult, side, visit = (table.column(c).to_numpy() for c in ("uid", "mult", "side", "visit"))
+    visit = visit.astype(bool)
+    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32 if single else np.float64).reshape(-1, size).astype(np.float64)
+    turned = np.frombuffer(b"".join(table.column("rotated").to_pylist()), np.float32).reshape(-1, size)
     norm = np.sqrt((vectors * vectors).sum(axis=1))
     cuts, budget = blocks_of(size), budgets(size, cosine)
     part = np.ascontiguousarray(turned[:, cuts[k]])
-    square = (part * part).sum(axis=1)
+    square, ones = (part * part).sum(axis=1)[:, None], np.ones((len(uid), 1), np.float32)
+    # the product of these rows is a squared distance
+    left_rows, right_rows = np.hstack([-2 * part, square, ones]), np.hstack([part, ones, square])
+    along = part[:, min(AXES, part.shape[1] - 1)]  # sorted by an axis that the cells leave open
+    reach = np.float32(np.sqrt(budget[k] + SLACK)) + np.float32(1e-6)
     links, forest = np.zeros(len(uid), np.int64), Forest(len(uid))
-    same = lo == hi
-    left, right = (np.arange(len(uid)),) * 2 if same else (np.flatnonzero(side == lo), np.flatnonzero(side == hi))
-    for a in range(0, len(left), tile):
-        i = left[a : a + tile]
-        for b in range(a if same else 0, len(right), tile):
-            j = right[b : b + tile]
-            near = square[i, None] + square[None, j] - 2 * (part[i] @ part[j].T) <= budget[k] + SLACK
-            if same and a == b:
-                near &= i[:, None] < j[None, :]
-            x, y = np.nonzero(near)
-            for at in range(0, len(x), 1 << 15):
-                p, q = i[x[at : at + (1 << 15)]], j[y[at : at + (1 << 15)]]
-                gaps = np.stack([((turned[p][:, c].astype(np.float64) - turned[q][:, c]) ** 2).sum(axis=1) for c in cuts[: k + 1]], axis=1)
-                first = (gaps[:, k] <= budget[k]) & ~(gaps[:, :k] <= budget[:k]).any(axis=1)
-                p, q = p[first], q[first]
-                good = np.einsum("ij,ij->i", vectors[p], vectors[q]) >= cosine * (norm[p] * norm[q])
-                p, q = p[good], q[good]
-                np.add.at(links, p, mult[q])
-                np.add.at(links, q, mult[p])
-                for u, v in zip(p, q):
-                    forest.join(u, v)
+
+    def meet(left: np.ndarray, right: np.ndarray, once: bool) -> None:
+        """Compare rows ``left`` with ``right``; ``once``: they are the same rows."""
+        left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
+        place = along[right]
+        right_side = right_rows[right]
+        for a in range(0, len(left), tile):
+            i = left[a : a + tile]
+            start = int(np.searchsorted(place, along[i[0]] - reach))
+            stop = int(np.searchsorted(place, along[i[-1]] + reach, side="right"))
+            for b in range(max(start, a) if once else start, stop, 4 * tile):
+                j = right[b : min(stop, b + 4 * tile)]
+                near = left_rows[i] @ right_side[b : b + len(j)].T <= np.float32(budget[k] + SLACK)
+                if once and b < a + len(i):
+                    near &= np.arange(a, a + len(i))[:, None] < np.arange(b, b + len(j))[None, :]
+                hits = np.flatnonzero(near)
+                for at in range(0, len(hits), 1 << 15):
+                    x, y = np.divmod(hits[at : at + (1 << 15)], len(j))
+                    verify(i[x], j[y])
+
+    def verify(p: np.ndarray, q: np.ndarray) -> None:
+        """Count a pair in the first block that holds it, if it is a link."""
+        gaps = np.stack([((turned[p][:, c].astype(np.float64) - turned[q][:, c]) ** 2).sum(axis=1) for c in cuts[: k + 1]], axis=1)
+        first = (gaps[:, k] <= budget[k]) & ~(gaps[:, :k] <= budget[:k]).any(axis=1)
+        p, q = p[first], q[first]
+        good = np.einsum("ij,ij->i", vectors[p], vectors[q]) >= cosine * (norm[p] * norm[q])
+        p, q = p[good], q[good]
+        np.add.at(links, p, mult[q])
+        np.add.at(links, q, mult[p])
+        for u, v in zip(p, q):
+            forest.join(u, v)
+
+    if lo == hi:
+        homes = np.flatnonzero(~visit)
+        meet(homes, homes, True)
+        meet(homes, np.flatnonzero(visit), False)
+    else:
+        low, high = side == lo, side == hi
+        meet(np.flatnonzero(low & ~visit), np.flatnonzero(high), False)
+        meet(np.flatnonzero(low & visit), np.flatnonzero(high & ~visit), False)
     linked = np.flatnonzero(links)
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     a = np.concatenate([uid[linked], uid[edges[:, 0]]])
@@ -155,7 +183,7 @@ def _join_cell(table: pa.Table, cosine: float, tile: int = 1024) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b), "links": pa.array(n)})
 
 
-def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 8192) -> DataFrame:
+def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 32_768) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): n_links, component_id, kept.
 
     A cell with more than ``cell_rows`` rows is cut into parts by hash and joined
@@ -169,18 +197,18 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 8192)
     nodes = cut_lineage(valid.groupBy("embedding").agg(F.min("vec_id").alias("uid"), F.count(F.lit(1)).alias("mult")))
     if nodes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dealt = cut_lineage(nodes.select("uid", "mult", "embedding").repartition("uid", "embedding").mapInArrow(lambda b: _deal(b, cosine), DEALT))
+    single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
+    even = nodes.select("uid", "mult", "embedding").repartition("uid", "embedding")
     cell = ["size", "block", "cell"]
-    homes = dealt.groupBy(*cell).agg(F.count(F.when(~F.col("visit"), 1)).alias("homes"), F.count(F.when(F.col("visit"), 1)).alias("visits"))
-    parts = cut_lineage(homes.filter("homes > 0 and homes + visits > 1").select(
-        *cell, F.ceil(F.col("homes") / cell_rows).cast("int").alias("h"), F.ceil(F.col("visits") / cell_rows).cast("int").alias("v")))
+    # the cells are dealt twice, first by name alone: vectors move once
+    named_cells = even.mapInArrow(lambda b: _deal(b, cosine, single, True), CELLS)
+    sizes = named_cells.groupBy(*cell).agg(F.count(F.when(~F.col("visit"), 1)).alias("homes"), F.count(F.lit(1)).alias("n"))
+    parts = cut_lineage(sizes.filter("homes > 0 and n > 1").select(*cell, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
+    dealt = even.mapInArrow(lambda b: _deal(b, cosine, single, False), DEALT)
     spread = dealt.join(small_or_merge(parts, parts.count(), 32, 8 << 20), cell)
-    # parts of homes are numbered from 0, parts of visitors from h on; homes meet all, visitors meet homes
-    own = F.when(F.col("visit"), F.col("h") + F.pmod(F.xxhash64("uid"), F.col("v"))).otherwise(F.pmod(F.xxhash64("uid"), F.col("h"))).cast("int")
-    others = F.when(F.col("visit"), F.sequence(F.lit(0), F.col("h") - 1)).otherwise(F.sequence(F.lit(0), F.col("h") + F.col("v") - 1))
-    spread = spread.withColumn("side", own).withColumn("other", F.explode(others))
-    spread = spread.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("visit", "h", "v", "other")
-    found = cut_lineage(spread.groupBy(*cell, "lo", "hi").applyInArrow(lambda t: _join_cell(t, cosine), FOUND))
+    spread = spread.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("parts", "other")
+    found = cut_lineage(spread.groupBy(*cell, "lo", "hi").applyInArrow(lambda t: _join_cell(t, cosine, single), FOUND))
     counts = found.filter("links > 0").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("links = 0 and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = nodes.join(cut_lineage(counts), "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
