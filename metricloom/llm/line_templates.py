@@ -90,7 +90,8 @@ def drop_recurring_lines(docs: DataFrame, max_share: float = 0.5, **how) -> Data
     drops = hits.groupBy("text_key").agg(F.collect_list("pos").alias("places"), F.sum("words").alias("gone"))
     drops = cut_lineage(drops)
     rest = docs.drop("lines_dropped")
-    keyed = rest.withColumn("_key", F.xxhash64("text")).join(drops.withColumnRenamed("text_key", "_key").withColumnsRenamed({"places": "_places", "gone": "_gone"}), "_key", "left")
+    drops = small_or_merge(drops, drops.count(), 80, 16 << 20).withColumnsRenamed({"text_key": "_key", "places": "_places", "gone": "_gone"})
+    keyed = rest.withColumn("_key", F.xxhash64("text")).join(drops, "_key", "left")
     lines = F.split("text", "\n")
     words = F.size(F.filter(F.split(F.col("text"), "[ \n]"), lambda x: x != ""))
     boilerplate = F.col("text").isNotNull() & F.col("_gone").isNotNull() & (F.col("_gone") <= words * max_share)
