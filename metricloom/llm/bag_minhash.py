@@ -12,7 +12,8 @@ passes the latest register.
 Registers are banded; texts that share a band meet the most central text of the
 bucket first, and the exact multiset overlap of each such pair decides.  Buckets whose
 members still belong to several classes are then compared member by member on
-their registers in bounded blocks, and what looks similar is verified exactly.
+their registers in bounded blocks, and what looks similar is verified exactly in
+the same task, so that no candidate pairs are emitted.
 
 Defined cases: exact copies are one node before any banding, so a group of
 copies costs one text; a null text is empty; texts without words equal only each
@@ -148,26 +149,31 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def overlaps(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of paired texts.
+    """Weighted Jaccard similarity of the shingle multisets of paired texts."""
+    coded = pa.concat_arrays([left, right]).dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    return paired_overlaps(coded.dictionary, place[: len(left)], place[len(left) :], words)
+
+
+def paired_overlaps(texts: pa.Array, left: np.ndarray, right: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Similarities of the texts at the places ``left`` and ``right``.
 
-    Each different text is cut into shingles once; pairs are compared in groups
-    of about a million shingles.
+    Each text is cut into shingles once; pairs are compared in groups of about a
+    million shingles.
     """
     n = len(left)
-    coded = pa.concat_arrays([left, right]).dictionary_encode()
-    texts, place = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    parts = [shingles(texts.slice(at, MAX_SLICE), words) for at in range(0, len(texts), MAX_SLICE)]
-    if not parts:
+    if not n:
         return np.zeros(0)
+    parts = [shingles(texts.slice(at, MAX_SLICE), words) for at in range(0, len(texts), MAX_SLICE)]
     row = np.concatenate([p[0] + i * MAX_SLICE for i, p in enumerate(parts)])
     shingle, weight = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     bounds = bounds_of(np.bincount(row, minlength=len(texts)))
     total = np.bincount(row, weight, len(texts))
     sizes = np.diff(bounds)
-    ends, out, start = np.cumsum(sizes[place[:n]] + sizes[place[n:]]), np.zeros(n), 0
+    ends, out, start = np.cumsum(sizes[left] + sizes[right]), np.zeros(n), 0
     while start < n:
         stop = min(start + MAX_SLICE, max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20)))))
-        pairs = np.concatenate([place[start:stop], place[n + start : n + stop]])
+        pairs = np.concatenate([left[start:stop], right[start:stop]])
         which, _ = gather(np.arange(len(row)), bounds, pairs)
         pair = np.repeat(np.tile(np.arange(stop - start, dtype=np.uint64), 2), sizes[pairs])
         key, w = (pair << U(52)) | shingle[which], weight[which]
@@ -175,12 +181,19 @@ def overlaps(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarray:
         key, w = key[order], w[order]
         same = np.flatnonzero(key[1:] == key[:-1])
         shared = np.bincount((key[same] >> U(52)).astype(np.int64), np.minimum(w[same], w[same + 1]), stop - start)
-        union = total[place[start:stop]] + total[place[n + start : n + stop]] - shared
+        union = total[left[start:stop]] + total[right[start:stop]] - shared
         out[start:stop] = np.where(union > 0, shared / np.maximum(union, 1), 0)
         start = stop
     return out
 
 
+def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, k1, text) of the nodes in ``wanted``, a written table; other texts do not move."""
+    text = F.coalesce("text", F.lit(""))
+    nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"), F.xxhash64(text).alias("k1"), text.alias("text"))
+    return nodes.join(small_or_merge(wanted, wanted.count(), 24, 8 << 20), ["node", "k1"], "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, ka, b, kb) whose texts overlap enough, as edges (u, v).
 
@@ -189,9 +202,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     """
     wanted = pairs.select(F.col("a").alias("node"), F.col("ka").alias("k1")).unionByName(pairs.select(F.col("b").alias("node"), F.col("kb").alias("k1")))
     wanted = cut_lineage(wanted.distinct())
-    text = F.coalesce("text", F.lit(""))
-    nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"), F.xxhash64(text).alias("k1"), text.alias("text"))
-    nodes = nodes.join(small_or_merge(wanted, wanted.count(), 24, 8 << 20), ["node", "k1"], "left_semi")
+    nodes = node_texts(docs, wanted)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,13 +217,14 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(check, "u long, v long")
 
 
-def _looks_alike(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs of different classes in a bucket whose registers look similar.
+def _links_across(members: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """Edges (u, v) between members of a bucket that belong to different classes.
 
-    ``members`` (bucket, node, k1, root, registers) is dealt into blocks of about
-    ``block`` members; each pair of blocks of a bucket is one group of rows, and
-    groups stream through a task sorted, so a task holds two blocks.  The bound
-    lies five standard errors under ``similarity``.
+    ``members`` (bucket, node, k1, root, registers, text) is dealt into blocks of
+    about ``block`` members; each pair of blocks of a bucket is one group of rows,
+    and groups stream through a task sorted, so a task holds two blocks.  Pairs
+    whose registers agree to within five standard errors are verified exactly
+    where they are: only links leave the task.
     """
     sizes = cut_lineage(members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -223,7 +235,7 @@ def _looks_alike(members: DataFrame, similarity: float, block: int) -> DataFrame
 
     def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), -1)
-        node, k1, root, own = (g[c].to_numpy() for c in ("node", "k1", "root", "own"))
+        node, root, own = (g[c].to_numpy() for c in ("node", "root", "own"))
         m = sig.shape[1]
         least = (similarity - 5 * np.sqrt(similarity * (1 - similarity) / m)) * m
         one_block = g["lo"].iat[0] == g["hi"].iat[0]
@@ -235,9 +247,8 @@ def _looks_alike(members: DataFrame, similarity: float, block: int) -> DataFrame
                 j = js[at : at + 4096]
                 found += [(i, x) for x in j[(sig[j] == sig[i]).sum(1) >= least]]
         i, j = np.array(found, np.int64).reshape(-1, 2).T
-        swap = node[i] > node[j]
-        a, b = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": node[a], "ka": k1[a], "b": node[b], "kb": k1[b]})
+        good = paired_overlaps(pa.array(g["text"].to_list(), pa.large_string()), i, j, words) >= similarity
+        return pd.DataFrame({"u": node[i[good]], "v": node[j[good]]})
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -251,11 +262,11 @@ def _looks_alike(members: DataFrame, similarity: float, block: int) -> DataFrame
         if rest is not None and len(rest):
             yield pairs_of(rest)
 
-    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, "a long, ka long, b long, kb long").distinct()
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, "u long, v long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = 1000
+    docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = 500
 ) -> DataFrame:
     """(doc_id, k1, k2, class_id, copies): one row per document; ``class_id`` is the
     smallest node of its class, ``copies`` counts rows of equal id and text."""
@@ -292,9 +303,8 @@ def near_duplicates(
     rooted = cut_lineage(root_of(members.filter("n > 2").select("bucket", F.col("a").alias("node"), F.col("ka").alias("k1")), "node", "root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     open_members = rooted.join(cut_lineage(mixed), "bucket", "left_semi").join(nodes.select("node", "k1", "registers"), ["node", "k1"])
-    alike = _looks_alike(open_members, similarity, block).join(met.select("a", "ka", "b", "kb"), ["a", "ka", "b", "kb"], "left_anti")
-    alike = cut_lineage(alike.join(met.select(F.col("b").alias("a"), F.col("kb").alias("ka"), F.col("a").alias("b"), F.col("ka").alias("kb")), ["a", "ka", "b", "kb"], "left_anti"))
-    more = cut_lineage(check(alike))
+    texts = node_texts(docs, cut_lineage(open_members.select("node", "k1").distinct()))
+    more = cut_lineage(_links_across(open_members.join(texts, ["node", "k1"]), words, similarity, block))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
 
