@@ -17,10 +17,10 @@ the same task, so that no candidate pairs are emitted.
 
 Defined cases: exact copies are one node before any banding, so a group of
 copies costs one text; a null text is empty; texts without words equal only each
-other, shorter ones than a shingle are one shingle of all their words.  A null
-``doc_id`` is replaced by a hash of the text; rows that repeat an id with
-different texts are different nodes of a common class only if similar.  Other
-columns are not touched.
+other, shorter ones than a shingle are one shingle of all their words.  A node is
+a text, by its key ``k1``; ids only name classes in the result.  A null ``doc_id``
+is replaced by a hash of the text; rows that repeat an id with different texts are
+of a common class only if similar.  Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(node, k1, k2, n, bands, registers) of every document."""
+    """(id, k1, k2, bands, registers) of every document."""
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +138,14 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     lists = pa.array([list(k) if f else [] for k, f in zip(key.view(np.int64), filled)], pa.list_(pa.int64()))
                     short = (bits.reshape(len(part), m) & U(0xFFFF)).astype(np.uint16)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node"), part.column("k1"), part.column("k2"), lists, pa.array([s.tobytes() for s in short], pa.binary())],
-                        ["node", "k1", "k2", "bands", "registers"],
+                        [part.column("id"), part.column("k1"), part.column("k2"), lists, pa.array([s.tobytes() for s in short], pa.binary())],
+                        ["id", "k1", "k2", "bands", "registers"],
                     )
 
     text = F.coalesce("text", F.lit(""))
     k1, k2 = F.xxhash64(text), F.xxhash64(text, F.lit(1))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), k1).alias("node"), k1.alias("k1"), k2.alias("k2"), "text")
-    return keyed.mapInArrow(sign, "node long, k1 long, k2 long, bands array<long>, registers binary")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), k1).alias("id"), k1.alias("k1"), k2.alias("k2"), "text")
+    return keyed.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>, registers binary")
 
 
 def overlaps(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -188,19 +188,21 @@ def paired_overlaps(texts: pa.Array, left: np.ndarray, right: np.ndarray, words:
 
 
 def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, k1, text) of the nodes in ``wanted``, a written table; other texts do not move."""
+    """(node, text) of the nodes in ``wanted``, a written table, one row each; other
+    texts do not move."""
     text = F.coalesce("text", F.lit(""))
-    nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"), F.xxhash64(text).alias("k1"), text.alias("text"))
-    return nodes.join(small_or_merge(wanted, wanted.count(), 24, 8 << 20), ["node", "k1"], "left_semi")
+    nodes = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    found = nodes.join(small_or_merge(wanted, wanted.count(), 16, 8 << 20), "node", "left_semi")
+    return found.dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, ka, b, kb) whose texts overlap enough, as edges (u, v).
+    """The ``pairs`` (a, b) whose texts overlap enough, as edges (u, v).
 
     The texts of paired nodes alone are shuffled, once for each side; AQE splits
-    the pairs of an id that many others meet.
+    the pairs of a text that many others meet.
     """
-    wanted = pairs.select(F.col("a").alias("node"), F.col("ka").alias("k1")).unionByName(pairs.select(F.col("b").alias("node"), F.col("kb").alias("k1")))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = cut_lineage(wanted.distinct())
     nodes = node_texts(docs, wanted)
 
@@ -211,16 +213,16 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
                 good = pa.array(overlaps(left, right, words) >= similarity)
                 yield part.select(["u", "v"]).filter(good)
 
-    left = nodes.withColumnsRenamed({"node": "a", "k1": "ka", "text": "text_a"})
-    right = nodes.withColumnsRenamed({"node": "b", "k1": "kb", "text": "text_b"})
-    both = pairs.join(left, ["a", "ka"]).join(right, ["b", "kb"])
+    left = nodes.withColumnsRenamed({"node": "a", "text": "text_a"})
+    right = nodes.withColumnsRenamed({"node": "b", "text": "text_b"})
+    both = pairs.join(left, "a").join(right, "b")
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(check, "u long, v long")
 
 
 def _links_across(members: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
     """Edges (u, v) between members of a bucket that belong to different classes.
 
-    ``members`` (bucket, node, k1, root, registers, text) is dealt into blocks of
+    ``members`` (bucket, node, root, registers, text) is dealt into blocks of
     about ``block`` members; each pair of blocks of a bucket is one group of rows,
     and groups stream through a task sorted, so a task holds two blocks.  Pairs
     whose registers agree to within five standard errors are verified exactly
@@ -268,27 +270,27 @@ def _links_across(members: DataFrame, words: int, similarity: float, block: int)
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = 500
 ) -> DataFrame:
-    """(doc_id, k1, k2, class_id, copies): one row per document; ``class_id`` is the
-    smallest node of its class, ``copies`` counts rows of equal id and text."""
-    signed = cut_lineage(_signed(docs, words, bands, rows))
-    ids = signed.select("node", "k1", "k2")
-    groups = cut_lineage(ids.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
-    nodes = signed.join(groups.drop("n"), ["node", "k1", "k2"], "left_semi").filter(F.size("bands") > 0)
-    banded = nodes.select("node", "k1", F.explode("bands").alias("bucket"))
+    """(doc_id, k1, k2, class_key, class_id): one row per document; ``class_key`` tells
+    classes apart, ``class_id`` is the smallest id in the class.  Classes of
+    different texts that repeat an id may have the same ``class_id``."""
+    signed = cut_lineage(_signed(docs, words, bands, rows).withColumn("place", F.monotonically_increasing_id()))
+    ids = signed.select("id", "k1", "k2", "place")
+    groups = cut_lineage(ids.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("place").alias("place")))
+    nodes = signed.join(groups.drop("id"), ["k1", "k2", "place"], "left_semi").filter(F.size("bands") > 0)
+    nodes = nodes.select(F.col("k1").alias("node"), "bands", "registers")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     joined = cut_lineage(banded.join(shared, "bucket"))
     # the text that meets most others leads a bucket: copies of a common origin differ less from it than from each other
-    degree = cut_lineage(joined.groupBy("node", "k1").agg(F.sum("n").alias("degree")))
-    central = F.max_by(F.struct("node", "k1"), F.struct("degree", -F.col("node")))
-    leaders = joined.join(degree, ["node", "k1"]).groupBy("bucket").agg(central.alias("leader"))
-    leaders = cut_lineage(leaders.select("bucket", F.col("leader.node").alias("b"), F.col("leader.k1").alias("kb")))
-    members = joined.join(leaders, "bucket").select("bucket", F.col("node").alias("a"), F.col("k1").alias("ka"), "b", "kb", "n")
-    members = cut_lineage(members)
-    met = cut_lineage(members.filter("a <> b or ka <> kb").groupBy("a", "ka", "b", "kb").agg(F.count(F.lit(1)).alias("bands")))
+    degree = cut_lineage(joined.groupBy("node").agg(F.sum("n").alias("degree")))
+    central = F.max_by("node", F.struct("degree", "node"))
+    leaders = cut_lineage(joined.join(degree, "node").groupBy("bucket").agg(central.alias("b")))
+    members = cut_lineage(joined.join(leaders, "bucket").select("bucket", F.col("node").alias("a"), "b", "n"))
+    met = cut_lineage(members.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")))
     check = partial(verified, docs=docs, words=words, similarity=similarity)
 
     # the leader that a text meets most often settles most classes; others are checked only across classes
-    first = cut_lineage(met.groupBy("a", "ka").agg(F.max_by(F.struct("b", "kb"), F.struct("bands", -F.col("b"))).alias("to")).select("a", "ka", "to.b", "to.kb"))
+    first = cut_lineage(met.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b")))
     links = cut_lineage(check(first))
     roots = connected_components(links)
 
@@ -296,31 +298,36 @@ def near_duplicates(
         joined = df.join(roots.withColumnsRenamed({"node": column, "root": name}), column, "left")
         return joined.withColumn(name, F.coalesce(name, column))
 
-    across = root_of(root_of(met.join(first, ["a", "ka", "b", "kb"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb")
-    links = cut_lineage(links.unionByName(check(cut_lineage(across.select("a", "ka", "b", "kb")))))
+    across = root_of(root_of(met.join(first, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb")
+    links = cut_lineage(links.unionByName(check(cut_lineage(across.select("a", "b")))))
     roots = connected_components(links)
 
-    rooted = cut_lineage(root_of(members.filter("n > 2").select("bucket", F.col("a").alias("node"), F.col("ka").alias("k1")), "node", "root"))
+    rooted = cut_lineage(root_of(members.filter("n > 2").select("bucket", F.col("a").alias("node")), "node", "root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_members = rooted.join(cut_lineage(mixed), "bucket", "left_semi").join(nodes.select("node", "k1", "registers"), ["node", "k1"])
-    texts = node_texts(docs, cut_lineage(open_members.select("node", "k1").distinct()))
-    more = cut_lineage(_links_across(open_members.join(texts, ["node", "k1"]), words, similarity, block))
+    open_members = rooted.join(cut_lineage(mixed), "bucket", "left_semi").join(nodes.select("node", "registers"), "node")
+    texts = node_texts(docs, cut_lineage(open_members.select("node").distinct()))
+    more = cut_lineage(_links_across(open_members.join(texts, "node"), words, similarity, block))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
 
-    classes = cut_lineage(root_of(groups, "node", "class_id").select("k1", "k2", "class_id"))
+    # ids come in last: the smallest of a class names it
+    named = roots.join(groups.select(F.col("k1").alias("node"), "id"), "node")
+    named = cut_lineage(named.groupBy(F.col("root").alias("class_key")).agg(F.min("id").alias("least")))
+    classes = root_of(groups.drop("place"), "k1", "class_key").join(small_or_merge(named, named.count(), 16, 8 << 20), "class_key", "left")
+    classes = cut_lineage(classes.select("k1", "k2", "class_key", F.coalesce("least", "id").alias("class_id")))
     rows_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("k2"))
     return rows_of.join(classes, ["k1", "k2"])
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class: the one whose id names the class.  Rows that
-    repeat its id are reduced to one, in the order of all their columns."""
+    """One document of each class: the one whose id names the class, of several such
+    texts the one of the smallest key.  Rows that repeat its id and text are reduced
+    to one."""
     text = F.coalesce("text", F.lit(""))
-    classes = near_duplicates(docs, **how)
-    kept = classes.filter(F.coalesce(F.col("doc_id").cast("long"), "k1") == F.col("class_id")).groupBy("doc_id", "k1", "k2", "class_id").agg(F.count(F.lit(1)).alias("_rows"))
-    # two texts of one id may name the same class: the smaller key stays
-    kept = cut_lineage(kept.groupBy("class_id").agg(F.min(F.struct("k1", "k2", "_rows")).alias("s")).select(F.col("class_id").alias("_node"), F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2"), "s._rows"))
+    node = F.coalesce(F.col("doc_id").cast("long"), "k1")
+    kept = near_duplicates(docs, **how).filter(node == F.col("class_id")).groupBy("class_key", "class_id", "k1", "k2").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = kept.groupBy("class_key").agg(F.min(F.struct("k1", "k2", "class_id", "_rows")).alias("s"))
+    kept = cut_lineage(kept.select(F.col("s.class_id").alias("_node"), F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2"), "s._rows"))
     keyed = docs.withColumns({"_node": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "_k1": F.xxhash64(text), "_k2": F.xxhash64(text, F.lit(1))})
     n = kept.count()
     out = keyed.join(small_or_merge(kept, n, 32, 8 << 20), ["_node", "_k1", "_k2"])

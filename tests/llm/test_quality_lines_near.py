@@ -154,6 +154,19 @@ def test_keep_one_and_edge_cases(spark, planted):
     assert bm.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_unlike_texts_under_one_id(spark):
+    rng = np.random.default_rng(6)
+    new = lambda: " ".join(f"y{i}" for i in rng.integers(0, 10**6, 60))
+    a, b = new(), new()
+    rows = [(5, a), (7, a + " tail"), (5, b), (9, b + " end"), (5, b), (11, new()), (11, new()), (11, None)]
+    docs = spark.createDataFrame([(i, t, "l", None, 1) for i, t in rows], DOCS)
+    classes = bm.near_duplicates(docs.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in classes) == [(5, 5), (5, 5), (5, 5), (7, 5), (9, 5), (11, 11), (11, 11), (11, 11)]
+    assert len({r.class_key for r in classes}) == 5
+    kept = bm.keep_one(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, a), (5, b), *((i, t or "") for i, t in rows[5:])])
+
+
 def test_near_duplicates_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {(r.doc_id, r.class_id) for r in bm.near_duplicates(docs).collect()}
