@@ -1,6 +1,6 @@
 """Near-duplicate classes by BagMinHash over word shingles.
 
-A text is a multiset of shingles (five words, split at white space, lower case).
+A text is a multiset of shingles (five words, split at Unicode white space, lower case).
 Every shingle drives hierarchical Poisson processes over discretised weights:
 one process per doubling of the weight, (0, 1], (1, 2], (2, 4], ..., whose points
 carry a time, a weight level and a register; points above the shingle's weight
@@ -56,7 +56,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     """(row, shingle, weight) of at most ``MAX_SLICE`` texts, by row and shingle."""
     import xxhash
 
-    lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"\s", " "), " ")
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     n = len(texts)
     flat = lists.flatten()
     bounds = lists.offsets.to_numpy()
@@ -71,7 +71,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     place = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
     left = np.repeat(number, number) - place  # words from here to the end of the text
     sums = np.zeros(len(row), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(row))):
         inside = left > k
         sums[: len(row) - k] += np.where(inside[: len(row) - k], word[k:] * U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)), U(0))
     starts = (left >= words) | (place == 0)

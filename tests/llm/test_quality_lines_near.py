@@ -154,6 +154,13 @@ def test_keep_one_and_edge_cases(spark, planted):
     assert bm.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_end_at_unicode_white_space(spark):
+    words = [f"z{i}" for i in range(60)]
+    rows = [(1, "\u00a0".join(words)), (2, "\u3000".join([*words, "more"])), (3, "\u2003 ".join(["less", *words])), (4, "\u00a0\u3000"), (5, "a\u200bb"), (6, "a b")]
+    got = {(r.doc_id, r.class_id) for r in bm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)}
+
+
 def test_unlike_texts_under_one_id(spark):
     rng = np.random.default_rng(6)
     new = lambda: " ".join(f"y{i}" for i in rng.integers(0, 10**6, 60))
