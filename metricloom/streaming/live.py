@@ -155,57 +155,65 @@ def latest_state(updates: DataFrame, self_node, payload: list[str]) -> DataFrame
 
 
 class _FirstMessage(StatefulProcessor):
-    """Earliest message of a proposal; it stands once the watermark has passed it."""
-
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
+    """Earliest message of a proposal; it stands once the watermark has passed it
+    and is remembered until its ``until_ms``, or for good if that is null."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "at string, body string, done boolean")
+        self.held = handle.getValueState("held", "at string, body string, done boolean, until_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.held.get() if self.held.exists() else None
         if held and held[2]:
             return
         best = json.loads(held[0]) if held else None
-        body = held[1] if held else None
+        body, until = (held[1], held[3]) if held else (None, None)
         for r in rows:
             at = [r["t_ms"], r["place"]]
             if best is None or at < best:
-                best, body = at, r["body"]
-        self.held.update((json.dumps(best), body, False))
+                best, body, until = at, r["body"], r["until_ms"]
+        self.held.update((json.dumps(best), body, False, until))
         self.handle.registerTimer(best[0])
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if not self.held.exists():
             return
-        at, body, done = self.held.get()
-        if done:  # later copies are late by now
-            self.held.clear()
-        elif json.loads(at)[0] <= timerValues.getCurrentWatermarkInMs():
-            self.held.update((at, "", True))
-            self.handle.registerTimer(json.loads(at)[0] + self.keep_ms)
+        at, body, done, until = self.held.get()
+        now = timerValues.getCurrentWatermarkInMs()
+        if done:  # a timer of a message that an earlier one replaced may fire before the end
+            if until is not None and until <= now:
+                self.held.clear()
+        elif json.loads(at)[0] <= now:
+            self.held.update((at, "", True, until))
+            if until is not None:
+                self.handle.registerTimer(until)
             yield Row(proposal_id=key[0], body=body)
 
     def close(self) -> None:
         pass
 
 
-def first_proposals_stream(messages: DataFrame, order: list[str], delay_seconds: int = 0, keep_seconds: int = 86_400) -> DataFrame:
+def first_proposals_stream(messages: DataFrame, order: list[str], delay_seconds: int = 0, keep_seconds: int | None = None) -> DataFrame:
     """First message of each proposal id by (ts, order), whatever batch it came in.
 
-    A proposal is remembered for ``keep_seconds`` after its first message.
+    A proposal is remembered until the ``expiration`` of its first message, if the
+    messages have that column, otherwise for good: one small state row per id.  Only
+    a caller who knows that no repeat comes later than that sets ``keep_seconds``.
     """
     kind = messages.schema["proposal_id"].dataType.simpleString()
     fields = [f for f in messages.schema if f.name != "proposal_id"]
+    until = F.lit(None)
+    if keep_seconds is not None:
+        until = F.unix_millis("ts") + keep_seconds * 1000
+    elif "expiration" in messages.columns:
+        until = F.unix_millis(F.col("expiration").cast("timestamp"))
     rows = messages.withWatermark("ts", f"{delay_seconds} seconds").select(
-        "proposal_id", "ts", F.unix_millis("ts").alias("t_ms"), F.to_json(F.struct(*[f.name for f in fields])).alias("body"),
+        "proposal_id", "ts", F.unix_millis("ts").alias("t_ms"), until.cast("bigint").alias("until_ms"), F.to_json(F.struct(*[f.name for f in fields])).alias("body"),
         F.array(F.col("ts").cast("double"), *[F.col(c).cast("double") for c in order]).alias("place"),
     )
     out = rows.groupBy("proposal_id").transformWithState(
-        statefulProcessor=_FirstMessage(keep_seconds * 1000), outputStructType=f"proposal_id {kind}, body string",
+        statefulProcessor=_FirstMessage(), outputStructType=f"proposal_id {kind}, body string",
         outputMode="Append", timeMode="EventTime",
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
