@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from metricloom.llm import q_fingerprints, q_lines, q_near, q_pack, q_pieces, q_quality_model, q_urls, q_vectors, q_warc, q_write
+from metricloom.llm import (
+    q_audit, q_fingerprints, q_harmonic, q_lines, q_near, q_pack, q_pieces, q_quality_model, q_search, q_urls, q_vectors, q_warc, q_write,
+)
 
-MODULES = (q_urls, q_write, q_pieces, q_quality_model, q_warc, q_near, q_fingerprints, q_vectors, q_lines, q_pack)
+MODULES = (q_urls, q_write, q_pieces, q_quality_model, q_warc, q_near, q_fingerprints, q_vectors, q_lines, q_pack, q_harmonic, q_search, q_audit)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
