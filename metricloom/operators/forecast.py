@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.operators.models import with_tree_spread
+from metricloom.operators.models import fit_forest, side_by_side, with_tree_spread
 from metricloom.operators.windows import sliding_sequences
 from metricloom.session import cut_lineage
 
@@ -109,9 +109,7 @@ def forest_forecast(
     train = assembler.transform(cut_lineage(
         frame.select(*as_columns, F.hour("h").cast("double").alias("hour"), "target")
     ))
-    model = RandomForestRegressor(
-        featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed
-    ).fit(train)
+    model = fit_forest(train, RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed), train.count())
     newest = Window.partitionBy("name").orderBy(F.col("i").desc())
     last = (
         grid.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= lags)
@@ -134,7 +132,9 @@ def forest_forecasts(grid: DataFrame, names: Sequence[str], horizon_seconds: int
     for training gives nothing."""
     enough = grid.filter(F.col("name").isin(list(names))).groupBy("name").count().filter(F.col("count") >= MIN_TRAINING_ROWS)
     found = {r["name"] for r in enough.collect()}
-    parts = [forest_forecast(grid.filter(F.col("name") == n), horizon_seconds, step_seconds, **how) for n in names if n in found]
+    parts = side_by_side(grid.sparkSession, [
+        partial(forest_forecast, grid.filter(F.col("name") == n), horizon_seconds, step_seconds, **how) for n in names if n in found
+    ])
     if parts:
         return reduce(DataFrame.unionByName, parts)
     return grid.select("name", F.col("h").alias("ts"), *[F.lit(None).cast("double").alias(c) for c in ("value", "confidence")], F.lit("random_forest").alias("model")).filter(F.lit(False))

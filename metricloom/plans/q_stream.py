@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import iso
@@ -243,13 +245,20 @@ MODELLED = f"""
 """
 
 
+@lru_cache(maxsize=2)
+def fitted_confidence(spark, sf):
+    """(entries, confidence of each): written tables.  The forests are fitted once in a
+    session for the queries that ask them."""
+    e = cut_lineage(model_entries(spark, sf).withColumn("vector", F.array(*RAW)))
+    fitted = models.fit_models(e, RAW, PRIORITIES, CLASSIFIED)
+    return e, cut_lineage(models.model_confidence(e, fitted))
+
+
 @query("knowledge_model_confidence", "M4 M5", f"""
 WITH {MODELLED} SELECT entry_id, type, CASE WHEN type IN ('1-URGENT', '2-HIGH') THEN 'class' ELSE 'value' END AS kind, true AS in_bounds FROM modelled
 """)
 def knowledge_model_confidence(spark, sf):
-    e = cut_lineage(model_entries(spark, sf))
-    fitted = models.fit_models(e, RAW, PRIORITIES, CLASSIFIED)
-    out = models.model_confidence(e, fitted)
+    _, out = fitted_confidence(spark, sf)
     kind = F.when(F.col("type").isin(*CLASSIFIED), "class").otherwise("value")
     sure = F.col("model_confidence")
     # the likeliest of four classes has a quarter at least
@@ -261,9 +270,7 @@ def knowledge_model_confidence(spark, sf):
 WITH {MODELLED} SELECT entry_id, type, true AS gate_held FROM modelled
 """)
 def gated_knowledge_matches(spark, sf):
-    e = cut_lineage(model_entries(spark, sf).withColumn("vector", F.array(*RAW)))
-    fitted = models.fit_models(e, RAW, PRIORITIES, CLASSIFIED)
-    confidence = cut_lineage(models.model_confidence(e, fitted))
+    e, confidence = fitted_confidence(spark, sf)
     sure = models.gated(e, confidence, 0.9)
     matched = entry_confidence(sure.select("entry_id", "type", "ts", "vector", "outcome_value"), e)
     # every entry of a model: matches are looked for exactly where the model is sure
