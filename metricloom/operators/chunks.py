@@ -1,9 +1,10 @@
 """Ordered work on keys that may hold a large share of all rows.
 
 A window partitioned by a hot key sorts that key in one task.  The helpers here
-split every key along time: rows are shuffled by (key, chunk), and only one
-summary row per chunk is combined per key.  The number of chunks of a key is
-bounded by calendar time, not by the number of rows.
+split every key along its order: rows are shuffled by (key, chunk), and only one
+summary row per chunk is combined per key.  A chunk is a calendar span; a span that
+holds more than ``CHUNK_ROWS`` rows of a key is cut further by (ts, tie break), so a
+chunk is bounded by rows, however many share a day, a minute or an instant.
 """
 
 from __future__ import annotations
@@ -12,17 +13,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import MICROS, micros
+from metricloom.session import cut_lineage
 
 DAY = 86_400
 CHUNK = "_chunk"
+#: Rows of a key that an ordered chunk holds, about; samples that place a cut.
+CHUNK_ROWS, SAMPLES = 1_000_000, 32
 
 
 def chunk_of(ts: Column | str, chunk_seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(chunk_seconds * MICROS)).cast("bigint")
 
 
-def with_chunk(df: DataFrame, ts: str, chunk_seconds: int = DAY) -> DataFrame:
-    return df.withColumn(CHUNK, chunk_of(ts, chunk_seconds))
+def ordered_chunks(
+    df: DataFrame, keys: list[str], ts: str, tie_break: list[str], chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """``df`` with its chunk, a struct (span, part) that sorts like (ts, tie_break).
+
+    The spans of a key with more than ``rows`` rows, at most one for each ``rows``
+    rows of the table, are counted first; without any, the span alone is the chunk.
+    Cuts lie at every ``SAMPLES``-th of the rows that a hash of their order picks, one
+    in ``rows / SAMPLES``: a hot span has as many cuts as it has chunks.  Rows that
+    agree in ``ts`` and ``tie_break`` have no order and share a chunk.
+    """
+    span, order = chunk_of(ts, chunk_seconds), F.struct(ts, *tie_break)
+    sizes = df.groupBy(*keys, span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = cut_lineage(sizes.filter(F.col("_n") > rows).drop("_n"))
+    if heavy.isEmpty():
+        return df.withColumn(CHUNK, F.struct(span.alias("span"), F.lit(0).alias("part")))
+    picked = F.pmod(F.xxhash64(*keys, ts, *tie_break), F.lit(max(1, rows // SAMPLES))) == 0
+    spans = df.withColumn("_span", span)
+    samples = spans.filter(picked).join(heavy, [*keys, "_span"]).groupBy(*keys, "_span").agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
+    cuts = cut_lineage(samples.withColumn("_cuts", F.filter("_cuts", lambda _, i: (i + 1) % SAMPLES == 0)))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= order)), F.lit(0))
+    out = spans.join(cuts, [*keys, "_span"], "left")
+    part = F.when(F.col("_cuts").isNull(), 0).otherwise(part)
+    return out.withColumn(CHUNK, F.struct(F.col("_span").alias("span"), part.alias("part"))).drop("_span", "_cuts")
 
 
 def with_halo(
@@ -67,76 +93,61 @@ def prefix_by_chunk(
     )
 
 
+def in_order(
+    df: DataFrame, keys: list[str], ts: str, tie_break: list[str], *, position: str | None = None,
+    sums: dict[str, Column] | None = None, previous: dict[str, str] | None = None,
+    chunk_seconds: int = DAY, rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """What each row knows of the earlier rows of its key, ordered by (ts, tie_break).
+
+    ``position``: name of its 0-based place; ``sums``: cumulative sums up to and
+    including the row; ``previous``: output name -> column of the row before.  All
+    come from one sort of the chunks and one summary row per chunk.
+    """
+    sums, previous = sums or {}, previous or {}
+    order = [ts, *tie_break]
+    chunked = ordered_chunks(df.withColumns({f"_in_{n}": c for n, c in sums.items()}), keys, ts, tie_break, chunk_seconds, rows)
+    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    totals, inside, out = {}, {}, {}
+    if position:
+        totals["_before"] = (F.count(F.lit(1)), "sum")
+        inside["_local"] = F.row_number().over(local)
+        out[position] = (F.coalesce("_before", F.lit(0)) + F.col("_local") - 1).cast("bigint")
+    for n in sums:
+        totals[f"_pre_{n}"] = (F.sum(f"_in_{n}"), "sum")
+        inside[f"_loc_{n}"] = F.sum(f"_in_{n}").over(so_far)
+        out[n] = F.col(f"_loc_{n}") + F.coalesce(f"_pre_{n}", F.lit(0))
+    if previous:
+        packed = F.struct(*[F.col(c).alias(n) for n, c in previous.items()])
+        # the first row of a chunk takes the last row of the latest earlier chunk
+        totals["_carry"] = (F.max_by(packed, F.struct(*order)), "last")
+        inside["_lag"] = F.lag(packed).over(local)
+        out |= {n: F.coalesce("_lag", "_carry")[n] for n in previous}
+    before = prefix_by_chunk(chunked, keys, totals)
+    joined = chunked.withColumns(inside).join(before, [*keys, CHUNK]).withColumns(out)
+    return joined.drop(CHUNK, *totals, *inside, *[f"_in_{n}" for n in sums])
+
+
 def positions(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie_break: list[str],
-    name: str = "position",
-    chunk_seconds: int = DAY,
+    df: DataFrame, keys: list[str], ts: str, tie_break: list[str], name: str = "position", chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """0-based position of each row within its key, ordered by (ts, tie_break)."""
-    chunked = with_chunk(df, ts, chunk_seconds)
-    before = prefix_by_chunk(chunked, keys, {"_before": (F.count(F.lit(1)), "sum")})
-    local = Window.partitionBy(*keys, CHUNK).orderBy(ts, *tie_break)
-    return (
-        chunked.withColumn("_local", F.row_number().over(local))
-        .join(before, [*keys, CHUNK])
-        .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_local") - 1).cast("bigint"))
-        .drop("_before", "_local", CHUNK)
-    )
+    return in_order(df, keys, ts, tie_break, position=name, chunk_seconds=chunk_seconds, rows=rows)
 
 
 def running_total(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie_break: list[str],
-    sums: dict[str, Column],
-    chunk_seconds: int = DAY,
+    df: DataFrame, keys: list[str], ts: str, tie_break: list[str], sums: dict[str, Column], chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Cumulative sums per key up to and including each row."""
-    inputs = {f"_in_{n}": c for n, c in sums.items()}
-    chunked = with_chunk(df.withColumns(inputs), ts, chunk_seconds)
-    before = prefix_by_chunk(
-        chunked, keys, {f"_pre_{n}": (F.sum(f"_in_{n}"), "sum") for n in sums}
-    )
-    local = (
-        Window.partitionBy(*keys, CHUNK).orderBy(ts, *tie_break)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    out = chunked.withColumns({f"_loc_{n}": F.sum(f"_in_{n}").over(local) for n in sums})
-    out = out.join(before, [*keys, CHUNK])
-    out = out.withColumns(
-        {n: F.col(f"_loc_{n}") + F.coalesce(f"_pre_{n}", F.lit(0)) for n in sums}
-    )
-    helpers = [f"_{k}_{n}" for n in sums for k in ("in", "pre", "loc")]
-    return out.drop(*helpers, CHUNK)
+    return in_order(df, keys, ts, tie_break, sums=sums, chunk_seconds=chunk_seconds, rows=rows)
 
 
 def previous_values(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie_break: list[str],
-    values: dict[str, str],
-    chunk_seconds: int = DAY,
+    df: DataFrame, keys: list[str], ts: str, tie_break: list[str], values: dict[str, str], chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Lag by one row per key: output name -> input column.
-
-    Within a chunk this is ``lag``; the first row of a chunk takes the last row
-    of the latest earlier non-empty chunk.
-    """
-    order = [ts, *tie_break]
-    chunked = with_chunk(df, ts, chunk_seconds)
-    packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    carried = prefix_by_chunk(
-        chunked, keys, {"_carry": (F.max_by(packed, F.struct(*order)), "last")}
-    )
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    out = chunked.withColumn("_lag", F.lag(packed).over(local)).join(carried, [*keys, CHUNK])
-    previous = F.coalesce("_lag", "_carry")
-    return out.withColumns({n: previous[n] for n in values}).drop("_lag", "_carry", CHUNK)
+    """Lag by one row per key: output name -> input column."""
+    return in_order(df, keys, ts, tie_break, previous=values, chunk_seconds=chunk_seconds, rows=rows)
 
 
 def with_row_halo(

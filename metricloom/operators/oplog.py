@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import MICROS, floor_time, micros, seconds_between
-from metricloom.operators.chunks import (
-    CHUNK, DAY, positions, prefix_by_chunk, previous_values, running_total, with_chunk,
-)
+from metricloom.operators.chunks import CHUNK, CHUNK_ROWS, DAY, in_order, ordered_chunks, prefix_by_chunk, previous_values, running_total
 
 BUCKET = 3600
 # Timeouts and the number of cluster nodes.
@@ -142,8 +142,7 @@ def merge_config(defaults: Column, given: Column) -> Column:
 
 def snapshot_log(snapshots: DataFrame, key: str = "snapshot_id") -> DataFrame:
     """Version per type (from 1), parent snapshot and checksum of the data."""
-    numbered = positions(snapshots, ["state_type"], "ts", [key], "version")
-    linked = previous_values(numbered, ["state_type"], "ts", [key], {"parent_id": key})
+    linked = in_order(snapshots, ["state_type"], "ts", [key], position="version", previous={"parent_id": key})
     return linked.withColumn("version", F.col("version") + 1).withColumn("checksum", F.sha2("data", 256))
 
 
@@ -157,10 +156,10 @@ def snapshot_at(log: DataFrame, state_type: str, version: int) -> DataFrame:
 
 
 def version_gate(
-    updates: DataFrame, self_node, ts: str = "ts", tie_break: Sequence[str] = ("update_id",), chunk_seconds: int = 30 * DAY
+    updates: DataFrame, self_node, ts: str = "ts", tie_break: Sequence[str] = ("update_id",), chunk_seconds: int = 30 * DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Updates applied in arrival order: not from this node and newer than the version held."""
-    foreign = with_chunk(updates.filter(F.col("node") != self_node), ts, chunk_seconds)
+    foreign = ordered_chunks(updates.filter(F.col("node") != self_node), ["state_type"], ts, list(tie_break), chunk_seconds, rows)
     before = prefix_by_chunk(foreign, ["state_type"], {"_pre": (F.max("version"), "max")})
     earlier = (
         Window.partitionBy("state_type", CHUNK).orderBy(ts, *tie_break).rowsBetween(Window.unboundedPreceding, -1)
@@ -241,30 +240,79 @@ def final_status(proposals: DataFrame, tallied: DataFrame, now: Column) -> DataF
     )
 
 
+def _cooldown_map(t: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a chunk of instants does to the time of the last applied action.
+
+    (starts, exits): an action applied at ``e`` before the chunk lets the first
+    instant of at least ``e + cooldown`` go; the first of ``starts`` not before that
+    has its place in ``exits``, the last applied instant of the chunk.  None left
+    means that the chunk applies nothing.  Starts with one exit share an entry, and
+    later starts than a cooldown into the chunk are reached by no entry.
+    """
+    after = np.searchsorted(t, t + cooldown)
+    last = np.arange(len(t))
+    for i in range(len(t) - 1, -1, -1):
+        if after[i] < len(t):
+            last[i] = last[after[i]]
+    reached = min(len(t), int(np.searchsorted(t, t[0] + cooldown)) + 1)
+    exits = t[last[:reached]]
+    ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+    return t[ends], exits[ends]
+
+
 def apply_cooldown(
-    candidates: DataFrame, keys: list[str], ts: str, tie_break: list[str], seconds: int = COOLDOWN
+    candidates: DataFrame, keys: list[str], ts: str, tie_break: list[str], seconds: int = COOLDOWN, chunk_seconds: int = DAY, rows: int = 100_000
 ) -> DataFrame:
     """Mark the candidates applied when each applied one silences its key for ``seconds``.
 
-    A candidate at least ``seconds`` after the previous candidate is always
-    applied, so the key falls into independent islands; the ordered fold runs
-    inside each island, all islands in parallel.
+    Of the candidates of an instant only the first by ``tie_break`` may be applied;
+    rows that agree in both share their mark.  The instants of a key are cut into chunks of about ``rows``; each chunk becomes a map
+    from the last action before it to the last action in it, the maps of a key are
+    chained in order by a task that holds one of them at a time, and every chunk is
+    then replayed from its own entry.
     """
-    before = previous_values(candidates, keys, ts, tie_break, {"_prev": ts})
-    fresh = F.col("_prev").isNull() | (seconds_between("_prev", ts) >= seconds)
-    numbered = running_total(before, keys, ts, tie_break, {"_island": fresh.cast("bigint")})
-    rows = F.struct(F.col(ts).alias("t"), *tie_break)
-    islands = numbered.groupBy(*keys, "_island").agg(F.sort_array(F.collect_list(rows)).alias("rows"))
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"),
-        F.filter(F.transform("rows", lambda r: F.struct(r["t"].alias(ts), *[r[c].alias(c) for c in tie_break], F.lit(True).alias("applied"))), lambda r: F.lit(False)).alias("out"),
+    marked = candidates.select(*keys, ts, *tie_break)
+    if seconds <= 0:
+        return marked.withColumn("applied", F.lit(True))
+    cooldown = seconds * MICROS
+    tie = F.struct(F.lit(0), *tie_break)
+    first = F.min(tie).alias("_first")
+    instants = ordered_chunks(marked.groupBy(*keys, ts).agg(first), keys, ts, [], chunk_seconds, rows)
+    instants = instants.select(*keys, F.col(f"{CHUNK}.span").alias("_span"), F.col(f"{CHUNK}.part").alias("_part"), ts, "_first", micros(ts).alias("_t"))
+    chunk = [*keys, "_span", "_part"]
+    kinds = {f.name: f.dataType.simpleString() for f in instants.schema}
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in chunk)
+
+    def shorten(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts, exits = _cooldown_map(np.sort(pdf["_t"].to_numpy()), cooldown)
+        return pdf.iloc[:1][chunk].assign(_starts=[starts], _exits=[exits])
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = last = None
+        for pdf in frames:
+            entries = []
+            for own, starts, exits in zip(pdf[keys].itertuples(index=False, name=None), pdf["_starts"], pdf["_exits"]):
+                key, last = own, (last if own == key else None)
+                entries.append(last)
+                i = 0 if last is None else int(np.searchsorted(starts, last + cooldown))
+                last = int(exits[i]) if i < len(starts) else last
+            yield pdf[chunk].assign(_entry=pd.array(entries, dtype="Int64"))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_t")
+        t, entry = pdf["_t"].to_numpy(), pdf["_entry"].iat[0]
+        applied = np.zeros(len(t), bool)
+        i = 0 if pd.isna(entry) else int(np.searchsorted(t, int(entry) + cooldown))
+        while i < len(t):
+            applied[i] = True
+            i = int(np.searchsorted(t, t[i] + cooldown))
+        return pdf[[*keys, "_t"]].assign(_go=applied)
+
+    maps = instants.select(*chunk, "_t").groupBy(*chunk).applyInPandas(shorten, f"{named}, _starts array<bigint>, _exits array<bigint>")
+    entries = maps.repartition(*keys).sortWithinPartitions(*chunk).mapInPandas(chain, f"{named}, _entry bigint")
+    replayed = instants.select(*chunk, "_t").join(entries, chunk).groupBy(*chunk).applyInPandas(
+        replay, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _t bigint, _go boolean"
     )
-
-    def step(acc: Column, r: Column) -> Column:
-        go = acc["last"].isNull() | (micros(r["t"]) - acc["last"] >= seconds * MICROS)
-        return F.struct(
-            F.when(go, micros(r["t"])).otherwise(acc["last"]).alias("last"),
-            F.array_append(acc["out"], F.struct(r["t"].alias(ts), *[r[c].alias(c) for c in tie_break], go.alias("applied"))).alias("out"),
-        )
-
-    return islands.select(*keys, F.inline(F.aggregate("rows", start, step)["out"]))
+    going = instants.select(*keys, ts, "_first", "_t").join(replayed, [*keys, "_t"]).drop("_t")
+    out = marked.join(going, [*keys, ts])
+    return out.select(*keys, ts, *tie_break, (F.col("_go") & (tie == F.col("_first"))).alias("applied"))

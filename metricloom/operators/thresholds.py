@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.scalars import MICROS, clamp, from_micros, micros, violates
-from metricloom.operators.chunks import CHUNK, previous_values, running_total, with_halo
+from metricloom.operators.chunks import CHUNK, running_total, with_halo
 
 # The names a configuration may use.
 THRESHOLD_TYPES = ["static", "dynamic", "adaptive", "time_based", "percentile"]
@@ -250,9 +250,8 @@ def held_alerts(
 ) -> DataFrame:
     """Runs of consecutive points under ``condition`` that last at least the duration."""
     flagged = points.withColumn("bad", F.coalesce(condition, F.lit(False)))
-    before = previous_values(flagged, keys, "ts", tie_break, {"_was": "bad"})
-    opens = (F.col("bad") & ~F.coalesce("_was", F.lit(False))).cast("bigint")
-    numbered = running_total(before, keys, "ts", tie_break, {"run": opens})
+    # neighbours under the condition have the same number of other rows before them
+    numbered = running_total(flagged, keys, "ts", tie_break, {"run": (~F.col("bad")).cast("bigint")})
     runs = numbered.filter("bad").groupBy(*keys, "run").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n_points")
     )

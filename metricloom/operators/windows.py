@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import MICROS, cpu_percent, micros, seconds_between
-from metricloom.operators.chunks import CHUNK, DAY, positions, previous_values, with_halo, with_row_halo
+from metricloom.functions.scalars import cpu_percent, seconds_between
+from metricloom.operators.chunks import CHUNK, CHUNK_ROWS, DAY, positions, previous_values, running_total, with_row_halo
 
 
 def moving_average(
@@ -77,14 +77,22 @@ def autocorrelation(grid: DataFrame, lag: int = 60, value: str = "filled", thres
 
 
 def trailing_count(
-    events: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "n_recent", chunk_seconds: int = DAY
+    events: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "n_recent", chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Number of rows of the key in the last ``seconds``, the current row included."""
-    chunked = with_halo(events, ts, chunk_seconds, before=seconds)
-    frame = (
-        Window.partitionBy(*keys, CHUNK).orderBy(micros(ts)).rangeBetween(-seconds * MICROS, 0)
-    )
-    return chunked.withColumn(name, F.count(F.lit(1)).over(frame)).filter("_own").drop("_own", CHUNK)
+    """Number of rows of the key in [ts - seconds, ts].
+
+    Rows are first counted by instant.  The count up to an instant less the count
+    before the start of its window is the answer; both are running totals over the
+    instants and the starts in common order, so nothing is copied into windows.
+    """
+    instants = events.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
+    starts = instants.select(*keys, F.col(ts).alias("_asked"), F.expr(f"{ts} - INTERVAL {seconds} SECONDS").alias("_at"), F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_kind"))
+    ends = instants.select(*keys, F.col(ts).alias("_asked"), F.col(ts).alias("_at"), "_n", F.lit(1).alias("_kind"))
+    # a start comes before the rows of its own instant: they are inside the window
+    total = running_total(starts.unionByName(ends), keys, "_at", ["_kind", "_asked"], {"_total": F.col("_n")}, chunk_seconds, rows)
+    signed = F.when(F.col("_kind") == 1, F.col("_total")).otherwise(-F.col("_total"))
+    counts = total.groupBy(*keys, F.col("_asked").alias(ts)).agg(F.sum(signed).alias(name))
+    return events.join(counts, [*keys, ts])
 
 
 def training_window(points: DataFrame, keys: list[str], seconds: int = 7 * DAY) -> DataFrame:

@@ -1,6 +1,7 @@
 """Helpers that split hot keys, against brute force."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,10 +9,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import clustering, similarity
+from metricloom.operators import clustering, oplog, similarity
 from metricloom.operators.aggregates import exact_quantile, range_aggregates
-from metricloom.operators.chunks import positions, previous_values, running_total
+from metricloom.operators.chunks import CHUNK, in_order, ordered_chunks, positions, previous_values, running_total
 from metricloom.operators.windows import trailing_count
+from metricloom.session import cut_lineage
 
 T0 = datetime(2024, 1, 1)
 
@@ -122,3 +124,84 @@ def test_components_of_a_long_path(spark):
     other = spark.createDataFrame([(1000, 1001), (1001, 1002)], "u bigint, v bigint")
     roots = {r["node"]: r["root"] for r in clustering.connected_components(edges.unionByName(other)).collect()}
     assert set(roots.values()) == {0, 1000} and len(roots) == 204
+
+
+# --- a hot minute ---------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def minute(spark):
+    """90 % of the rows in one key and minute, half of these at one instant."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(6000):
+        if rnd.random() < 0.9:
+            rows.append((i, "hot", T0 + timedelta(hours=5, seconds=0 if rnd.random() < 0.5 else rnd.randrange(60), microseconds=rnd.randrange(3)), rnd.randrange(100)))
+        else:
+            rows.append((i, f"k{rnd.randrange(3)}", T0 + timedelta(seconds=rnd.randrange(5 * 86_400)), rnd.randrange(100)))
+    pdf = pd.DataFrame(rows, columns=["id", "key", "ts", "value"]).sort_values(["key", "ts", "id"]).reset_index(drop=True)
+    return cut_lineage(spark.createDataFrame(rows, "id bigint, key string, ts timestamp_ntz, value bigint").repartition(4)), pdf
+
+
+def test_chunks_are_bounded_by_rows_and_keep_the_order(minute):
+    df, pdf = minute
+    chunked = ordered_chunks(df, ["key"], "ts", ["id"], rows=400)
+    own = {r["id"]: tuple(r[CHUNK]) for r in chunked.collect()}
+    assert len(own) == len(pdf)
+    for key, part in pdf.groupby("key"):
+        chunks = [own[i] for i in part["id"]]
+        assert chunks == sorted(chunks) and max(Counter(chunks).values()) < 1000
+    hot = {own[i] for i in pdf.loc[pdf["key"] == "hot", "id"]}
+    assert len(hot) > 8
+
+
+def test_order_inside_a_hot_minute(minute):
+    """Positions, totals and lags of cut and of whole spans equal brute force."""
+    df, pdf = minute
+    g = pdf.groupby("key")
+    want = {r.id: r for r in pdf.assign(position=g.cumcount(), total=g["value"].cumsum(), before=g["id"].shift()).itertuples()}
+    for rows in (400, 1_000_000):
+        out = in_order(df, ["key"], "ts", ["id"], position="position", sums={"total": F.col("value")}, previous={"before": "id"}, rows=rows).collect()
+        assert len(out) == len(pdf)
+        for r in out:
+            w = want[r.id]
+            assert (r.position, r.total) == (w.position, w.total) and (pd.isna(w.before) if r.before is None else r.before == w.before)
+    assert set(out[0].asDict()) == {"id", "key", "ts", "value", "position", "total", "before"}
+
+
+def test_trailing_count_of_a_hot_minute(minute):
+    df, pdf = minute
+    for seconds in (0, 7, 3600, 86_400):
+        got = by_id(trailing_count(df, ["key"], "ts", seconds, rows=300), "n_recent")
+        for _, part in pdf.groupby("key"):
+            t = part["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            n = np.searchsorted(t, t, side="right") - np.searchsorted(t, t - seconds * 10**6, side="left")
+            assert [got[i] for i in part["id"]] == n.tolist()
+
+
+@pytest.mark.parametrize("seconds, rows", [(300, 100_000), (3, 25), (40_000, 400), (1, 25), (0, 25)])
+def test_cooldown_by_composed_chunks(minute, seconds, rows):
+    """One island may span everything: maps of chunks give what the plain fold gives."""
+    df, pdf = minute
+    got = {r["id"]: r["applied"] for r in oplog.apply_cooldown(df, ["key"], "ts", ["id"], seconds, rows=rows).collect()}
+    want = {}
+    for _, part in pdf.groupby("key"):
+        last = None
+        for i, t in zip(part["id"], part["ts"]):
+            want[i] = last is None or (t - last).total_seconds() >= seconds
+            last = t if want[i] else last
+    assert got == want
+
+
+def test_cooldown_map_by_brute_force():
+    rnd = random.Random(2)
+    for _ in range(300):
+        t = np.array(sorted(rnd.sample(range(100, 160), rnd.randrange(1, 20))))
+        cooldown = rnd.randrange(1, 40)
+        starts, exits = oplog._cooldown_map(t, cooldown)
+        for entry in range(40, int(t[0])):
+            last = entry
+            for x in t:
+                last = x if x - last >= cooldown else last
+            i = np.searchsorted(starts, entry + cooldown)
+            assert (exits[i] if i < len(starts) else entry) == last
