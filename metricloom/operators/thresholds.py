@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.scalars import MICROS, clamp, from_micros, micros, violates
-from metricloom.operators.chunks import CHUNK, running_total, with_halo
+from metricloom.operators.chunks import CHUNK, chunk_of, running_total, with_halo
+from metricloom.operators.sliding import sliding_quantile
+from metricloom.session import cut_lineage
 
 # The names a configuration may use.
 THRESHOLD_TYPES = ["static", "dynamic", "adaptive", "time_based", "percentile"]
@@ -18,6 +20,8 @@ CONFIG_SCHEMA = (
     "min_value double, max_value double, percentile double, time_windows array<struct<hours:string,value:double>>"
 )
 UNBOUNDED = 1.0e300
+#: Rows of a metric that one task may hold in two windows.
+TASK_ROWS = 1_000_000
 
 
 def config_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -66,16 +70,29 @@ def time_based_value(ts: Column, windows: Column, base: Column) -> Column:
 
 def trailing_percentile(
     points: DataFrame, keys: list[str], percentile: str, ts: str = "ts", value: str = "value",
-    window_seconds: int = 3600, chunk_seconds: int | None = None, name: str = "percentile_value",
+    window_seconds: int = 3600, chunk_seconds: int | None = None, name: str = "percentile_value", task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Percentile of the key's values in (ts - window, ts], exact and linear.
 
-    ``percentile`` names a column, constant per key, in [0, 100].  Each task
-    sees one (key, chunk) plus one window of context, so a hot key spreads over
-    its chunks; the sliding quantile inside costs log(window) per row instead of
-    re-reading the frame for every row.
+    ``percentile`` names a column, constant per key, in [0, 100].  A task sees one
+    (key, chunk) plus one window of context while that is at most ``task_rows`` rows;
+    keys with more in any chunk are answered by bounded panes, with the same result.
     """
     chunk_seconds = chunk_seconds or max(window_seconds, 3600)
+    sizes = points.groupBy(*keys, chunk_of(ts, chunk_seconds).alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = cut_lineage(sizes.filter(F.col("_n") > task_rows // 2).select(*keys).distinct())
+    if heavy.isEmpty():
+        return _percentile_by_chunk(points, keys, percentile, ts, value, window_seconds, chunk_seconds, name)
+    light = _percentile_by_chunk(points.join(heavy, keys, "left_anti"), keys, percentile, ts, value, window_seconds, chunk_seconds, name)
+    busy = points.join(heavy, keys, "left_semi")
+    answers = sliding_quantile(busy, keys, percentile, ts, value, window_seconds, name)
+    return light.unionByName(busy.join(answers, [*keys, ts]).select(*points.columns, name))
+
+
+def _percentile_by_chunk(
+    points: DataFrame, keys: list[str], percentile: str, ts: str, value: str, window_seconds: int, chunk_seconds: int, name: str
+) -> DataFrame:
+    """The sliding quantile costs log(window) per row instead of re-reading the frame."""
     chunked = with_halo(points, ts, chunk_seconds, before=window_seconds)
     schema = T.StructType(points.schema.fields + [T.StructField(name, T.DoubleType())])
     window, columns = f"{window_seconds}s", points.columns
@@ -85,6 +102,7 @@ def trailing_percentile(
         series = pdf.set_index(ts)[value]
         q = float(pdf[percentile].iloc[0]) / 100.0
         pdf[name] = series.rolling(window, closed="right").quantile(q, interpolation="linear").to_numpy()
+        pdf[name] = pdf.groupby(ts)[name].transform("last")  # the window of an instant holds all its rows
         return pdf.loc[pdf["_own"], [*columns, name]]
 
     return chunked.groupBy(*keys, CHUNK).applyInPandas(slide, schema)

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import clustering, oplog, similarity
+from metricloom.operators import clustering, oplog, similarity, sliding, thresholds
 from metricloom.operators.aggregates import exact_quantile, range_aggregates
 from metricloom.operators.chunks import CHUNK, in_order, ordered_chunks, positions, previous_values, running_total
 from metricloom.operators.windows import trailing_count
@@ -205,3 +205,40 @@ def test_cooldown_map_by_brute_force():
                 last = x if x - last >= cooldown else last
             i = np.searchsorted(starts, entry + cooldown)
             assert (exits[i] if i < len(starts) else entry) == last
+
+
+# --- sliding quantiles by panes -------------------------------------------------------
+
+
+def plain_quantile(part, window, q):
+    """Quantile of (t - window, t] for every instant of a key, from sorted slices."""
+    t, v = part["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), part["value"].to_numpy(float)
+    out = {}
+    for x in np.unique(t):
+        own = v[(t > x - window * 10**6) & (t <= x)]
+        own = own[~np.isnan(own)]
+        out[x] = np.quantile(own, q) if len(own) else None
+    return out
+
+
+@pytest.mark.parametrize("window, q, events, bins", [(60, 0.9, 300, 16), (2, 0.5, 150, 256), (40_000, 0.99, 500, 4), (3600, 0.0, 400, 8), (3600, 1.0, 400, 8)])
+def test_sliding_quantile_by_panes(minute, window, q, events, bins):
+    df, pdf = minute
+    pdf = pdf.assign(value=np.where(pdf["id"] % 50 == 0, np.nan, pdf["value"] + (pdf["id"] % 7) / 10))
+    values = F.when(F.col("id") % 50 != 0, F.col("value") + (F.col("id") % 7) / 10)
+    points = df.withColumn("value", values).withColumn("pct", F.lit(100 * q))
+    got = sliding.sliding_quantile(points, ["key"], "pct", window_seconds=window, events=events, bins=bins).collect()
+    found = {(r["key"], int((r["ts"] - datetime(1970, 1, 1)) / timedelta(microseconds=1))): r["percentile_value"] for r in got}
+    assert len(found) == len(got)
+    want = {(key, t): x for key, part in pdf.groupby("key") for t, x in plain_quantile(part, window, q).items()}
+    assert set(found) == set(want)
+    assert all((found[k] is None) if x is None else abs(found[k] - x) < 1e-9 for k, x in want.items())
+
+
+def test_both_forms_of_the_trailing_percentile_agree(minute):
+    df, pdf = minute
+    points = df.withColumn("pct", F.lit(75.0))
+    one = thresholds.trailing_percentile(points, ["key"], "pct", window_seconds=30)
+    two = thresholds.trailing_percentile(points, ["key"], "pct", window_seconds=30, task_rows=200)
+    a, b = by_id(one, "percentile_value"), by_id(two, "percentile_value")
+    assert one.columns == two.columns and len(a) == len(b) == len(pdf) and all(abs(a[i] - b[i]) < 1e-9 for i in a)
