@@ -83,7 +83,8 @@ def trailing_percentile(
     heavy = cut_lineage(sizes.filter(F.col("_n") > task_rows // 2).select(*keys).distinct())
     if heavy.isEmpty():
         return _percentile_by_chunk(points, keys, percentile, ts, value, window_seconds, chunk_seconds, name)
-    light = _percentile_by_chunk(points.join(heavy, keys, "left_anti"), keys, percentile, ts, value, window_seconds, chunk_seconds, name)
+    quiet = points.join(heavy, keys, "left_anti").select(*points.columns)
+    light = _percentile_by_chunk(quiet, keys, percentile, ts, value, window_seconds, chunk_seconds, name)
     busy = points.join(heavy, keys, "left_semi")
     answers = sliding_quantile(busy, keys, percentile, ts, value, window_seconds, name)
     return light.unionByName(busy.join(answers, [*keys, ts]).select(*points.columns, name))
