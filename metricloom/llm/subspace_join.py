@@ -10,10 +10,12 @@ is verified exactly in double precision, so no pair is counted twice and none ha
 to be emitted: a task returns link counts and a spanning forest.
 
 Defined cases: equal vectors are one node with a multiplicity before anything is
-joined; vectors that are null, empty, zero or hold null or non-finite components
-link with nothing, nor do vectors of different sizes; a null ``vec_id`` links with
-nothing and stays; rows that repeat an id are one node of the component graph.
-Other columns are not touched.
+joined; nodes have numbers of their own, ids only name the components.  Vectors that
+are null, empty, zero or hold null or non-finite components link with nothing, nor do
+vectors of different sizes; a null ``vec_id`` links with nothing and stays; rows that
+repeat an id with unlike vectors are separate vectors.  Lengths do not matter: each
+vector is scaled by a power of two before products are formed, so neither very small
+nor very large components under- or overflow.  Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -36,6 +38,12 @@ AXES, BLOCK_SIZE = 2, 8
 FOUND = "a long, b long, links long"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to [1/2, 1):
+    exact, and products of components stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 @lru_cache(maxsize=8)
 def rotation(size: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(size).normal(size=(size, size)))
@@ -54,7 +62,7 @@ def budgets(size: int, cosine: float) -> np.ndarray:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], cosine: float, single: bool, cells_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (size, block, cell, visit, uid, mult, vector, rotated) of each vector;
+    """Rows (size, block, cell, visit, node, mult, vector, rotated) of each vector;
     ``single`` keeps single-precision components in four bytes."""
     for batch in batches:
         values = batch.column("embedding")
@@ -64,11 +72,10 @@ def _deal(batches: Iterator[pa.RecordBatch], cosine: float, single: bool, cells_
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             x = flat[(ends[rows] - size)[:, None] + np.arange(size)]
-            unit = x.astype(np.float64)
-            unit /= np.abs(unit).max(axis=1, keepdims=True)
+            unit = scaled(x.astype(np.float64))
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             turned = (unit @ rotation(int(size))).astype(np.float32)
-            uid, mult = (batch.column(c).to_numpy()[rows] for c in ("uid", "mult"))
+            node, mult = (batch.column(c).to_numpy()[rows] for c in ("node", "mult"))
             own = [] if cells_only else [v.tobytes() for v in np.ascontiguousarray(x, np.float32 if single else np.float64)]
             seen = [] if cells_only else [v.tobytes() for v in turned]
             for k, (b, budget) in enumerate(zip(blocks_of(int(size)), budgets(int(size), cosine))):
@@ -91,12 +98,12 @@ def _deal(batches: Iterator[pa.RecordBatch], cosine: float, single: bool, cells_
                         yield pa.RecordBatch.from_arrays(where, ["size", "block", "cell", "visit"])
                         continue
                     yield pa.RecordBatch.from_arrays([
-                        *where, pa.array(uid[r]), pa.array(mult[r]), pa.array([own[i] for i in r], pa.binary()), pa.array([seen[i] for i in r], pa.binary()),
-                    ], ["size", "block", "cell", "visit", "uid", "mult", "vector", "rotated"])
+                        *where, pa.array(node[r]), pa.array(mult[r]), pa.array([own[i] for i in r], pa.binary()), pa.array([seen[i] for i in r], pa.binary()),
+                    ], ["size", "block", "cell", "visit", "node", "mult", "vector", "rotated"])
 
 
 CELLS = "size int, block int, cell long, visit boolean"
-DEALT = CELLS + ", uid long, mult long, vector binary, rotated binary"
+DEALT = CELLS + ", node long, mult long, vector binary, rotated binary"
 
 
 class Forest:
@@ -122,19 +129,20 @@ def _join_cell(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -
     """Links of one part of a cell, or between two parts: visitors meet homes only."""
     size, k = table.column("size")[0].as_py(), table.column("block")[0].as_py()
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    uid, mult, side, visit = (table.column(c).to_numpy() for c in ("uid", "mult", "side", "visit"))
+    node, mult, side, visit = (table.column(c).to_numpy() for c in ("node", "mult", "side", "visit"))
     visit = visit.astype(bool)
     vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32 if single else np.float64).reshape(-1, size).astype(np.float64)
+    vectors = scaled(vectors)
     turned = np.frombuffer(b"".join(table.column("rotated").to_pylist()), np.float32).reshape(-1, size)
     norm = np.sqrt((vectors * vectors).sum(axis=1))
     cuts, budget = blocks_of(size), budgets(size, cosine)
     part = np.ascontiguousarray(turned[:, cuts[k]])
-    square, ones = (part * part).sum(axis=1)[:, None], np.ones((len(uid), 1), np.float32)
+    square, ones = (part * part).sum(axis=1)[:, None], np.ones((len(node), 1), np.float32)
     # the product of these rows is a squared distance
     left_rows, right_rows = np.hstack([-2 * part, square, ones]), np.hstack([part, ones, square])
     along = part[:, min(AXES, part.shape[1] - 1)]  # sorted by an axis that the cells leave open
     reach = np.float32(np.sqrt(budget[k] + SLACK)) + np.float32(1e-6)
-    links, forest = np.zeros(len(uid), np.int64), Forest(len(uid))
+    links, forest = np.zeros(len(node), np.int64), Forest(len(node))
 
     def meet(left: np.ndarray, right: np.ndarray, once: bool) -> None:
         """Compare rows ``left`` with ``right``; ``once``: they are the same rows."""
@@ -177,8 +185,8 @@ def _join_cell(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -
         meet(np.flatnonzero(low & visit), np.flatnonzero(high & ~visit), False)
     linked = np.flatnonzero(links)
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
-    a = np.concatenate([uid[linked], uid[edges[:, 0]]])
-    b = np.concatenate([uid[linked], uid[edges[:, 1]]])
+    a = np.concatenate([node[linked], node[edges[:, 0]]])
+    b = np.concatenate([node[linked], node[edges[:, 1]]])
     n = np.concatenate([links[linked], np.zeros(len(edges), np.int64)])
     return pa.table({"a": pa.array(a), "b": pa.array(b), "links": pa.array(n)})
 
@@ -189,16 +197,17 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 32_76
     A cell with more than ``cell_rows`` rows is cut into parts by hash and joined
     part by part, so a task holds two parts at most.
     """
-    key = [F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2")]
+    key = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).filter(usable)  # -0.0 equals 0.0
-    nodes = cut_lineage(valid.groupBy("embedding").agg(F.min("vec_id").alias("uid"), F.count(F.lit(1)).alias("mult")))
+    groups = valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult"))
+    nodes = cut_lineage(groups.withColumn("node", F.monotonically_increasing_id()))
     if nodes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
-    even = nodes.select("uid", "mult", "embedding").repartition("uid", "embedding")
+    even = nodes.select("node", "mult", "embedding").repartition("node")
     cell = ["size", "block", "cell"]
     # the cells are dealt twice, first by name alone: vectors move once
     named_cells = even.mapInArrow(lambda b: _deal(b, cosine, single, True), CELLS)
@@ -206,13 +215,15 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 32_76
     parts = cut_lineage(sizes.filter("homes > 0 and n > 1").select(*cell, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
     dealt = even.mapInArrow(lambda b: _deal(b, cosine, single, False), DEALT)
     spread = dealt.join(small_or_merge(parts, parts.count(), 32, 8 << 20), cell)
-    spread = spread.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("parts", "other")
     found = cut_lineage(spread.groupBy(*cell, "lo", "hi").applyInArrow(lambda t: _join_cell(t, cosine, single), FOUND))
-    counts = found.filter("links > 0").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
+    counts = cut_lineage(found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")))
     roots = connected_components(found.filter("links = 0 and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = nodes.join(cut_lineage(counts), "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-    named = cut_lineage(named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "uid").alias("component_id")))
+    # only now do ids come in: the smallest of a component names it
+    names = cut_lineage(roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("name")))
+    named = nodes.join(counts, "node", "left").join(roots, "node", "left").join(names, "root", "left")
+    named = cut_lineage(named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id")))
     plain = rows.withColumn("embedding", F.when(usable, F.transform("embedding", lambda x: x + F.lit(0.0))))
     joined = plain.select("vec_id", F.when(F.col("embedding").isNotNull(), key[0]).alias("h1"), F.when(F.col("embedding").isNotNull(), key[1]).alias("h2")).join(named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")

@@ -203,3 +203,25 @@ def test_vector_links_equal_brute_force(spark, size):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in out if r.vec_id is not None and r.vec_id < 4000) == brute_links(rows, 0.9)
         assert [r.kept for r in out if r.vec_id is None or r.vec_id >= 4000] == [True] * len(odd) and len(out) == len(rows) + len(odd)
     assert subspace_join.vector_links(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-200, 5e-324, 1e200, 1e307])
+def test_vector_links_of_any_length(spark, scale):
+    """Products of raw components would under- or overflow; the links are those of the unit vectors."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 64))
+    base[20:40] = base[:20] + rng.normal(size=(20, 64)) * 0.2
+    if scale == 5e-324:  # whole multiples of the least number
+        base = np.round(base * 1000)
+    vectors = base * scale
+    units = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    out = subspace_join.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = brute_links([(i, u.tolist()) for i, u in enumerate(units)], 0.9)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == want and 0 < sum(w[1] for w in want) < 200
+
+
+def test_unlike_vectors_under_one_id(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.1, 0.0]), (8, [1.0, 0.0, 0.1]), (3, [0.0, 1.0, 0.1]), (3, [0.0, 0.0, 1.0])]
+    out = subspace_join.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(3, 0, 3), (3, 1, 3), (5, 1, 3), (5, 2, 5), (7, 2, 5), (8, 2, 5)]
