@@ -67,12 +67,48 @@ def test_lines_by_hand(spark):
     rows += [(20 + i, own(9) + "\n" + own(8), "en", "s", 5) for i in range(4)]  # exact copies keep their lines
     out = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, DOCS), min_constant=0.6).collect()}
     for i in range(4):
-        assert out[i].text == f"{own(i)}\nshort line" and out[i].n_chars == len(out[i].text) and out[i].lines_dropped == 2
-    assert out[10].text == rows[4][1]  # nothing but boilerplate: left for the near-duplicate stage
+        assert out[i].text == own(i) and out[i].n_chars == len(out[i].text) and out[i].lines_dropped == 3
+    assert out[10].text == "" and out[10].n_chars == 0 and out[10].lines_dropped == 1  # nothing but boilerplate
     assert out[None].text is None and out[11].text == "" and out[20].text == rows[-1][1] and out[20].n_chars == 5
     assert drop_recurring_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_lines_of_mostly_boilerplate_and_short_ones(spark):
+    """Short lines and texts of mostly boilerplate lose it as any other text does."""
+    rows = [(i, f"one{chr(97 + i)} own{chr(97 + i)}\nSubscribe now\nShare this", "en", "s", 0) for i in range(6)]
+    rows += [(10 + i, f"Read more about our cookie policy here\nonly{chr(97 + i)} few{chr(97 + i)} words", "en", "s", 0) for i in range(6)]
+    out = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {r[0]: (r[1].split("\n")[0] if r[0] < 10 else r[1].split("\n")[1]) for r in rows}
+    # a short line has to recur in a share of all texts
+    few = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, DOCS), short_share=0.6).collect()}
+    assert few == {r[0]: (r[1] if r[0] < 10 else out[r[0]]) for r in rows}
+
+
+def test_lines_of_near_copies_stay(spark):
+    """Texts that differ in a word here and there support nothing; a passage in texts of other content goes."""
+    rng = np.random.default_rng(8)
+    base = [[f"v{rng.integers(0, 10**6):x}q".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(20)] for _ in range(8)]
+    rows = []
+    for i in range(6):
+        edit = [list(line) for line in base]
+        edit[i][10] = "changed" + chr(97 + i)
+        rows.append((i, "\n".join(" ".join(line) for line in edit), "en", "s", 0))
+    passage = " ".join(f"passage{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55))
+    for i in range(4):
+        words = [f"z{chr(97 + i)}{rng.integers(0, 10**6):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(40)]
+        rows.append((10 + i, " ".join(words) + "\n" + passage, "en", "s", 0))
+    out = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {r[0]: (r[1] if r[0] < 10 else r[1].split("\n")[0]) for r in rows}
+
+
+def test_lines_carry_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"own{chr(97 + i)} text{chr(97 + i)}\nAll rights reserved here", 7) for i in range(4)], "doc_id long, text string, k1 int")
+    for name in ("k2", "places", "row", "pos", "leaf", "line_key", "_key", "lines_dropped"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = drop_recurring_lines(docs).collect()
+    assert all(r.k1 == 7 and r.places == "places" and r.row == "row" and r.lines_dropped == 1 and "rights" not in r.text for r in out) and len(out) == 4
+
+
 def bag(text, k=5):
     w = (text or "").lower().split()
     return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
