@@ -143,7 +143,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     )
 
     text = F.coalesce("text", F.lit(""))
-    k1, k2 = F.xxhash64(text), F.xxhash64(text, F.lit(1))
+    k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), k1).alias("id"), k1.alias("k1"), k2.alias("k2"), "text")
     return keyed.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>, registers binary")
 
@@ -315,7 +315,7 @@ def near_duplicates(
     named = cut_lineage(named.groupBy(F.col("root").alias("class_key")).agg(F.min("id").alias("least")))
     classes = root_of(groups.drop("place"), "k1", "class_key").join(small_or_merge(named, named.count(), 16, 8 << 20), "class_key", "left")
     classes = cut_lineage(classes.select("k1", "k2", "class_key", F.coalesce("least", "id").alias("class_id")))
-    rows_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("k2"))
+    rows_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2"))
     return rows_of.join(classes, ["k1", "k2"])
 
 
@@ -328,7 +328,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     kept = near_duplicates(docs, **how).filter(node == F.col("class_id")).groupBy("class_key", "class_id", "k1", "k2").agg(F.count(F.lit(1)).alias("_rows"))
     kept = kept.groupBy("class_key").agg(F.min(F.struct("k1", "k2", "class_id", "_rows")).alias("s"))
     kept = cut_lineage(kept.select(F.col("s.class_id").alias("_node"), F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2"), "s._rows"))
-    keyed = docs.withColumns({"_node": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "_k1": F.xxhash64(text), "_k2": F.xxhash64(text, F.lit(1))})
+    keyed = docs.withColumns({"_node": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
     n = kept.count()
     out = keyed.join(small_or_merge(kept, n, 32, 8 << 20), ["_node", "_k1", "_k2"])
     if kept.filter("_rows > 1").isEmpty():

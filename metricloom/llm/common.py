@@ -30,6 +30,19 @@ def small_or_merge(right: DataFrame, rows: int, row_bytes: int, limit: int = 32
     return F.broadcast(right) if rows * row_bytes <= limit else right
 
 
+def set_aside(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The ``wanted`` columns that ``df`` has and all its others in one struct, so that
+    none of their names meets one that an operator makes."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in wanted]
+    kept = [c for c in df.columns if c in wanted]
+    return df.select(*kept, F.struct(F.struct(*others) if others else F.lit(0)).alias("set_aside"))
+
+
+def put_back(df: DataFrame, like: DataFrame, wanted: list[str]) -> DataFrame:
+    """``df``, made from ``set_aside(like, wanted)``, with the columns of ``like``."""
+    return df.select(*[F.col(c) if c in wanted else F.col(f"set_aside.col1.`{c}`") for c in like.columns])
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batch in row ranges of about ``size`` bytes of text, with the text as
     a null-free string array (null is empty); one longer text is a slice alone."""

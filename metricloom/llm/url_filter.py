@@ -94,13 +94,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], bits_per
     count = keys.count()
     blocks = max(1, -(-count * bits_per_url // (WORDS * BITS)))
     table = small_or_merge(bloom_blocks(keys, blocks), blocks, 9 * WORDS)
-    carried = [c for c in pages.columns if c not in MADE and c != "maybe"]
-    parsed = pages.select(*carried, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("url_key"))
+    carried = [c for c in pages.columns if c not in MADE]
+    # the caller's columns travel in one, so no name of theirs meets one made here
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("url_key"))
     rule, action = _rule(rules)
     probed = possible_hits(parsed, table, blocks)
     misses = probed.filter(~F.col("maybe")).withColumn("listed", F.lit(False))
     exact = small_or_merge(keys.withColumn("_on_list", F.lit(True)), count, 100, 8 << 20)
     hits = probed.filter("maybe").join(exact, "url_key", "left").withColumn("listed", F.coalesce("_on_list", F.lit(False)))
-    judged = misses.select(*carried, "host", "path", "listed").unionByName(hits.select(*carried, "host", "path", "listed"))
+    judged = misses.select("row", "host", "path", "listed").unionByName(hits.select("row", "host", "path", "listed"))
     verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
-    return judged.select(*carried, "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))
+    return judged.select(*[F.col(f"row.`{c}`") for c in carried], "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))
