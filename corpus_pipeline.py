@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.bag_minhash import keep_one
-from metricloom.llm.common import read
+from metricloom.llm.common import put_back, read, set_aside
 from metricloom.llm.line_templates import drop_recurring_lines
 from metricloom.llm.packing import pack_documents
 from metricloom.llm.quality_model import score, train
@@ -20,17 +20,18 @@ from metricloom.session import cut_lineage, prepare_session
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half go; the score itself is not kept."""
-    return score(docs, train(docs, read(prepare_session(spark), sf_dir, "labels"))).filter("score >= 0.5").select(*docs.columns)
+    forest = train(docs, read(prepare_session(spark), sf_dir, "labels"))
+    return put_back(score(set_aside(docs, ["text"]), forest).filter("score >= 0.5"), docs, ["text"])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; every document stays, with its ``n_chars`` renewed."""
-    return drop_recurring_lines(docs).select(*docs.columns)
+    return put_back(drop_recurring_lines(set_aside(docs, ["text", "n_chars"])), docs, ["text", "n_chars"])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    return keep_one(docs)
+    return put_back(keep_one(set_aside(docs, ["doc_id", "text"])), docs, ["doc_id", "text"])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
