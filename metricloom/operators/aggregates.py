@@ -168,26 +168,19 @@ def step_lookup(
 ) -> DataFrame:
     """Value of each series at each step: the last point in (step - lookback, step].
 
-    Points are reduced to the last one per (series, step) before any ordering,
-    so the as-of fill runs over a grid bounded by the query range.
+    A point names the steps that can see it, and the newest point of a step wins in
+    one aggregate that combines before its shuffle: steps that see no point are
+    never made, and nothing is ordered.
     """
-    step = step_seconds * MICROS
+    step, reach = step_seconds * MICROS, lookback_seconds * MICROS
     lo, hi = (micros(F.lit(x).cast("timestamp_ntz")) for x in (start, stop))
     m = micros("ts")
-    seen = points.filter((m > lo - lookback_seconds * MICROS) & (m <= hi))
-    # index of the first step at or after the point (never before the start)
-    slot = F.greatest(F.ceil((m - lo) / F.lit(step)), F.lit(0)).cast("bigint")
-    order = F.struct("ts", *(tie_break or []))
-    reduced = seen.groupBy(*keys, slot.alias("slot")).agg(
-        F.max_by(F.struct(m.alias("m"), F.col("value").alias("v")), order).alias("p")
-    )
-    slots = F.floor((hi - lo) / F.lit(step))
-    grid = reduced.select(*keys).distinct().withColumn(
-        "slot", F.explode(F.sequence(F.lit(0).cast("bigint"), slots))
-    )
-    up_to = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(reduced, [*keys, "slot"], "left").withColumn("p", F.last("p", ignorenulls=True).over(up_to))
-    at = lo + F.col("slot") * step
-    return filled.filter(at - F.col("p.m") < lookback_seconds * MICROS).select(
-        *keys, from_micros(at).alias("step_ts"), F.col("p.v").alias("value")
+    seen = points.filter((m > lo - reach) & (m <= hi))
+    # from the first step at or after the point to the last one inside its look-back
+    first = F.greatest(F.ceil((m - lo) / F.lit(step)), F.lit(0)).cast("bigint")
+    last = F.least(F.ceil((m + reach - lo) / F.lit(step)) - 1, F.floor((hi - lo) / F.lit(step))).cast("bigint")
+    shown = seen.withColumns({"_first": first, "_last": last}).filter("_first <= _last").withColumn("slot", F.explode(F.sequence("_first", "_last")))
+    newest = F.max_by("value", F.struct("ts", *(tie_break or [])))
+    return shown.groupBy(*keys, "slot").agg(newest.alias("value")).select(
+        *keys, from_micros(lo + F.col("slot") * step).alias("step_ts"), "value"
     )

@@ -14,7 +14,7 @@ from metricloom.plans.inputs import table
 from metricloom.plans.oracle import ENTRIES, SNAPSHOTS, iso as siso, r6
 from metricloom.plans.q_knowledge import RAW
 from metricloom.plans.q_oplog import TALLY, UPDATES
-from metricloom.plans.q_thresholds import FOLD, HOUR, config
+from metricloom.plans.q_thresholds import EVALUATED, FOLD, HOUR, WINDOW, config
 from metricloom.plans.registry import query
 from metricloom.plans.rounding import round6
 from metricloom.session import cut_lineage, shared_folder
@@ -102,6 +102,28 @@ def stream_threshold_points(spark, sf):
     return live.run_to_table(evaluated_stream(spark, sf).select("event_id", "violation"), "evaluated")[0]
 
 
+LATE_HOURS = 12
+
+
+@query("stream_learned_thresholds", "I3 I4 W8 P29 M8", f"""
+WITH RECURSIVE {EVALUATED} SELECT event_id, name, {r6('threshold')} AS threshold, violation FROM judged
+WHERE name NOT IN ('purchase', 'signup') OR ts <= (SELECT max(ts) FROM events WHERE event_type IS NOT NULL) - INTERVAL {LATE_HOURS} HOUR
+""")
+def stream_learned_thresholds(spark, sf):
+    """Five files, each with points up to six hours out of order: limits are learned on the way."""
+    folder = shared_folder(spark, "learned-feed")
+    p = inputs.metric_points(spark, sf).select("point_id", "name", F.col("ts").cast("timestamp").alias("ts"), "value")
+    arrival = F.unix_seconds("ts") + (F.col("point_id") % 7) * 3600
+    span = p.agg(F.min(arrival).alias("lo"), (F.max(arrival) + 1).alias("hi")).first()
+    part = F.floor((arrival - span["lo"]) * 5 / (span["hi"] - span["lo"]))
+    dealt = cut_lineage(p.withColumn("part", part))
+    for k in range(5):
+        dealt.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
+    feed = live.file_stream(spark, f"{folder}/*", "*.parquet", p.schema, files_per_batch=1)
+    out, _ = live.run_to_table(live.evaluate_stream_by_itself(feed, config(spark), WINDOW, HOUR, LATE_HOURS * HOUR), "learned")
+    return out.select(F.col("point_id").alias("event_id"), "name", round6("threshold").alias("threshold"), "violation")
+
+
 @query("stream_adaptive_threshold", "I4 M8", f"""
 WITH RECURSIVE {FOLD} SELECT name, {siso('t')} AS tick_ts, {r6('threshold')} AS threshold FROM fold
 WHERE t <= (SELECT max(ts) FROM events)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -336,6 +338,150 @@ def adaptive_stream(panes: DataFrame, config: DataFrame, panes_per_window: int =
     )
 
 
+class _LearnedLimit(StatefulProcessor):
+    """Limit of a metric learned from its own points, in event order.
+
+    Points wait until the watermark has passed them.  A percentile metric keeps the
+    values of its trailing window, an adaptive one the sums of its panes and the limit
+    in force, which moves at every tick whose window holds a point.  A timer at the
+    next tick moves it for a metric that has gone quiet; once the window is empty no
+    timer is left.  Between batches the state is what waits and one window.
+    """
+
+    def __init__(self, window: int, interval: int):
+        self.window, self.interval = window, interval  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rule = handle.getValueState("rule", "kind string, base double, q double, rate double, lo double, hi double")
+        self.waiting = handle.getListState("waiting", "t bigint, point_id bigint, value double")
+        self.recent = handle.getListState("recent", "t bigint, value double")
+        self.panes = handle.getMapState("panes", "pane bigint", "n bigint, s double, ss double")
+        self.current = handle.getValueState("current", "threshold double, tick bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for pdf in rows:
+            r = pdf.iloc[0]
+            self.rule.update((r["kind"], float(r["base"]), float(r["q"]), float(r["rate"]), float(r["lo"]), float(r["hi"])))
+            self.waiting.appendList(list(zip(pdf["t"].tolist(), pdf["point_id"].tolist(), pdf["value"].tolist())))
+            latest = max(pdf["t"].max(), latest or pdf["t"].min())
+        if latest is not None:
+            self.handle.registerTimer(-(-int(latest) // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [p for p in held if p[0] <= passed]
+        self.waiting.clear()
+        if len(due) < len(held):
+            self.waiting.put(held[len(due):])
+        rule = self.rule.get()
+        out = list(self._percentile(rule, due) if rule[0] == "percentile" else self._adaptive(rule, due, passed))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["name", "kind", "point_id", "t", "value", "threshold"])
+
+    def _percentile(self, rule, due):
+        recent = deque(sorted(self.recent.get()) if self.recent.exists() else [])
+        values = sorted(v for _, v in recent)
+        place = 0
+        while place < len(due):
+            t = due[place][0]
+            stop = place
+            while stop < len(due) and due[stop][0] == t:  # the window of an instant holds all its points
+                recent.append((t, due[stop][2]))
+                insort(values, due[stop][2])
+                stop += 1
+            while recent and recent[0][0] <= t - self.window:
+                del values[bisect_left(values, recent.popleft()[1])]
+            rank = rule[2] * (len(values) - 1)
+            k = int(rank)
+            limit = values[k] + (values[min(k + 1, len(values) - 1)] - values[k]) * (rank - k)
+            for _, point_id, value in due[place:stop]:
+                yield "point", point_id, t, value, limit
+            place = stop
+        self.recent.clear()
+        if recent:
+            self.recent.put(list(recent))
+
+    def _adaptive(self, rule, due, passed):
+        _, base, _, rate, lo, hi = rule
+        panes = {k[0]: v for k, v in self.panes.iterator()}
+        limit, tick = self.current.get() if self.current.exists() else (base, None)
+        count = self.window // self.interval
+
+        def ticks(until):
+            """Adaptations at the ends of panes up to ``until``."""
+            nonlocal limit, tick
+            while panes and (tick + 2) * self.interval <= until:
+                tick += 1
+                for old in [p for p in panes if p <= tick - count]:
+                    del panes[old]
+                n = sum(x[0] for x in panes.values())
+                if not n:  # an empty window changes nothing, nor do the ticks until the next point
+                    break
+                mean = sum(x[1] for x in panes.values()) / n
+                target = mean + 2 * max(sum(x[2] for x in panes.values()) / n - mean * mean, 0.0) ** 0.5
+                limit = min(max(limit * (1 - rate) + rate * target, lo), hi)
+                yield "tick", None, (tick + 1) * self.interval, None, limit
+
+        for t, point_id, value in due:
+            yield from ticks(t)
+            pane = t // self.interval
+            if not panes:
+                tick = pane - 1
+            n, total, square = panes.get(pane, (0, 0.0, 0.0))
+            panes[pane] = (n + 1, total + value, square + value * value)
+            yield "point", point_id, t, value, limit
+        yield from ticks(passed)
+        self.panes.clear()
+        for pane, sums in panes.items():
+            self.panes.updateValue((pane,), sums)
+        if tick is not None:
+            self.current.update((limit, tick))
+        if panes:
+            self.handle.registerTimer(-(-(tick + 2) * self.interval // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def learned_limits(
+    points: DataFrame, config: DataFrame, window_seconds: int = 3600, interval_seconds: int = 300, delay_seconds: int = 0
+) -> DataFrame:
+    """(name, kind, point_id, t, value, threshold) of percentile and adaptive metrics.
+
+    ``points``: name, ts, point_id, value.  Kind ``point`` is a point with the limit in
+    force, ``tick`` an adaptation at time ``t`` (microseconds).  Whatever the batches,
+    the limits are those of the batch evaluation; a point comes out once the watermark,
+    ``delay_seconds`` behind the newest point, has passed it.
+    """
+    rules = config.filter((F.col("threshold_type") == "adaptive") | ((F.col("threshold_type") == "percentile") & F.col("percentile").isNotNull())).select(
+        "name", F.col("threshold_type").alias("kind"), F.col("value").alias("base"), (F.coalesce("percentile", F.lit(0.0)) / 100.0).alias("q"),
+        F.coalesce("adaptation_rate", F.lit(0.1)).alias("rate"), F.coalesce("min_value", F.lit(-UNBOUNDED)).alias("lo"), F.coalesce("max_value", F.lit(UNBOUNDED)).alias("hi"),
+    )
+    rows = points.withWatermark("ts", f"{delay_seconds} seconds").select("name", "ts", F.unix_micros("ts").alias("t"), "point_id", "value").join(rules, "name")
+    return rows.groupBy("name").transformWithStateInPandas(
+        statefulProcessor=_LearnedLimit(window_seconds * 1_000_000, interval_seconds * 1_000_000),
+        outputStructType="name string, kind string, point_id bigint, t bigint, value double, threshold double", outputMode="Append", timeMode="EventTime",
+    )
+
+
+def evaluate_stream_by_itself(
+    points: DataFrame, config: DataFrame, window_seconds: int = 3600, interval_seconds: int = 300, delay_seconds: int = 0
+) -> DataFrame:
+    """(name, point_id, ts, value, threshold, violation) of every point, with limits that
+    the stream learns itself: nothing but the configuration is handed in."""
+    learned = learned_limits(points, config, window_seconds, interval_seconds, delay_seconds).filter("kind = 'point'")
+    learned = learned.select("name", "point_id", F.timestamp_micros("t").alias("ts"), "value", "threshold").join(config.select("name", "operator"), "name")
+    own = (F.col("threshold_type") == "adaptive") | ((F.col("threshold_type") == "percentile") & F.col("percentile").isNotNull())
+    fixed = points.select("name", "ts", "point_id", "value").join(config.withColumnRenamed("value", "value_limit"), "name").filter(~own)
+    limit = current_threshold(F.lit(None).cast("double"), F.lit(None).cast("double"))
+    fixed = fixed.select("name", "point_id", "ts", "value", limit.alias("threshold"), "operator")
+    both = fixed.unionByName(learned)
+    return both.withColumn("violation", violates("operator", "value", "threshold")).drop("operator")
+
+
 class _Cooldown(StatefulProcessor):
     """Time of the last applied action of a service."""
 
