@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +45,54 @@ def linear_forecast(grid: DataFrame, horizon_seconds: int, step_seconds: int) ->
     )
 
 
+def frame_forecast(
+    frame: DataFrame, target: str, features: Sequence[str], horizon_seconds: int, step_seconds: int, index: str = "h"
+) -> DataFrame:
+    """Least squares of one metric on others over an aligned frame, its last row continued.
+
+    ``frame`` has one row per ``index`` and a column per metric.  The normal equations
+    are covariances of pairs of columns, which merge from partial aggregates; one row
+    of them is solved, whatever the length of the frame.  Rows with a missing value are
+    left out of the fit.  A constant column has no weight, and of columns that depend on
+    each other the solution with the smallest weights (of scaled columns) is taken; the
+    target among its own features therefore repeats its last value.  Without a row to
+    fit, or with a missing value in the last row, the forecast is null.
+    """
+    columns = list(dict.fromkeys([target, *features]))
+    at = {c: i for i, c in enumerate(columns)}
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
+    known = [F.when(whole, F.col(f"`{c}`").cast("double")) for c in columns]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = frame.agg(
+        F.array(*[F.avg(c) for c in known]).alias("means"), F.array(*[F.covar_pop(known[i], known[j]) for i, j in pairs]).alias("products"),
+        F.max_by(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]), index).alias("last"), F.max(index).alias("last_h"),
+    )
+    used = [at[c] for c in dict.fromkeys(features)]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            values = []
+            for means, products, last in zip(pdf["means"], pdf["products"], pdf["last"]):
+                if last is None or any(x is None or np.isnan(x) for x in [*means, *last]):
+                    values.append(None)
+                    continue
+                cov = np.zeros((len(columns), len(columns)))
+                for (i, j), x in zip(pairs, products):
+                    cov[i, j] = cov[j, i] = x
+                scale = np.sqrt(np.diag(cov))[used]
+                scale[scale <= 1e-12 * np.abs(np.asarray(means, float)[used])] = 0.0
+                inverse = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
+                gram = cov[np.ix_(used, used)] * np.outer(inverse, inverse)
+                weights = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ (cov[used, 0] * inverse) * inverse
+                values.append(float(means[0] + weights @ (np.asarray(last, float) - np.asarray(means, float))[used]))
+            yield pd.DataFrame({"last_h": pdf["last_h"], "value": pd.array(values, dtype="Float64")})
+
+    fitted = sums.filter("last_h is not null").mapInPandas(solve, f"last_h {frame.schema[index].dataType.simpleString()}, value double")
+    return _future(fitted, horizon_seconds // step_seconds, step_seconds).select(
+        F.lit(target).alias("name"), "ts", "value", F.lit(LINEAR_CONFIDENCE).alias("confidence"), F.lit("linear_frame").alias("model")
+    )
+
+
 def seasonal_forecast(grid: DataFrame, horizon_seconds: int, step_seconds: int) -> DataFrame:
     """Line plus mean residual by hour of day, then by weekday; confidence is a quarter of the 95% width.
 

@@ -40,6 +40,35 @@ def linear_forecast(spark, sf):
     return out.withColumns({"ts": iso("ts"), "value": round6("value")})
 
 
+def orthogonal(steps: int) -> str:
+    """Centred columns x1..xn and y; each step takes the part along one column out of
+    the later ones: the normal equations, solved one unknown at a time."""
+    out = []
+    for k in range(1, steps):
+        rest = ", ".join(f"x{j} - x{k} * coalesce(sum(x{k} * x{j}) OVER () / nullif(sum(x{k} * x{k}) OVER (), 0), 0) AS x{j}" for j in range(k + 1, steps + 1))
+        kept = ", ".join(f"x{j}" for j in range(1, k + 1))
+        out.append(f"g{k} AS (SELECT h, y, mean_y, {kept}, {rest} FROM g{k - 1})")
+    return ",\n".join(out)
+
+
+@query("frame_forecast", "M1 A1 A2", f"""
+WITH {FILLED},
+wide AS (SELECT h, max(v) FILTER (name = 'click') AS x1, max(v) FILTER (name = 'error') AS x2, max(v) FILTER (name = 'signup') AS x3,
+  max(v) FILTER (name = 'view') AS x4, max(v) FILTER (name = 'purchase') AS y FROM filled GROUP BY h),
+g0 AS (SELECT h, avg(y) OVER () AS mean_y, y - avg(y) OVER () AS y, x1 - avg(x1) OVER () AS x1, x2 - avg(x2) OVER () AS x2, x3 - avg(x3) OVER () AS x3, x4 - avg(x4) OVER () AS x4
+  FROM wide WHERE x1 + x2 + x3 + x4 + y IS NOT NULL),
+{orthogonal(4)},
+fit AS (SELECT any_value(mean_y) AS mean_y, {', '.join(f'sum(x{k} * y) / sum(x{k} * x{k}) AS b{k}, max_by(x{k}, h) AS l{k}' for k in range(1, 5))}, max(h) AS last_h FROM g3)
+SELECT 'purchase' AS name, {siso('last_h + to_hours(step)')} AS ts, {r6('mean_y + b1 * l1 + b2 * l2 + b3 * l3 + b4 * l4')} AS value,
+  0.7::DOUBLE AS confidence, 'linear_frame' AS model FROM fit CROSS JOIN (SELECT unnest(generate_series(1, 24)) AS step)
+""")
+def frame_forecast(spark, sf):
+    frame = prepare.aligned_features(inputs.metric_points(spark, sf), EVENT_TYPES, HOUR)
+    others = [n for n in EVENT_TYPES if n != "purchase"]
+    out = forecast.frame_forecast(frame, "purchase", others, 24 * HOUR, HOUR)
+    return out.withColumns({"ts": iso("ts"), "value": round6("value")})
+
+
 @query("seasonal_forecast", "M3", f"""
 WITH {FILLED}, {LINE},
 d AS (SELECT f.name, h, v - (base + slope * i) AS r, hour(h) AS hh, dayofweek(h) AS dd FROM filled f JOIN line USING (name)),
