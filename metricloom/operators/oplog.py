@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import MICROS, floor_time, micros, seconds_between
-from metricloom.operators.chunks import CHUNK, CHUNK_ROWS, DAY, in_order, ordered_chunks, prefix_by_chunk, previous_values, running_total
+from metricloom.operators.chunks import (
+    CHUNK, CHUNK_ROWS, DAY, in_order, ordered_chunks, positions, prefix_by_chunk, previous_values, running_total,
+)
 
 BUCKET = 3600
 # Timeouts and the number of cluster nodes.
@@ -18,6 +20,8 @@ OPERATION_TIMEOUT = 300
 PROPOSAL_SECONDS = 30
 COOLDOWN = 300
 NODES = 3
+#: Lines of one row of a long text.
+PART_LINES = 1000
 
 
 def operation_metrics(points: DataFrame, operations: DataFrame, key: str, bucket_seconds: int = BUCKET) -> DataFrame:
@@ -121,6 +125,36 @@ def state_snapshots(steps: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def rollback_status(steps: DataFrame) -> DataFrame:
+    """One row per operation: completed if all of its steps are."""
+    done = F.bool_and(F.coalesce(F.col("status") == "completed", F.lit(False)))
+    return steps.groupBy("operation_id").agg(F.when(done, "completed").otherwise("failed").alias("status"), F.count_if(F.col("status") == "failed").alias("failures"))
+
+
+def rollback_error_parts(steps: DataFrame, order: Sequence[str], size: int = PART_LINES, rows: int = CHUNK_ROWS) -> DataFrame:
+    """(operation_id, part, error): the failure texts of each operation in step order,
+    ``size`` of them in a row, for operations of any number of steps.
+
+    Failures are numbered by chunks of their operation, so neither the order nor the
+    texts of a long operation meet in one task.  Joined by line ends in the order of
+    ``part``, the rows are the text of ``rollback_outcome``.
+    """
+    said = F.concat(F.lit("Step "), F.col(order[0]).cast("string"), F.lit(" failed: "), F.col("error"))
+    failed = steps.filter(F.col("status") == "failed").select("operation_id", *order, said.alias("_said"), F.timestamp_seconds(F.lit(0)).alias("_at"))
+    # no time of their own: the operation is one span, cut by the order of its steps
+    placed = positions(failed, ["operation_id"], "_at", [*order, "_said"], "_place", rows=rows)
+    texts = F.sort_array(F.collect_list(F.struct("_place", "_said")))
+    return placed.groupBy("operation_id", F.floor(F.col("_place") / size).cast("bigint").alias("part")).agg(
+        F.array_join(F.transform(texts, lambda s: s["_said"]), "\n").alias("error")
+    )
+
+
+def state_snapshot_rows(steps: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(operation_id, step_id, before, after): the last entry of every step as a row."""
+    last = F.max_by(F.struct("before", "after"), F.struct(*order)).alias("_s")
+    return steps.groupBy("operation_id", "step_id").agg(last).select("operation_id", "step_id", "_s.before", "_s.after")
+
+
 def step_durations(steps: DataFrame, start: str, end: str) -> DataFrame:
     return steps.withColumn("duration_seconds", seconds_between(start, end))
 

@@ -90,6 +90,31 @@ def rollback_step_errors(spark, sf):
     return oplog.rollback_outcome(steps, ["step_id", "part_id", "finished_at", "after"])
 
 
+@query("rollback_error_parts", "A25", """
+WITH failed AS (
+  SELECT l_orderkey AS operation_id, 'Step ' || l_linenumber || ' failed: part ' || l_suppkey AS said,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_shipdate, l_extendedprice) - 1 AS place
+  FROM lineitem WHERE l_returnflag = 'R'),
+parts AS (SELECT operation_id, place // 2 AS part, string_agg(said, chr(10) ORDER BY place) AS error FROM failed GROUP BY ALL),
+states AS (SELECT l_orderkey AS operation_id, CASE WHEN bool_and(l_returnflag <> 'R') THEN 'completed' ELSE 'failed' END AS status,
+  count(*) FILTER (l_returnflag = 'R') AS failures FROM lineitem GROUP BY 1)
+SELECT operation_id, status, failures, part, error FROM states LEFT JOIN parts USING (operation_id)
+""")
+def rollback_error_parts(spark, sf):
+    """Texts of long operations as rows, two lines each here, beside one status row."""
+    steps = inputs.operation_steps(spark, sf).withColumn("error", F.concat(F.lit("part "), F.col("part_id").cast("string")))
+    parts = oplog.rollback_error_parts(steps, ["step_id", "part_id", "finished_at", "after"], size=2)
+    return oplog.rollback_status(steps).join(parts, "operation_id", "left")
+
+
+@query("rollback_state_rows", "A30", """
+SELECT l_orderkey AS operation_id, l_linenumber AS step_id, max_by(l_quantity, (l_shipdate, l_suppkey, l_extendedprice, l_quantity)) AS before,
+  max_by(l_extendedprice, (l_shipdate, l_suppkey, l_extendedprice, l_quantity)) AS after FROM lineitem GROUP BY 1, 2
+""")
+def rollback_state_rows(spark, sf):
+    return oplog.state_snapshot_rows(inputs.operation_steps(spark, sf), ["finished_at", "part_id", "after", "before"])
+
+
 @query("rollback_state_snapshots", "A30", f"""
 WITH last AS (
   SELECT l_orderkey AS operation_id, l_linenumber AS step_id, max_by(l_quantity, (l_shipdate, l_suppkey, l_extendedprice, l_quantity)) AS b,
