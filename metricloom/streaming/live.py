@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping
@@ -96,6 +97,31 @@ def run_to_table(
     return reader.parquet(sink), progress
 
 
+def collect_for(
+    stream: DataFrame, sink: str, checkpoint: str, cycles: int, every_seconds: int = COLLECTION_SECONDS, patience_seconds: float = 120
+) -> list[dict[str, Any]]:
+    """Run collection cycles on a cadence until ``cycles`` of them have taken rows in.
+
+    Returns the progress reports of these cycles.  A later call with the same
+    ``checkpoint`` goes on with the files that no earlier cycle took.  A cycle that
+    fails ends the call with its error; so does a feed that stays empty for
+    ``patience_seconds``, after which the cycles so far are returned.
+    """
+    query = start(stream, sink, checkpoint, every_seconds=every_seconds)
+    taken: dict[int, dict[str, Any]] = {}
+    last = time.monotonic()
+    try:
+        while len(taken) < cycles and time.monotonic() - last < patience_seconds:
+            if query.awaitTermination(min(1.0, every_seconds / 4)):  # raises what stopped it
+                break
+            found = {p["batchId"]: dict(p) for p in query.recentProgress if p["numInputRows"] > 0}
+            if found.keys() - taken.keys():
+                taken, last = taken | found, time.monotonic()
+    finally:
+        query.stop()
+    return [taken[b] for b in sorted(taken)]
+
+
 def dropped_rows(progress: list[dict[str, Any]]) -> int:
     """Rows the state operators dropped as too late (counted after partial aggregation)."""
     return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
