@@ -19,12 +19,21 @@ DAY = 86_400
 CHUNK = "_chunk"
 #: Rows of a key that an ordered chunk holds, about; samples that place a cut.
 CHUNK_ROWS, SAMPLES = 1_000_000, 32
+#: Groups of a count by hash.
+HASH_GROUPS = 1 << 16
 
 
 def chunk_of(ts: Column | str, chunk_seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(chunk_seconds * MICROS)).cast("bigint")
 
 
+def largest_group(df: DataFrame, by: list[Column | str]) -> int:
+    """No group of equal ``by`` has more rows than this: the largest count by hash."""
+    group = F.pmod(F.xxhash64(*by), F.lit(HASH_GROUPS)).alias("_group")
+    counts = df.select(group).groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+
+
 def ordered_chunks(
     df: DataFrame, keys: list[str], ts: str, tie_break: list[str], chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -32,15 +41,20 @@ def ordered_chunks(
 
     The spans of a key with more than ``rows`` rows, at most one for each ``rows``
     rows of the table, are counted first; without any, the span alone is the chunk.
+    Spans are counted by hash before, in so few groups that nothing but their counts is
+    shuffled; only if one of them is large are they counted one by one.
     Cuts lie at every ``SAMPLES``-th of the rows that a hash of their order picks, one
     in ``rows / SAMPLES``: a hot span has as many cuts as it has chunks.  Rows that
     agree in ``ts`` and ``tie_break`` have no order and share a chunk.
     """
     span, order = chunk_of(ts, chunk_seconds), F.struct(ts, *tie_break)
+    whole = df.withColumn(CHUNK, F.struct(span.alias("span"), F.lit(0).alias("part")))
+    if largest_group(df, [*keys, span]) <= rows:
+        return whole
     sizes = df.groupBy(*keys, span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
     heavy = cut_lineage(sizes.filter(F.col("_n") > rows).drop("_n"))
     if heavy.isEmpty():
-        return df.withColumn(CHUNK, F.struct(span.alias("span"), F.lit(0).alias("part")))
+        return whole
     picked = F.pmod(F.xxhash64(*keys, ts, *tie_break), F.lit(max(1, rows // SAMPLES))) == 0
     spans = df.withColumn("_span", span)
     samples = spans.filter(picked).join(heavy, [*keys, "_span"]).groupBy(*keys, "_span").agg(F.sort_array(F.collect_set(order)).alias("_cuts"))

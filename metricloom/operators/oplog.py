@@ -13,6 +13,7 @@ from metricloom.functions.scalars import MICROS, floor_time, micros, seconds_bet
 from metricloom.operators.chunks import (
     CHUNK, CHUNK_ROWS, DAY, in_order, ordered_chunks, positions, prefix_by_chunk, previous_values, running_total,
 )
+from metricloom.session import cut_lineage
 
 BUCKET = 3600
 # Timeouts and the number of cluster nodes.
@@ -251,7 +252,7 @@ def tally(votes: DataFrame, order: Sequence[str], nodes: int = NODES) -> DataFra
     before = previous_values(votes, ["proposal_id", "voter"], ts, ties, {"_had": "vote"})
     change = F.col("vote").cast("bigint") - F.coalesce(F.col("_had").cast("bigint"), F.lit(0))
     # a repeated vote moves no count
-    moves = before.filter(F.col("_had").isNull() | (change != 0))
+    moves = cut_lineage(before.filter(F.col("_had").isNull() | (change != 0)))  # read twice: counted, then ordered
     running = running_total(moves, ["proposal_id"], ts, ties, {"total": F.col("_had").isNull().cast("bigint"), "yes": change})
     enough = F.col("total") >= quorum
     state = F.when(enough & (F.col("yes") >= quorum), "accepted").when(enough & (F.col("total") - F.col("yes") > nodes - quorum), "rejected")

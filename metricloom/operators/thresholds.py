@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.scalars import MICROS, clamp, from_micros, micros, violates
-from metricloom.operators.chunks import CHUNK, chunk_of, running_total, with_halo
+from metricloom.operators.chunks import CHUNK, chunk_of, largest_group, running_total, with_halo
 from metricloom.operators.sliding import sliding_quantile
 from metricloom.session import cut_lineage
 
@@ -79,7 +79,10 @@ def trailing_percentile(
     keys with more in any chunk are answered by bounded panes, with the same result.
     """
     chunk_seconds = chunk_seconds or max(window_seconds, 3600)
-    sizes = points.groupBy(*keys, chunk_of(ts, chunk_seconds).alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
+    span = chunk_of(ts, chunk_seconds)
+    if largest_group(points, [*keys, span]) <= task_rows // 2:
+        return _percentile_by_chunk(points, keys, percentile, ts, value, window_seconds, chunk_seconds, name)
+    sizes = points.groupBy(*keys, span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
     heavy = cut_lineage(sizes.filter(F.col("_n") > task_rows // 2).select(*keys).distinct())
     if heavy.isEmpty():
         return _percentile_by_chunk(points, keys, percentile, ts, value, window_seconds, chunk_seconds, name)
