@@ -37,7 +37,8 @@ def largest_group(df: DataFrame, by: list[Column | str]) -> int:
 def ordered_chunks(
     df: DataFrame, keys: list[str], ts: str, tie_break: list[str], chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """``df`` with its chunk, a struct (span, part) that sorts like (ts, tie_break).
+    """``df`` with its chunk, which sorts like (ts, tie_break): the number of the span, or
+    a struct (span, part) if some spans are cut.
 
     The spans of a key with more than ``rows`` rows, at most one for each ``rows``
     rows of the table, are counted first; without any, the span alone is the chunk.
@@ -48,7 +49,7 @@ def ordered_chunks(
     agree in ``ts`` and ``tie_break`` have no order and share a chunk.
     """
     span, order = chunk_of(ts, chunk_seconds), F.struct(ts, *tie_break)
-    whole = df.withColumn(CHUNK, F.struct(span.alias("span"), F.lit(0).alias("part")))
+    whole = df.withColumn(CHUNK, span)
     if largest_group(df, [*keys, span]) <= rows:
         return whole
     sizes = df.groupBy(*keys, span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))

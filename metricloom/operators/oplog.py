@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.functions.scalars import MICROS, floor_time, micros, seconds_between
 from metricloom.operators.chunks import (
@@ -313,7 +314,9 @@ def apply_cooldown(
     tie = F.struct(F.lit(0), *tie_break)
     first = F.min(tie).alias("_first")
     instants = ordered_chunks(marked.groupBy(*keys, ts).agg(first), keys, ts, [], chunk_seconds, rows)
-    instants = instants.select(*keys, F.col(f"{CHUNK}.span").alias("_span"), F.col(f"{CHUNK}.part").alias("_part"), ts, "_first", micros(ts).alias("_t"))
+    cut = isinstance(instants.schema[CHUNK].dataType, T.StructType)
+    span, part = (F.col(f"{CHUNK}.span"), F.col(f"{CHUNK}.part")) if cut else (F.col(CHUNK), F.lit(0))
+    instants = instants.select(*keys, span.alias("_span"), part.alias("_part"), ts, "_first", micros(ts).alias("_t"))
     chunk = [*keys, "_span", "_part"]
     kinds = {f.name: f.dataType.simpleString() for f in instants.schema}
     named = ", ".join(f"`{c}` {kinds[c]}" for c in chunk)
