@@ -10,10 +10,13 @@ shingle grows with the logarithm of its weight.  A process ends once its time
 passes the latest register.
 
 Registers are banded; texts that share a band meet the most central text of the
-bucket first, and the exact multiset overlap of each such pair decides.  Buckets whose
-members still belong to several classes are then compared member by member on
-their registers in bounded blocks, and what looks similar is verified exactly in
-the same task, so that no candidate pairs are emitted.
+bucket first, and the exact multiset overlap of each such pair decides.  Of two
+similar texts in different classes each must hold one of the other's rarest
+shingles (a fifth of its weight, see ``open_nodes``); texts that hold none of
+another class, such as those that only share a passage, are settled there.  The
+rest is compared member by member in the buckets that still hold several classes:
+on registers in bounded blocks, and what looks similar is verified exactly in the
+same task, so that no candidate pairs are emitted.
 
 Defined cases: exact copies are one node before any banding, so a group of
 copies costs one text; a null text is empty; texts without words equal only each
@@ -42,6 +45,7 @@ from metricloom.session import cut_lineage
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 42, 6
 U = np.uint64
+SLOTS = 1 << 18  # of the count that orders shingles by rarity: 2 MB
 MAX_SLICE = 4096  # rows of a slice: the place of a row takes 12 bits beside a 52-bit shingle
 
 
@@ -219,8 +223,55 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(check, "u long, v long")
 
 
+def open_nodes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node) of the ``texts`` (node, root, text) that may be similar to one of another root.
+
+    All shingles have one order, rare ones first.  A text's prefix holds its first
+    shingles up to the one with which their weight exceeds a share of 1 - ``similarity``.
+    Two texts with a weighted Jaccard similarity of ``similarity`` share more than the
+    weight behind either prefix, so their prefixes meet; a text whose prefix meets none
+    of another root is similar to none.  Any order is right: rarity is counted in
+    ``SLOTS`` slots of a hash, a table of fixed size.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, all_texts in text_slices(batch, size=2 << 20):
+                for at in range(0, len(all_texts), MAX_SLICE):
+                    _, shingle, _ = shingles(all_texts.slice(at, MAX_SLICE), words)
+                    total += np.bincount((shingle % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    slots = texts.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SLOTS, np.int64)
+    table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
+    table = texts.sparkSession.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for whole, all_texts in text_slices(batch, size=2 << 20):
+                for at in range(0, len(whole), MAX_SLICE):
+                    part = whole.slice(at, MAX_SLICE)
+                    row, shingle, weight = shingles(all_texts.slice(at, MAX_SLICE), words)
+                    order = np.lexsort((shingle, table.value[(shingle % U(SLOTS)).astype(np.int64)], row))
+                    row, shingle, weight = row[order], shingle[order], weight[order]
+                    total = np.bincount(row, weight, len(part))
+                    before = np.cumsum(weight) - weight - (np.cumsum(total) - total)[row]
+                    early = before <= (1 - similarity) * total[row] + 1e-6
+                    which = pa.array(row[early])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shingle[early].astype(np.int64)), part.column("node").take(which), part.column("root").take(which)], ["shingle", "node", "root"]
+                    )
+
+    keyed = cut_lineage(texts.select("node", "root", "text").mapInArrow(prefixes, "shingle long, node long, root long"))
+    mixed = keyed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
+    return keyed.select("shingle", "node").join(mixed, "shingle", "left_semi").select("node").distinct()
+
+
 def _links_across(members: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
-    """Edges (u, v) between members of a bucket that belong to different classes.
+    """Edges (u, v) between the roots of similar members of a bucket.
 
     ``members`` (bucket, node, root, registers, text) is dealt into blocks of
     about ``block`` members; each pair of blocks of a bucket is one group of rows,
@@ -237,20 +288,22 @@ def _links_across(members: DataFrame, words: int, similarity: float, block: int)
 
     def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), -1)
-        node, root, own = (g[c].to_numpy() for c in ("node", "root", "own"))
+        root, own = (g[c].to_numpy() for c in ("root", "own"))
         m = sig.shape[1]
         least = (similarity - 5 * np.sqrt(similarity * (1 - similarity) / m)) * m
         one_block = g["lo"].iat[0] == g["hi"].iat[0]
-        found = []
+        left, right = [], []
         for i in range(len(g)):
             js = np.arange(i + 1, len(g))
             js = js[(root[js] != root[i]) & (one_block | (own[js] != own[i]))]
             for at in range(0, len(js), 4096):
                 j = js[at : at + 4096]
-                found += [(i, x) for x in j[(sig[j] == sig[i]).sum(1) >= least]]
-        i, j = np.array(found, np.int64).reshape(-1, 2).T
+                j = j[(sig[j] == sig[i]).sum(1) >= least]
+                left.append(np.full(len(j), i))
+                right.append(j)
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
         good = paired_overlaps(pa.array(g["text"].to_list(), pa.large_string()), i, j, words) >= similarity
-        return pd.DataFrame({"u": node[i[good]], "v": node[j[good]]})
+        return pd.DataFrame({"u": root[i[good]], "v": root[j[good]]}).drop_duplicates()
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -289,31 +342,41 @@ def near_duplicates(
     met = cut_lineage(members.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")))
     check = partial(verified, docs=docs, words=words, similarity=similarity)
 
-    # the leader that a text meets most often settles most classes; others are checked only across classes
+    # the leader that a text meets most often settles most classes; others are checked only across those seen so far
     first = cut_lineage(met.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b")))
     links = cut_lineage(check(first))
-    roots = connected_components(links)
 
-    def root_of(df: DataFrame, column: str, name: str) -> DataFrame:
+    def root_of(df: DataFrame, column: str, name: str, roots: DataFrame) -> DataFrame:
         joined = df.join(roots.withColumnsRenamed({"node": column, "root": name}), column, "left")
         return joined.withColumn(name, F.coalesce(name, column))
 
-    across = root_of(root_of(met.join(first, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb")
+    hop = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    hops = cut_lineage(root_of(hop.withColumnRenamed("root", "next"), "next", "then", hop).select("node", F.least("next", "then").alias("root")))
+    across = met.join(first, ["a", "b"], "left_anti")
+    across = root_of(root_of(across, "a", "ra", hops), "b", "rb", hops).filter("ra <> rb")
     links = cut_lineage(links.unionByName(check(cut_lineage(across.select("a", "b")))))
     roots = connected_components(links)
 
-    rooted = cut_lineage(root_of(members.filter("n > 2").select("bucket", F.col("a").alias("node")), "node", "root"))
+    rooted = cut_lineage(root_of(members.filter("n > 2").select("bucket", F.col("a").alias("node")), "node", "root", roots))
+    wanted = cut_lineage(rooted.select("node", "root").distinct())
+    texts = cut_lineage(node_texts(docs, wanted.select("node")).join(wanted, "node"))
+    still = cut_lineage(open_nodes(texts, words, similarity))
+    rooted = cut_lineage(rooted.join(still, "node", "left_semi"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_members = rooted.join(cut_lineage(mixed), "bucket", "left_semi").join(nodes.select("node", "registers"), "node")
-    texts = node_texts(docs, cut_lineage(open_members.select("node").distinct()))
-    more = cut_lineage(_links_across(open_members.join(texts, "node"), words, similarity, block))
+    open_members = cut_lineage(rooted.join(cut_lineage(mixed), "bucket", "left_semi"))
+    whole = nodes.select("node", "registers").join(texts.drop("root"), "node")
+    more = cut_lineage(_links_across(open_members.join(whole, "node"), words, similarity, block))
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
+        # classes that were found similar become one: components of roots
+        upper = cut_lineage(connected_components(more))
+        alone = upper.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")
+        joined = roots.unionByName(alone).withColumnRenamed("root", "under")
+        roots = cut_lineage(root_of(joined, "under", "root", upper).select("node", "root"))
 
     # ids come in last: the smallest of a class names it
     named = roots.join(groups.select(F.col("k1").alias("node"), "id"), "node")
     named = cut_lineage(named.groupBy(F.col("root").alias("class_key")).agg(F.min("id").alias("least")))
-    classes = root_of(groups.drop("place"), "k1", "class_key").join(small_or_merge(named, named.count(), 16, 8 << 20), "class_key", "left")
+    classes = root_of(groups.drop("place"), "k1", "class_key", roots).join(small_or_merge(named, named.count(), 16, 8 << 20), "class_key", "left")
     classes = cut_lineage(classes.select("k1", "k2", "class_key", F.coalesce("least", "id").alias("class_id")))
     rows_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2"))
     return rows_of.join(classes, ["k1", "k2"])

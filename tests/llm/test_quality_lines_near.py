@@ -182,6 +182,25 @@ def test_near_duplicates_equal_brute_force(spark, planted):
         assert got == brute_classes(planted)
 
 
+def test_open_nodes_hold_every_similar_pair(spark):
+    """Texts that share a passage alone are settled; no text similar to one of another root is."""
+    rng = np.random.default_rng(8)
+    new = lambda n: [f"p{i}" for i in rng.integers(0, 10**6, n)]
+    passage, texts = new(60), []
+    for _ in range(150):
+        texts.append([*passage, *new(rng.integers(40, 80))])
+    for share in np.linspace(0.7, 1, 60):  # pairs on both sides of the threshold, the common passage in each
+        own = new(120)
+        cut = int(120 * share)
+        texts += [[*passage, *own], [*passage, *own[:cut], *new(120 - cut)]]
+    texts += [["la"] * n for n in (40, 44, 60, 90)]
+    rows = [(i, i, " ".join(t)) for i, t in enumerate(texts)]
+    still = {r.node for r in bm.open_nodes(spark.createDataFrame(rows, "node long, root long, text string"), 5, 0.8).collect()}
+    bags = [bag(t) for _, _, t in rows]
+    similar = {k for i in range(len(rows)) for j in range(i) if jaccard(bags[i], bags[j]) >= 0.8 for k in (i, j)}
+    assert similar and similar <= still and not still & set(range(150))
+
+
 def test_keep_one_and_edge_cases(spark, planted):
     rows = [(i, t, "l", None, 1) for i, t in planted] + [(503, "two words", "l", None, 1)] * 2 + [(None, "no id here", None, None, None)] * 2
     kept = bm.keep_one(spark.createDataFrame(rows, DOCS)).collect()
