@@ -183,11 +183,8 @@ WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.
 """)
 def embedding_pairs_above_threshold(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("all", F.lit(1))
-    out = similarity.similar_pairs(
-        e.select("all", F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector")),
-        e.select("all", F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector")), ["all"], 0.3,
-    )
-    return out.filter("left_id < right_id").select("left_id", "right_id", round6("similarity").alias("similarity"))
+    out = similarity.similar_within(e.select("all", "vec_id", F.col("embedding").alias("vector")), ["all"], 0.3, "vec_id")
+    return out.select("left_id", "right_id", round6("similarity").alias("similarity"))
 
 
 MERGED = f"""
