@@ -194,64 +194,142 @@ def anomalies(grid: DataFrame, step_seconds: int, threshold: float = ANOMALY_THR
     ))
 
 
-def _pair_sums(width: int):
-    """Task-local sums of products of every pair of columns, null pairs left out."""
+#: Columns of a block, and rows multiplied at once.
+BLOCK, STRIP = 256, 512
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+_PARTS = "bi int, bj int, i int, shift_a double, shift_b array<double>, " + ", ".join(f"{c} array<double>" for c in _SUMS)
+
+
+def _reshifted(sums: np.ndarray, da: np.ndarray, db: np.ndarray) -> np.ndarray:
+    """The six sums of (a, b) once ``da`` is added to every a and ``db`` to every b."""
+    n, sa, sb, saa, sbb, sab = sums
+    return np.stack([n, sa + n * da, sb + n * db, saa + da * (2 * sa + n * da), sbb + db * (2 * sb + n * db), sab + da * sb + db * (sa + n * da)])
+
+
+def _block_sums(width: int, block: int):
+    """Sums of products of two blocks of columns, null pairs left out: one row per
+    column of the first block whenever the pair of blocks changes."""
+    def side(at: pd.Series, values: pd.Series, first: int, wide: int) -> np.ndarray:
+        x = np.full((len(at), wide), np.nan)
+        for row, (where, what) in enumerate(zip(at, values)):
+            x[row, np.asarray(where, int) - first] = what
+        return x
+
+    def shifted(x: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = ~np.isnan(x)
+        new = np.isnan(shift) & known.any(axis=0)
+        shift[new] = np.nanmean(x[:, new], axis=0) if new.any() else 0.0
+        return np.where(known, x - np.where(np.isnan(shift), 0.0, shift), 0.0), known.astype(float)
+
+    def rows(key: tuple[int, int], sums: np.ndarray, shift_a: np.ndarray, shift_b: np.ndarray) -> pd.DataFrame:
+        met = np.flatnonzero(sums[0].any(axis=1))
+        shift_a, shift_b = np.nan_to_num(shift_a), np.nan_to_num(shift_b)
+        return pd.DataFrame({
+            "bi": key[0], "bj": key[1], "i": key[0] * block + met, "shift_a": shift_a[met], "shift_b": [shift_b] * len(met),
+        } | {c: list(sums[k][met]) for k, c in enumerate(_SUMS)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+        for df in frames:
+            for pair, of_pair in df.groupby(["bi", "bj"]):
+                if pair != key:
+                    if key is not None:
+                        yield rows(key, sums, shift_a, shift_b)
+                    key = pair
+                    wide = [min(block, width - k * block) for k in key]
+                    sums, shift_a, shift_b = np.zeros((6, *wide)), np.full(wide[0], np.nan), np.full(wide[1], np.nan)
+                for start in range(0, len(of_pair), STRIP):
+                    strip = of_pair.iloc[start : start + STRIP]
+                    a, ka = shifted(side(strip["a_at"], strip["a_x"], key[0] * block, wide[0]), shift_a)
+                    b, kb = shifted(side(strip["b_at"], strip["b_x"], key[1] * block, wide[1]), shift_b)
+                    sums += np.stack([ka.T @ kb, a.T @ kb, ka.T @ b, (a * a).T @ kb, ka.T @ (b * b), a.T @ b])
+        if key is not None:
+            yield rows(key, sums, shift_a, shift_b)
+    return run
+
+
+def _merged(names: list[str], block: int, threshold: float | None):
+    """Adds up the sums of one column against one block, rows sorted by them, and
+    yields the correlations of its pairs, with a threshold only those above it."""
+    def pairs(key: tuple[int, int], shift_a: float, shift_b: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+        i, bj = key
+        j = bj * block + np.arange(sums.shape[1])
+        ok = (j > i) & (sums[0] > 0)
+        j, (n, sa, sb, saa, sbb, sab) = j[ok], sums[:, ok]
+        va, vb = saa - sa * sa / n, sbb - sb * sb / n
+        # what rounding leaves of a constant counts as none
+        varies = (va > (shift_a * 1e-12) ** 2 * n) & (vb > (shift_b[ok] * 1e-12) ** 2 * n)
+        r = np.full(len(j), np.nan)
+        r[varies] = (sab - sa * sb / n)[varies] / np.sqrt(va[varies] * vb[varies])
+        keep = varies if threshold is None else varies & (np.abs(np.nan_to_num(r)) > threshold)
+        both = {"metric_a": [names[i]] * int(keep.sum()), "metric_b": [names[k] for k in j[keep]]}
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in both.items()} | {"r": r[keep]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((4, width, width))
+        key = None
         for df in frames:
-            for start in range(0, len(df), 512):
-                x = np.zeros((min(512, len(df) - start), width))
-                known = np.zeros_like(x)
-                for row, (at, values) in enumerate(zip(df["at"].iloc[start : start + 512], df["values"].iloc[start : start + 512])):
-                    x[row, at], known[row, at] = values, 1.0
-                square = x * x
-                # by (a, b): rows, sum of a, sum of a squared, and the same of b by transposition
-                total += np.stack([known.T @ known, x.T @ known, square.T @ known, x.T @ x])
-        i, j = np.triu_indices(width, 1)
-        n, sa, saa, sab = (total[k][i, j] for k in range(4))
-        sb, sbb = total[1][j, i], total[2][j, i]
-        some = n > 0
-        yield pd.DataFrame({"i": i, "j": j, "n": n, "sa": sa, "sb": sb, "saa": saa, "sbb": sbb, "sab": sab})[some]
+            for row in df.itertuples(index=False):
+                shift_b, own = np.asarray(row.shift_b, float), np.stack([np.asarray(getattr(row, c), float) for c in _SUMS])
+                if key == (row.i, row.bj):
+                    sums += _reshifted(own, row.shift_a - at_a, shift_b - at_b)
+                    continue
+                if key is not None:
+                    yield pairs(key, at_a, at_b, sums)
+                key, at_a, at_b, sums = (row.i, row.bj), row.shift_a, shift_b, own
+        if key is not None:
+            yield pairs(key, at_a, at_b, sums)
     return run
 
 
-def pair_correlations(grid: DataFrame, names: list[str]) -> DataFrame:
+def block_pair_rows(times: DataFrame, blocks: int, block: int) -> DataFrame:
+    """(bi, bj, a, b): the values of each time, once for every two blocks of
+    columns.  Pairs of blocks are dealt over tasks, each pair in several slices."""
+    if blocks == 1:
+        return times.select(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.col("p").alias("a"), F.col("p").alias("b"))
+    of = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(
+        k.alias("k"), F.filter("p", lambda x: F.floor(x["at"] / block) == k).alias("p")))
+    cut = times.select("h", F.filter(of, lambda x: F.size(x["p"]) > 0).alias("of"))
+    first = cut.select("h", "of", F.explode("of").alias("s"))
+    both = first.select("h", "s", F.explode(F.filter("of", lambda x: x["k"] >= F.col("s.k"))).alias("t"))
+    rows = both.select(F.col("s.k").alias("bi"), F.col("t.k").alias("bj"), F.col("s.p").alias("a"), F.col("t.p").alias("b"), "h")
+    tasks = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-2 * tasks // (blocks * (blocks + 1))))
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(slices))).repartition("bi", "bj", "slice")
+    return dealt.sortWithinPartitions("bi", "bj").select("bi", "bj", "a", "b")
+
+
+def pair_correlations(grid: DataFrame, names: list[str], threshold: float | None = None, block: int = BLOCK) -> DataFrame:
     """Pearson correlation of every metric pair, over rows where both are known.
 
-    Values of one time are gathered into a row (as many as configured metrics),
-    centred by their metric's mean; each task sums products of all columns as
-    matrices, and one row per pair and task is added up.  The plan does not grow
-    with the number of metrics.  A constant series has no correlation (null).
+    Values of one time are gathered into a row (as many as configured metrics).
+    Columns are cut into blocks; a task multiplies two blocks at a time, shifted by
+    a mean of their own, and hands on one row per column and block, so it never
+    holds a matrix of all metrics.  Those rows are added up by column, and with a
+    ``threshold`` only pairs above it leave that step.  The plan does not grow with
+    the number of metrics.  A constant series has no correlation (null), nor have
+    metrics that are never known together; both are above no threshold.
     """
     names = sorted(names)
     spark = grid.sparkSession
-    index = spark.createDataFrame(list(enumerate(names)), "i int, name string")
-    rows = grid.filter(F.col("name").isin(names)).select("name", "h", F.col("filled").cast("double").alias("v"))
+    index = spark.createDataFrame(list(enumerate(names)), "at int, name string")
+    rows = grid.filter(F.col("name").isin(names)).select("name", "h", F.col("filled").cast("double").alias("x"))
     span = rows.agg(F.min("h").alias("start_ts"), F.max("h").alias("end_ts"))
-    means = rows.groupBy("name").agg(F.avg("v").alias("mean"))
-    scale = index.join(means, "name", "left")
-    centred = rows.filter(F.col("v").isNotNull()).join(scale, "name").select("h", "i", (F.col("v") - F.col("mean")).alias("x"))
-    times = centred.groupBy("h").agg(F.collect_list(F.struct("i", "x")).alias("p")).select(F.col("p.i").alias("at"), F.col("p.x").alias("values"))
-    kinds = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
-    parts = times.mapInPandas(_pair_sums(len(names)), kinds)
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-
-    def variance(total: str, mean: str, squares: str) -> Column:
-        raw = F.col(squares) - F.col(total) * F.col(total) / F.col("n")
-        # what rounding leaves of a constant counts as none
-        return F.when(raw > F.pow(F.col(mean) * 1e-12, F.lit(2)) * F.col("n"), raw)
-
-    first = scale.select("i", F.col("name").alias("metric_a"), F.col("mean").alias("mean_a"), F.explode(F.sequence(F.col("i") + 1, F.lit(len(names)))).alias("j"))
-    pairs = first.filter(F.col("j") < len(names)).join(scale.select(F.col("i").alias("j"), F.col("name").alias("metric_b"), F.col("mean").alias("mean_b")), "j")
-    together = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    r = F.try_divide(together, F.sqrt(variance("sa", "mean_a", "saa") * variance("sb", "mean_b", "sbb")))
+    known = rows.filter(F.col("x").isNotNull()).join(index, "name")
+    times = known.groupBy("h").agg(F.collect_list(F.struct("at", "x")).alias("p"))
+    lists = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("at", "x")]
+    parts = block_pair_rows(times, -(-len(names) // block), block).select("bi", "bj", *lists).mapInPandas(_block_sums(len(names), block), _PARTS)
+    found = parts.repartition("i", "bj").sortWithinPartitions("i", "bj").mapInPandas(_merged(names, block, threshold), "metric_a string, metric_b string, r double")
+    if threshold is None:
+        first = index.select(F.col("name").alias("metric_a"), F.explode(F.sequence(F.col("at") + 1, F.lit(len(names)))).alias("at"))
+        pairs = first.join(index, "at").select("metric_a", F.col("name").alias("metric_b"))
+        found = pairs.join(found, ["metric_a", "metric_b"], "left")
     ends = span.select(F.struct("start_ts", "end_ts")).scalar()
-    return pairs.join(sums, ["i", "j"], "left").select(ends["start_ts"].alias("start_ts"), ends["end_ts"].alias("end_ts"), "metric_a", "metric_b", r.alias("r"))
+    return found.select(ends["start_ts"].alias("start_ts"), ends["end_ts"].alias("end_ts"), "metric_a", "metric_b", "r")
 
 
 def correlations(grid: DataFrame, names: list[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
     a, b, r = F.col("metric_a"), F.col("metric_b"), F.abs("r")
-    return pair_correlations(grid, names).filter(r > threshold).select(*_pattern(
+    return pair_correlations(grid, names, threshold).select(*_pattern(
         "correlation", r, F.array(a, b),
         F.concat(F.lit("Strong correlation between "), a, F.lit(" and "), b), r, correlation_suggestion(a, b),
     ))

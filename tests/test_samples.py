@@ -291,3 +291,27 @@ def test_pair_correlation_of_many_metrics(spark):
     for a, b in [(0, 5), (17, 200), (298, 299)]:
         both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
         assert math.isclose(got[f"m{a:03d}", f"m{b:03d}"], np.corrcoef(x[both, a], x[both, b])[0, 1], abs_tol=1e-9)
+
+
+def test_pair_correlation_by_blocks(spark):
+    """Blocks of any width give the same pairs; a threshold keeps exactly those above it."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 11)) * 3 + 1e6
+    x[:, 1], x[:, 2], x[:, 10] = -x[:, 0], 7.1, np.nan
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:30, 4], x[30:, 5] = np.nan, np.nan  # never known together
+    rows = [(f"m{j:03d}", T0 + timedelta(hours=i), None if np.isnan(v) else float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+    grid = spark.createDataFrame(rows, "name string, h timestamp_ntz, filled double").repartition(4)
+    names = [f"m{j:03d}" for j in range(11)]
+    for block in (256, 4, 1):
+        got = {(r.metric_a, r.metric_b): r.r for r in detect.pair_correlations(grid, names, block=block).collect()}
+        assert len(got) == 55
+        for i in range(11):
+            for j in range(i + 1, 11):
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                if {i, j} & {2, 10} or (i, j) == (4, 5):
+                    assert got[names[i], names[j]] is None
+                else:
+                    assert math.isclose(got[names[i], names[j]], np.corrcoef(x[both, i], x[both, j])[0, 1], abs_tol=1e-8)
+        high = {(r.metric_a, r.metric_b) for r in detect.pair_correlations(grid, names, threshold=0.25, block=block).collect()}
+        assert high == {k for k, r in got.items() if r is not None and abs(r) > 0.25} and (names[0], names[1]) in high
