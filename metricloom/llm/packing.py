@@ -3,11 +3,12 @@
 Only the number of pieces of each length matters, and lengths are bounded by the
 capacity, so the search runs over a histogram of at most ``capacity`` entries
 whatever the corpus holds.  Bin completion: the largest remaining length is
-completed by an undominated filling of the space beside it, for as many
-sequences as the counts allow; fillings are tried by waste, and a branch ends
-when its waste leaves no room for fewer sequences than the incumbent, which is
-best-fit decreasing at the start.  The pieces then find their places by their
-rank within their length, computed in parallel over chunks of each length.
+completed by an undominated filling of the space beside it; all of them are
+enumerated, one at a time and by waste, in passes that allow more and more
+departures from the first choice.  A branch ends when its waste leaves no room for
+fewer sequences than the incumbent, which is best-fit decreasing at the start.  The
+pieces then find their places by their rank within their length, computed in
+parallel over chunks of each length.
 
 Defined cases: a null or empty text is one piece of the end id alone; a document
 longer than the capacity is cut into full pieces and a last shorter one; null or
@@ -18,7 +19,7 @@ Columns besides ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,95 +103,160 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [(tuple(p), n) for groups in bins.values() for p, n in groups]
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, larger pieces first.
-
-    A filling is dominated if another puts a larger piece in the place of one or
-    more of its pieces.  So the last piece is always the largest that fits, and
-    more pieces count only if they fill more than fewer do.
-    """
+def _bits(lengths: Iterable[int]) -> int:
+    out = 0
+    for x in lengths:
+        out |= 1 << int(x)
+    return out
+
+
+def _smeared(sums: int, places: int) -> int:
+    """Each sum and the ``places`` above it."""
+    done = 0
+    while done < places:
+        by = min(done + 1, places - done)
+        sums |= sums << by
+        done += by
+    return sums
+
+
+def dominated(items: tuple[int, ...], left: int, waste: int) -> bool:
+    """Whether one piece that is left over (bits of ``left``) fits in the place of
+    no, one or several pieces of a filling and wastes no more: larger than one
+    piece, or as large as several together."""
+    one, several = 0, 0  # sums of one piece, of at least two
+    for x in items:
+        several |= (several | one) << x
+        one |= 1 << x
+    reach = _smeared(several, waste) | (_smeared(one << 1, waste - 1) if waste else 0)
+    return bool(left & (reach | (1 << waste + 1) - 2))
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int, spend: Callable[[], None], sums: dict[bytes, np.ndarray]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that waste at most ``most_waste``, one
+    at a time: least waste first, larger pieces first.  ``spend`` is called for
+    every step and may end the search; ``sums`` remembers which totals a set of
+    lengths can reach."""
     have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
     if not len(have):
-        return [()]
-    fit = np.full(room + 1, 0)  # largest available length up to each room
-    fit[have] = have
-    fit = np.maximum.accumulate(fit)
-    found: list[tuple[int, ...]] = [(int(have[-1]),)]
-    best = int(have[-1])
-
-    def enough(items: tuple[int, ...]) -> bool:
-        return all(items.count(x) <= counts[x] for x in set(items))
-
-    def two(space: int, most: int) -> list[tuple[int, int]]:
-        first = have[(have <= most) & (have < space)][::-1]
-        second = np.minimum(fit[space - first], first)
-        second = np.where(counts[second] > 0, second, 0)
-        ok = (second > 0) & ((second != first) | (counts[first] > 1))
-        first, second = first[ok], second[ok]
-        order = np.argsort(-(first + second), kind="stable")[:width]
-        return [(int(a), int(b)) for a, b in zip(first[order], second[order])]
-
-    if best < room:
-        pairs = two(room, room)
-        found += [p for p in pairs if sum(p) > best]
-        best = max([best, *map(sum, found)])
-        if best < room:
-            for a in have[::-1][:64]:
-                if a < room:
-                    threes = [(int(a), *p) for p in two(room - int(a), int(a))[:2]]
-                    found += [t for t in threes if sum(t) > best and enough(t)]
-                    best = max([best, *map(sum, found)])
-                    if best == room:
-                        break
-    full = []
-    for items in found:
-        rest = counts.copy()
-        for x in items:
-            rest[x] -= 1
-        space, more = room - sum(items), list(items)
-        while space > 0 and (smaller := np.flatnonzero(rest[: space + 1])).size and smaller[-1] > 0:
-            x = int(smaller[-1])
-            more.append(x)
-            rest[x] -= 1
-            space -= x
-        full.append(tuple(sorted(more, reverse=True)))
-    return sorted(dict.fromkeys(full), key=lambda f: (-sum(f), tuple(-x for x in f)))[:width]
-
-
-def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, width: int = 3, nodes: int = 3000) -> Plan:
+        if room <= most_waste:
+            yield ()
+        return
+    key = have.tobytes() + room.to_bytes(4, "little")
+    if key not in sums:
+        every, reach = (1 << room + 1) - 1, 1
+        for x in have.tolist():
+            step = x
+            while step <= room:  # any number of x
+                reach |= reach << step & every
+                step *= 2
+        sums[key] = np.array(list(bin(reach)[:1:-1].ljust(room + 1, "0"))) == "1"
+    reachable, left, number = sums[key], _bits(have), counts.tolist()
+    for total in range(room, max(room - most_waste, 1) - 1, -1):
+        if not reachable[total]:
+            continue
+        items: list[int] = []
+        open_: list[Iterator[int]] = []
+
+        def choices(rest: int, most: int) -> Iterator[int]:
+            fit = have[: np.searchsorted(have, min(rest, most), side="right")]
+            return iter(fit[reachable[rest - fit]][::-1].tolist())
+
+        open_.append(choices(total, total))
+        rest = total
+        while open_:
+            spend()
+            x = next(open_[-1], None)
+            if x is None:
+                open_.pop()
+                if items:
+                    rest += items.pop()
+                continue
+            if items.count(x) >= number[x]:
+                continue
+            items.append(x)
+            rest -= x
+            if rest:
+                open_.append(choices(rest, x))
+                continue
+            spare = left & ~_bits(y for y in set(items) if items.count(y) >= number[y])
+            if not dominated(tuple(items), spare, room - total):
+                yield tuple(items)
+            rest += items.pop()
+
+
+class _Spent(Exception):
+    """The steps of a search are used up."""
+
+
+def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, steps: int | None = None) -> Plan:
     """Patterns of lengths and how many sequences use each.
 
-    ``nodes`` bounds the search, not the result: every piece is placed, and the
-    best plan found so far stands.
+    The largest piece is completed by each undominated filling in turn, for as many
+    sequences as it can serve and for one.  Passes allow 0, 1, 2, ... departures
+    from the first choice; a pass that leaves nothing out proves its plan best.
+    ``steps`` (by default 200,000 and a hundred for every length) bounds the search,
+    not the result: every piece is placed, and the best plan found so far stands.
     """
     counts = counts.astype(np.int64).copy()
     counts[0] = 0
     total = int((counts * np.arange(len(counts))).sum())
     best = best_fit(counts, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    if fewest <= bound:
-        return best
-    stack: list[tuple[np.ndarray, Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and nodes and fewest > bound:
-        nodes -= 1
-        left, plan, used, waste = stack.pop()
-        if waste > (fewest - 1) * capacity - total:
-            continue
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
-            if used < fewest:
-                fewest, best = used, plan
-            continue
-        largest = int(lengths[-1])
+    steps = steps or 200_000 + 100 * int(np.count_nonzero(counts))
+    sums: dict[bytes, np.ndarray] = {}
+
+    def spend() -> None:
+        nonlocal steps
+        steps -= 1
+        if steps < 0:
+            raise _Spent
+
+    def children(left: np.ndarray, slack: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        largest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[largest] -= 1
-        for filling in reversed(fillings(rest, capacity - largest, width)):
+        for filling in fillings(rest, capacity - largest, slack, spend, sums):
             pattern = (largest, *filling)
             times = min(int(left[x]) // pattern.count(x) for x in set(pattern))
-            after = left.copy()
-            np.subtract.at(after, list(pattern), times)
-            stack.append((after, [*plan, (pattern, times)], used + times, waste + times * (capacity - sum(pattern))))
+            yield pattern, times
+            if times > 1:
+                yield pattern, 1
+
+    departures, cut = 0, True
+    try:
+        while cut and fewest > bound:
+            cut = False
+            # what is left, patterns so far, sequences, waste, departures allowed, choices
+            slack = (fewest - 1) * capacity - total
+            path: list[tuple[tuple[int, ...], int]] = []
+            stack = [[counts, 0, 0, departures, children(counts, slack)]]
+            while stack and fewest > bound:
+                left, used, waste, allowed, choices = stack[-1]
+                choice = next(choices, None)
+                if choice is None or allowed < 0:
+                    cut |= choice is not None
+                    stack.pop()
+                    if path:
+                        path.pop()
+                    continue
+                stack[-1][3] -= 1
+                pattern, times = choice
+                wasted = waste + times * (capacity - sum(pattern))
+                slack = (fewest - 1) * capacity - total - wasted
+                if slack < 0:
+                    stack[-1][3] += 1  # a choice that cannot win is no departure
+                    continue
+                after = left.copy()
+                np.subtract.at(after, list(pattern), times)
+                if after.any():
+                    path.append((pattern, times))
+                    stack.append([after, used + times, wasted, allowed, children(after, slack)])
+                elif used + times < fewest:
+                    fewest, best = used + times, [*path, (pattern, times)]
+            departures += 1
+    except _Spent:
+        pass
     return best
 
 

@@ -113,10 +113,36 @@ def test_plans_are_optimal_on_small_cases():
         assert packing.lower_bound(counts, 20) <= fewest(items, 20) == n, items
 
 
+def test_undominated_fillings():
+    """Against every multiset: a dominated one can swap pieces for one that is left."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pieces = rng.integers(1, 12, rng.integers(1, 9)).tolist()
+        counts, room = np.bincount(pieces, minlength=31), int(rng.integers(1, 20))
+        every = {tuple(sorted(c, reverse=True)) for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k) if sum(c) <= room}
+        want = set()
+        for c in every:
+            rest = counts - np.bincount(c, minlength=31) if c else counts
+            parts = [p for k in range(len(c) + 1) for p in itertools.combinations(c, k)]
+            better = any(rest[x] and sum(p) <= x <= sum(p) + room - sum(c) and not (len(p) == 1 and x == p[0]) for x in range(1, 12) for p in parts)
+            if not better:
+                want.add(c)
+        got = list(packing.fillings(counts, room, room, lambda: None, {}))
+        assert sorted(got) == sorted(want) and [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_plans_are_the_fewest_in_a_thousand_cases():
+    rng = np.random.default_rng(5)
+    for _ in range(1000):
+        items = rng.integers(3, 60, rng.integers(9, 14)).tolist()
+        counts = np.bincount(items, minlength=101)
+        assert check_plan(counts, packing.plan_sequences(counts, 100), 100) == fewest(sorted(items, reverse=True), 100), items
+
+
 def test_plan_of_many(spark):
     rng = np.random.default_rng(1)
     counts = np.bincount(np.minimum(rng.lognormal(6, 1, 100_000).astype(int) + 1, 2048), minlength=2049)
-    n = check_plan(counts, packing.plan_sequences(counts, nodes=200), 2048)
+    n = check_plan(counts, packing.plan_sequences(counts), 2048)
     assert n <= packing.lower_bound(counts, 2048) * 1.001
 
 
