@@ -14,6 +14,8 @@ documents.  Other columns are not touched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,40 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     return F.transform(F.flatten(F.transform(a, places)), lambda x: F.struct(x["section"], x["paragraph"]))
 
 
+def edits(a: Column, b: Column) -> Column:
+    """Array of (side, section, paragraph): where two trees differ, side ``a`` for
+    what only the first holds (removed), ``b`` for what only the second does (added).
+
+    Children are aligned by hash, so what moves or is shifted is no edit: sections
+    with an equal one in the other tree are left out whole, and of the others
+    only paragraphs that no unequal section of the other tree holds are reported.
+    Equal trees give an empty array; how often a paragraph repeats is no edit.
+    """
+    def nodes(tree: Column) -> Column:
+        hashed = F.transform(tree, lambda s: F.transform(s, lambda p: _hash("p", p)))
+        return F.transform(hashed, lambda ps, i: F.struct(i.alias("section"), _hash("s", ps).alias("hash"), ps.alias("paragraphs")))
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:  # one evaluation, however often ``use`` names it
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def among(items: Column, hashes: Column) -> Column:
+        return once(F.struct(items.alias("items"), hashes.alias("hashes")),
+                    lambda t: F.filter(t["items"], lambda x: F.array_contains(t["hashes"], x["hash"])))
+
+    def unequal(own: Column, other: Column) -> Column:
+        return among(own, F.array_except(own["hash"], other["hash"]))
+
+    def places(own: Column, other: Column, side: str) -> Column:
+        every = F.flatten(F.transform(own, lambda s: F.transform(s["paragraphs"], lambda p, j: F.struct(
+            F.lit(side).alias("side"), s["section"].alias("section"), j.alias("paragraph"), p.alias("hash")))))
+        found = among(every, F.array_except(F.flatten(own["paragraphs"]), F.flatten(other["paragraphs"])))
+        return F.transform(found, lambda x: F.struct(x["side"].alias("side"), x["section"].alias("section"), x["paragraph"].alias("paragraph")))
+
+    both = F.struct(nodes(a).alias("a"), nodes(b).alias("b"))
+    left = lambda t: F.struct(unequal(t["a"], t["b"]).alias("a"), unequal(t["b"], t["a"]).alias("b"))
+    return once(once(both, left), lambda t: F.concat(places(t["a"], t["b"], "a"), places(t["b"], t["a"], "b")))
+
+
 def with_next_text(docs: DataFrame, bucket_rows: int = 1000, ranges: int = 1024) -> DataFrame:
     """(doc_id, text, next_text) in descending order of doc_id, the last followed
     by the first.

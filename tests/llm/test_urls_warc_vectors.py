@@ -125,6 +125,22 @@ def test_differing_paragraphs(spark):
     assert [tuple(p) for p in got.x] == [(0, 1)] and [tuple(p) for p in got.y] == [(0, 1), (1, 0)]
 
 
+def test_edits_are_aligned_by_hash(spark):
+    cases = [
+        ("one\ntwo\nthree\n\nfour", "one\nnew\ntwo\nthree\n\nfour", [("b", 0, 1)]),  # an inserted line
+        ("one\ntwo\nthree", "one\nthree", [("a", 0, 1)]),  # a line taken out
+        ("one\ntwo", "one\ntwo!", [("a", 0, 1), ("b", 0, 1)]),  # a changed line
+        ("s\nt\n\nu\n\nv", "v\n\ns\nt\n\nu", []),  # moved sections
+        ("s\n\nu", "s\n\nnew\nlines\n\nu", [("b", 1, 0), ("b", 1, 1)]),  # an inserted section
+        ("same", "same", []), ("", "", []), ("", "x", [("a", 0, 0), ("b", 0, 0)]),
+        ("r\nr\nq", "r\nq", []),  # repeats
+        ("\n".join(f"line {i}" for i in range(20_000)), "\n".join(f"line {i}" for i in range(20_000) if i != 7_000), [("a", 0, 7_000)]),
+    ]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = rows.select("i", fingerprints.edits(fingerprints.branches(F.col("a")), fingerprints.branches(F.col("b"))).alias("e")).collect()
+    assert {r.i: [tuple(x) for x in r.e] for r in got} == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
 def best_cut(v, text):
     best = [(0.0, [])]
     for end in range(1, len(text) + 1):
