@@ -22,6 +22,8 @@ OPERATION_TIMEOUT = 300
 PROPOSAL_SECONDS = 30
 COOLDOWN = 300
 NODES = 3
+#: A span of seconds that no key outgrows on either side of 1970.
+AGE = 1 << 40
 #: Lines of one row of a long text.
 PART_LINES = 1000
 
@@ -297,15 +299,17 @@ def _cooldown_map(t: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def apply_cooldown(
-    candidates: DataFrame, keys: list[str], ts: str, tie_break: list[str], seconds: int = COOLDOWN, chunk_seconds: int = DAY, rows: int = 100_000
+    candidates: DataFrame, keys: list[str], ts: str, tie_break: list[str], seconds: int = COOLDOWN, chunk_seconds: int = AGE, rows: int = 100_000
 ) -> DataFrame:
     """Mark the candidates applied when each applied one silences its key for ``seconds``.
 
     Of the candidates of an instant only the first by ``tie_break`` may be applied;
-    rows that agree in both share their mark.  The instants of a key are cut into chunks of about ``rows``; each chunk becomes a map
-    from the last action before it to the last action in it, the maps of a key are
-    chained in order by a task that holds one of them at a time, and every chunk is
-    then replayed from its own entry.
+    rows that agree in both share their mark.  A key of up to ``rows`` instants in
+    ``chunk_seconds`` is one chunk, larger ones are cut into chunks of about ``rows``.
+    Tasks stream sorted chunks, so small keys cost no call of their own.  Where a key
+    has several chunks, each becomes a map from the last action before it to the last
+    action in it, the maps of a key are chained in order by a task that holds one of
+    them at a time, and every chunk is then replayed from its own entry.
     """
     marked = candidates.select(*keys, ts, *tie_break)
     if seconds <= 0:
@@ -313,17 +317,45 @@ def apply_cooldown(
     cooldown = seconds * MICROS
     tie = F.struct(F.lit(0), *tie_break)
     first = F.min(tie).alias("_first")
-    instants = ordered_chunks(marked.groupBy(*keys, ts).agg(first), keys, ts, [], chunk_seconds, rows)
+    known = marked
+    for c in (*keys, ts):  # rows without meet no instant in the end
+        known = known.filter(F.col(c).isNotNull())
+    instants = ordered_chunks(known.groupBy(*keys, ts).agg(first), keys, ts, [], chunk_seconds, rows)
     cut = isinstance(instants.schema[CHUNK].dataType, T.StructType)
-    span, part = (F.col(f"{CHUNK}.span"), F.col(f"{CHUNK}.part")) if cut else (F.col(CHUNK), F.lit(0))
+    several = cut or chunk_seconds < AGE  # chunks of a key
+    span, part = (F.col(f"{CHUNK}.span"), F.col(f"{CHUNK}.part")) if cut else (F.col(CHUNK) if several else F.lit(0), F.lit(0))
     instants = instants.select(*keys, span.alias("_span"), part.alias("_part"), ts, "_first", micros(ts).alias("_t"))
     chunk = [*keys, "_span", "_part"]
     kinds = {f.name: f.dataType.simpleString() for f in instants.schema}
     named = ", ".join(f"`{c}` {kinds[c]}" for c in chunk)
 
-    def shorten(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts, exits = _cooldown_map(np.sort(pdf["_t"].to_numpy()), cooldown)
-        return pdf.iloc[:1][chunk].assign(_starts=[starts], _exits=[exits])
+    def runs(pdf: pd.DataFrame) -> np.ndarray:
+        """Bounds of the rows that share a chunk."""
+        new = np.zeros(len(pdf), bool)
+        for c in chunk:
+            new[1:] |= pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]
+        return np.concatenate([[0], np.flatnonzero(new), [len(pdf)]])
+
+    def shorten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the chunk that the next frame may continue
+        for pdf in frames:
+            bounds = runs(pdf)
+            heads = list(pdf.iloc[bounds[:-1]][chunk].itertuples(index=False, name=None))
+            if held and next(held[0].iloc[:1][chunk].itertuples(index=False, name=None)) != heads[0]:
+                yield maps_of(held)
+                held = []
+            if len(heads) > 1:
+                yield maps_of([*held, pdf.iloc[: bounds[-2]]])
+                held = []
+            held.append(pdf.iloc[bounds[-2] :])
+        if held:
+            yield maps_of(held)
+
+    def maps_of(whole: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(whole, ignore_index=True)
+        bounds, t = runs(pdf), pdf["_t"].to_numpy()
+        found = [_cooldown_map(t[a:b], cooldown) for a, b in zip(bounds[:-1], bounds[1:])]
+        return pdf.iloc[bounds[:-1]][chunk].assign(_starts=[s for s, _ in found], _exits=[e for _, e in found])
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = last = None
@@ -336,19 +368,33 @@ def apply_cooldown(
                 last = int(exits[i]) if i < len(starts) else last
             yield pdf[chunk].assign(_entry=pd.array(entries, dtype="Int64"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        t, entry = pdf["_t"].to_numpy(), pdf["_entry"].iat[0]
-        applied = np.zeros(len(t), bool)
-        i = 0 if pd.isna(entry) else int(np.searchsorted(t, int(entry) + cooldown))
-        while i < len(t):
-            applied[i] = True
-            i = int(np.searchsorted(t, t[i] + cooldown))
-        return pdf[[*keys, "_t"]].assign(_go=applied)
-
-    maps = instants.select(*chunk, "_t").groupBy(*chunk).applyInPandas(shorten, f"{named}, _starts array<bigint>, _exits array<bigint>")
-    entries = maps.repartition(*keys).sortWithinPartitions(*chunk).mapInPandas(chain, f"{named}, _entry bigint")
-    replayed = instants.select(*chunk, "_t").join(entries, chunk).groupBy(*chunk).applyInPandas(
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = free = None  # the chunk at hand and the first instant that may go
+        for pdf in frames:
+            bounds, t = runs(pdf), pdf["_t"].to_numpy()
+            heads = pdf.iloc[bounds[:-1]][chunk].itertuples(index=False, name=None)
+            entries = pdf["_entry"].iloc[bounds[:-1]]
+            applied = np.zeros(len(t), bool)
+            for head, entry, a, b in zip(heads, entries, bounds[:-1], bounds[1:]):
+                if head != own:
+                    own, free = head, (None if pd.isna(entry) else int(entry) + cooldown)
+                i = a if free is None else a + int(np.searchsorted(t[a:b], free))
+                while i < b:
+                    applied[i], free = True, int(t[i]) + cooldown
+                    i = a + int(np.searchsorted(t[a:b], free))
+            yield pdf[[*keys, "_t"]].assign(_go=applied)
+
+    def in_runs(df: DataFrame) -> DataFrame:
+        return df.repartition(*chunk).sortWithinPartitions(*chunk, "_t")
+
+    entered = instants.select(*chunk, "_t")
+    if several:
+        maps = in_runs(entered).mapInPandas(shorten, f"{named}, _starts array<bigint>, _exits array<bigint>")
+        entries = maps.repartition(*keys).sortWithinPartitions(*chunk).mapInPandas(chain, f"{named}, _entry bigint")
+        entered = entered.join(entries, chunk)
+    else:
+        entered = entered.withColumn("_entry", F.lit(None).cast("bigint"))
+    replayed = in_runs(entered.select(*chunk, "_t", F.col("_entry").cast("string"))).mapInPandas(
         replay, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _t bigint, _go boolean"
     )
     going = instants.select(*keys, ts, "_first", "_t").join(replayed, [*keys, "_t"]).drop("_t")

@@ -242,3 +242,18 @@ def test_both_forms_of_the_trailing_percentile_agree(minute):
     two = thresholds.trailing_percentile(points, ["key"], "pct", window_seconds=30, task_rows=200)
     a, b = by_id(one, "percentile_value"), by_id(two, "percentile_value")
     assert one.columns == two.columns and len(a) == len(b) == len(pdf) and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_cooldown_of_many_small_keys(spark):
+    """Keys on both sides of 1970, some cut: no call per key, each its own fold."""
+    rnd = random.Random(7)
+    rows = [(k, i, rnd.randrange(-400, 400)) for i, k in enumerate([rnd.randrange(600) for _ in range(3000)] + [1000] * 500)]
+    df = spark.createDataFrame(rows + [(None, 9000, 5), (3, 9001, None)], "key long, id long, s long").selectExpr("key", "id", "timestamp_seconds(s * 86400) AS ts")
+    for size in (100_000, 40):
+        out = oplog.apply_cooldown(df, ["key"], "ts", ["id"], 30 * 86_400, rows=size)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        want, last = {}, {}
+        for k, i, s in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+            want[i] = k not in last or s - last[k] >= 30
+            last[k] = s if want[i] else last[k]
+        assert {r["id"]: r["applied"] for r in out.collect()} == want
