@@ -257,3 +257,16 @@ def test_cooldown_of_many_small_keys(spark):
             want[i] = k not in last or s - last[k] >= 30
             last[k] = s if want[i] else last[k]
         assert {r["id"]: r["applied"] for r in out.collect()} == want
+
+
+def test_small_keys_are_ordered_whole(spark):
+    """No shuffle beside the one by key, and what chunks would give: nulls included."""
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(40) or None, i, rnd.randrange(9) * 40_000 or None, rnd.choice([None, 1, 2, 5])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key long, id long, s long, v long").selectExpr("key", "id", "timestamp_seconds(s) AS ts", "v")
+    ask = {"position": "place", "sums": {"total": F.col("v")}, "previous": {"had": "v"}}
+    whole = in_order(df.repartition("key"), ["key"], "ts", ["id"], **ask)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    cut = in_order(df, ["key"], "ts", ["id"], rows=100, **ask)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.select(whole.columns).collect()))
