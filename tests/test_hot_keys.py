@@ -1,6 +1,7 @@
 """Helpers that split hot keys, against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -270,3 +271,22 @@ def test_small_keys_are_ordered_whole(spark):
     assert plan.count("Exchange") == 1
     cut = in_order(df, ["key"], "ts", ["id"], rows=100, **ask)
     assert sorted(map(str, whole.collect())) == sorted(map(str, cut.select(whole.columns).collect()))
+
+
+def test_similarity_blocks_hold_one_tile_of_cosines():
+    """Two blocks of 4,096 rows: the whole table of cosines would be 134 MB."""
+    rows = np.random.default_rng(5).normal(size=(4096, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    sims = np.round(rows @ rows.T, 12)
+    np.fill_diagonal(sims, -2.0)
+    best, some = sims.argmax(axis=1), np.nonzero(sims >= 0.95)
+    del sims
+    index = np.arange(len(rows))
+    tracemalloc.start()
+    at, top = similarity.best_rows(rows, rows, lambda part: index[part, None] == index[None, :])
+    i, j, close = similarity.close_rows(rows, rows, 0.95, lambda a, b: a != b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert (at == best).all() and (close >= 0.95).all()
+    assert (i == some[0]).all() and (j == some[1]).all()
