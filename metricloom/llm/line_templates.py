@@ -121,10 +121,9 @@ def drop_recurring_lines(docs: DataFrame, **how) -> DataFrame:
     packed = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), *_text_key("text"))
     joined = packed.join(drops, KEY, "left")
     text, cut = F.col("row.text"), F.col("row.text").isNotNull() & F.col("places").isNotNull()
-    gone = F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1)
-    kept = F.array_except(gone, F.col("places"))
-    lines = F.split(text, "\n")
-    cleaned = F.when(cut, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(text)
+    # the text is split once; a line does not split it again
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("places", i))
+    cleaned = F.when(cut, F.array_join(kept, "\n")).otherwise(text)
     columns = []
     for f in rest.schema:
         if f.name == "text":

@@ -243,3 +243,14 @@ def test_pipeline(spark):
     assert out.groupby("sequence_id").length.sum().max() <= 2048 and len(set(out.doc_id)) > docs.count() / 2
     assert len(set(good.doc_id) & set(out.doc_id)) <= 0.1 * len(good)
     assert docs.filter(F.col("doc_id").isin([int(i) for i in set(out.doc_id)])).count() == out.doc_id.nunique()
+
+
+def test_dropping_lines_splits_a_text_once(spark):
+    """A split inside the loop over lines would be made again for every line kept."""
+    rows = [(i, f"own{chr(97 + i)} words of text {chr(97 + i)}\nAll rights reserved by us here.\nfor {chr(97 + i)} ever and {chr(98 + i)}", "en", "s", 0) for i in range(6)]
+    out = drop_recurring_lines(spark.createDataFrame(rows, DOCS))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    cleaned = plan[plan.index("array_join(") :]
+    assert cleaned[: cleaned.index(" AS text")].count("split(") == 1
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if "reserved" not in x) for i, t, *_ in rows}
