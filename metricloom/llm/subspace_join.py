@@ -3,11 +3,15 @@
 Unit vectors at a cosine of ``c`` lie at a squared distance of 2 - 2c.  A fixed
 rotation spreads that distance over all axes; the axes are cut into blocks, and a
 linked pair must stay within a block's proportional share of the distance in one
-block at least.  So every block is range-joined under its own budget: vectors are
-dealt into cells along the block's leading axes, and visit the neighbour cells
-that the budget reaches.  A pair counts in its first block within budget, there it
-is verified exactly in double precision, so no pair is counted twice and none has
-to be emitted: a task returns link counts and a spanning forest.
+block at least.  So every block is range-joined under its own budget: vectors lie in
+cells along the block's leading axes, and visit the neighbour cells that the budget
+reaches.  A pair counts in its first block within budget, there it is verified exactly
+in double precision, so no pair is counted twice and none has to be emitted: a task
+returns link counts and a spanning forest.
+
+The vectors are dealt into parts of bounded size by hash, and two parts meet in one
+task, which joins all blocks: a vector moves once for each part, not for each cell, and
+is rotated where it is compared.
 
 Defined cases: equal vectors are one node with a multiplicity before anything is
 joined; nodes have numbers of their own, ids only name the components.  Vectors that
@@ -35,6 +39,8 @@ from metricloom.session import cut_lineage
 
 SLACK = 1e-5  # of the squared distance, for single-precision rotated values
 AXES, BLOCK_SIZE = 2, 8
+#: Vectors are spread over this many parts before parts grow, if they have as many rows.
+PARTS, SPREAD_ROWS = 8, 4096
 FOUND = "a long, b long, links long"
 
 
@@ -61,49 +67,18 @@ def budgets(size: int, cosine: float) -> np.ndarray:
     return (2 - 2 * cosine + SLACK) * share
 
 
-def _deal(batches: Iterator[pa.RecordBatch], cosine: float, single: bool, cells_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (size, block, cell, visit, node, mult, vector, rotated) of each vector;
-    ``single`` keeps single-precision components in four bytes."""
+def _pack(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (size, node, mult, vector); ``single`` keeps single-precision components in four bytes."""
     for batch in batches:
         values = batch.column("embedding")
         sizes = values.value_lengths().to_numpy()
-        flat = values.flatten().to_numpy()
+        flat = values.flatten().to_numpy().astype(np.float32 if single else np.float64)
         ends = np.cumsum(sizes)
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            x = flat[(ends[rows] - size)[:, None] + np.arange(size)]
-            unit = scaled(x.astype(np.float64))
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            turned = (unit @ rotation(int(size))).astype(np.float32)
-            node, mult = (batch.column(c).to_numpy()[rows] for c in ("node", "mult"))
-            own = [] if cells_only else [v.tobytes() for v in np.ascontiguousarray(x, np.float32 if single else np.float64)]
-            seen = [] if cells_only else [v.tobytes() for v in turned]
-            for k, (b, budget) in enumerate(zip(blocks_of(int(size)), budgets(int(size), cosine))):
-                lead = turned[:, b][:, :AXES].astype(np.float64)
-                reach, width = np.sqrt(budget), 2 * np.sqrt(budget)
-                home = np.floor(lead / width).astype(np.int64)
-                low, high = np.floor((lead - reach) / width).astype(np.int64), np.floor((lead + reach) / width).astype(np.int64)
-                ranges = [(0,)] * (AXES - lead.shape[1]) + [(-1, 0, 1)] * lead.shape[1]
-                for step in np.array(np.meshgrid(*ranges, indexing="ij")).reshape(AXES, -1).T[:, AXES - lead.shape[1] :]:
-                    visit = bool(step.any())
-                    if visit and tuple(step) < (0,) * len(step):
-                        continue  # a pair of cells is met in the later one only
-                    cell = home + step
-                    r = np.flatnonzero(((cell >= low) & (cell <= high)).all(axis=1)) if visit else np.arange(len(rows))
-                    code = np.zeros(len(r), np.int64)
-                    for axis in cell[r].T:
-                        code = code * 100_003 + axis
-                    where = [pa.array(np.full(len(r), size, np.int32)), pa.array(np.full(len(r), k, np.int32)), pa.array(code), pa.array(np.full(len(r), visit))]
-                    if cells_only:
-                        yield pa.RecordBatch.from_arrays(where, ["size", "block", "cell", "visit"])
-                        continue
-                    yield pa.RecordBatch.from_arrays([
-                        *where, pa.array(node[r]), pa.array(mult[r]), pa.array([own[i] for i in r], pa.binary()), pa.array([seen[i] for i in r], pa.binary()),
-                    ], ["size", "block", "cell", "visit", "node", "mult", "vector", "rotated"])
-
-
-CELLS = "size int, block int, cell long, visit boolean"
-DEALT = CELLS + ", node long, mult long, vector binary, rotated binary"
+        own = pa.array([flat[end - size : end].tobytes() for size, end in zip(sizes, ends)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), batch.column("node"), batch.column("mult"), own], ["size", "node", "mult", "vector"])
+
+
+PACKED = "size int, node long, mult long, vector binary"
 
 
 class Forest:
@@ -125,47 +100,76 @@ class Forest:
             self.edges.append((i, j))
 
 
-def _join_cell(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -> pa.Table:
-    """Links of one part of a cell, or between two parts: visitors meet homes only."""
-    size, k = table.column("size")[0].as_py(), table.column("block")[0].as_py()
-    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    node, mult, side, visit = (table.column(c).to_numpy() for c in ("node", "mult", "side", "visit"))
-    visit = visit.astype(bool)
+def cell_code(cells: np.ndarray) -> np.ndarray:
+    code = np.zeros(len(cells), np.int64)
+    for axis in cells.T:
+        code = code * 100_003 + axis
+    return code
+
+
+def _join_parts(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -> pa.Table:
+    """Links inside one part, or between two parts."""
+    size, lo, hi = (table.column(c)[0].as_py() for c in ("size", "lo", "hi"))
+    node, mult, side = (table.column(c).to_numpy() for c in ("node", "mult", "side"))
     vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32 if single else np.float64).reshape(-1, size).astype(np.float64)
     vectors = scaled(vectors)
-    turned = np.frombuffer(b"".join(table.column("rotated").to_pylist()), np.float32).reshape(-1, size)
     norm = np.sqrt((vectors * vectors).sum(axis=1))
+    turned = ((vectors / norm[:, None]) @ rotation(size)).astype(np.float32)
     cuts, budget = blocks_of(size), budgets(size, cosine)
-    part = np.ascontiguousarray(turned[:, cuts[k]])
-    square, ones = (part * part).sum(axis=1)[:, None], np.ones((len(node), 1), np.float32)
-    # the product of these rows is a squared distance
-    left_rows, right_rows = np.hstack([-2 * part, square, ones]), np.hstack([part, ones, square])
-    along = part[:, min(AXES, part.shape[1] - 1)]  # sorted by an axis that the cells leave open
-    reach = np.float32(np.sqrt(budget[k] + SLACK)) + np.float32(1e-6)
+    least = np.float32(cosine - 1e-4 - 2e-7 * size)  # of a single-precision cosine
+    left_side, right_side = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
     links, forest = np.zeros(len(node), np.int64), Forest(len(node))
 
-    def meet(left: np.ndarray, right: np.ndarray, once: bool) -> None:
-        """Compare rows ``left`` with ``right``; ``once``: they are the same rows."""
-        left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
-        place = along[right]
-        right_side = right_rows[right]
+    def join_block(k: int) -> None:
+        """Rows of the left side visit the cells of the right side that the budget reaches."""
+        part = np.ascontiguousarray(turned[:, cuts[k]])
+        square, ones = (part * part).sum(axis=1)[:, None], np.ones((len(node), 1), np.float32)
+        # the product of these rows is a squared distance
+        left_rows, right_rows = np.hstack([-2 * part, square, ones]), np.hstack([part, ones, square])
+        along = part[:, min(AXES, part.shape[1] - 1)]  # sorted by an axis that the cells leave open
+        lead = part[:, :AXES].astype(np.float64)
+        reach = np.sqrt(budget[k]) + 1e-9
+        home, low, high = (np.floor((lead + by) / (2 * reach)).astype(np.int64) for by in (0, -reach, reach))
+        visitors, visited = [], []
+        for step in np.array(np.meshgrid(*[(-1, 0, 1)] * lead.shape[1], indexing="ij")).reshape(lead.shape[1], -1).T:
+            cell = home[left_side] + step
+            r = ((cell >= low[left_side]) & (cell <= high[left_side])).all(axis=1)
+            visitors.append(left_side[r])
+            visited.append(cell_code(cell[r]))
+        left, code = np.concatenate(visitors), np.concatenate(visited)
+        order = np.lexsort((along[left], code))
+        left, code = left[order], code[order]
+        at_home = cell_code(home[right_side])
+        order = np.lexsort((along[right_side], at_home))
+        right, at_home = right_side[order], at_home[order]
+        for cell in np.unique(at_home):
+            i, j = (slice(*np.searchsorted(c, [cell, cell + 1])) for c in (code, at_home))
+            meet(k, left[i], right[j], along, left_rows, right_rows)
+
+    def meet(k: int, left: np.ndarray, right: np.ndarray, along: np.ndarray, left_rows: np.ndarray, right_rows: np.ndarray) -> None:
+        """Compare rows ``left`` with rows ``right``, both sorted by ``along``."""
+        reach = np.float32(np.sqrt(budget[k] + SLACK)) + np.float32(1e-6)
+        place, facing = along[right], right_rows[right]
         for a in range(0, len(left), tile):
             i = left[a : a + tile]
             start = int(np.searchsorted(place, along[i[0]] - reach))
             stop = int(np.searchsorted(place, along[i[-1]] + reach, side="right"))
-            for b in range(max(start, a) if once else start, stop, 4 * tile):
+            for b in range(start, stop, 4 * tile):
                 j = right[b : min(stop, b + 4 * tile)]
-                near = left_rows[i] @ right_side[b : b + len(j)].T <= np.float32(budget[k] + SLACK)
-                if once and b < a + len(i):
-                    near &= np.arange(a, a + len(i))[:, None] < np.arange(b, b + len(j))[None, :]
-                hits = np.flatnonzero(near)
+                hits = np.flatnonzero(left_rows[i] @ facing[b : b + len(j)].T <= np.float32(budget[k] + SLACK))
                 for at in range(0, len(hits), 1 << 15):
                     x, y = np.divmod(hits[at : at + (1 << 15)], len(j))
-                    verify(i[x], j[y])
+                    verify(k, i[x], j[y])
 
-    def verify(p: np.ndarray, q: np.ndarray) -> None:
+    def verify(k: int, p: np.ndarray, q: np.ndarray) -> None:
         """Count a pair in the first block that holds it, if it is a link."""
-        gaps = np.stack([((turned[p][:, c].astype(np.float64) - turned[q][:, c]) ** 2).sum(axis=1) for c in cuts[: k + 1]], axis=1)
+        if lo == hi:  # a pair comes in both orders
+            once = p < q
+            p, q = p[once], q[once]
+        likely = np.einsum("ij,ij->i", turned[p], turned[q]) >= least
+        p, q = p[likely], q[likely]
+        apart = turned[p].astype(np.float64) - turned[q]
+        gaps = np.stack([(apart[:, c] ** 2).sum(axis=1) for c in cuts[: k + 1]], axis=1)
         first = (gaps[:, k] <= budget[k]) & ~(gaps[:, :k] <= budget[:k]).any(axis=1)
         p, q = p[first], q[first]
         good = np.einsum("ij,ij->i", vectors[p], vectors[q]) >= cosine * (norm[p] * norm[q])
@@ -175,14 +179,8 @@ def _join_cell(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -
         for u, v in zip(p, q):
             forest.join(u, v)
 
-    if lo == hi:
-        homes = np.flatnonzero(~visit)
-        meet(homes, homes, True)
-        meet(homes, np.flatnonzero(visit), False)
-    else:
-        low, high = side == lo, side == hi
-        meet(np.flatnonzero(low & ~visit), np.flatnonzero(high), False)
-        meet(np.flatnonzero(low & visit), np.flatnonzero(high & ~visit), False)
+    for k in range(len(cuts)):
+        join_block(k)
     linked = np.flatnonzero(links)
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     a = np.concatenate([node[linked], node[edges[:, 0]]])
@@ -191,11 +189,22 @@ def _join_cell(table: pa.Table, cosine: float, single: bool, tile: int = 1024) -
     return pa.table({"a": pa.array(a), "b": pa.array(b), "links": pa.array(n)})
 
 
-def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 32_768) -> DataFrame:
+def part_pairs(nodes: DataFrame, single: bool, part_rows: int) -> DataFrame:
+    """Every vector once for each part of its size, with the two parts that meet: ``lo`` and ``hi``, its own in ``side``."""
+    size = F.size("embedding").alias("size")
+    many = F.greatest(F.ceil(F.col("n") / part_rows), F.least(F.lit(PARTS), F.ceil(F.col("n") / SPREAD_ROWS))).cast("int")
+    parts = cut_lineage(nodes.groupBy(size).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", many.alias("parts")))
+    packed = nodes.select("node", "mult", "embedding").mapInArrow(lambda b: _pack(b, single), PACKED)
+    spread = packed.join(small_or_merge(parts, parts.count(), 16, 8 << 20), "size")
+    spread = spread.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("parts", "other")
+
+
+def vector_links(vectors: DataFrame, cosine: float = 0.9, part_rows: int = 32_768) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): n_links, component_id, kept.
 
-    A cell with more than ``cell_rows`` rows is cut into parts by hash and joined
-    part by part, so a task holds two parts at most.
+    The vectors of a size are cut by hash into parts of about ``part_rows`` rows, or
+    of fewer rows while there are under ``PARTS``; a task holds two parts at most.
     """
     key = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -207,17 +216,8 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 32_76
     if nodes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
-    even = nodes.select("node", "mult", "embedding").repartition("node")
-    cell = ["size", "block", "cell"]
-    # the cells are dealt twice, first by name alone: vectors move once
-    named_cells = even.mapInArrow(lambda b: _deal(b, cosine, single, True), CELLS)
-    sizes = named_cells.groupBy(*cell).agg(F.count(F.when(~F.col("visit"), 1)).alias("homes"), F.count(F.lit(1)).alias("n"))
-    parts = cut_lineage(sizes.filter("homes > 0 and n > 1").select(*cell, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
-    dealt = even.mapInArrow(lambda b: _deal(b, cosine, single, False), DEALT)
-    spread = dealt.join(small_or_merge(parts, parts.count(), 32, 8 << 20), cell)
-    spread = spread.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("parts", "other")
-    found = cut_lineage(spread.groupBy(*cell, "lo", "hi").applyInArrow(lambda t: _join_cell(t, cosine, single), FOUND))
+    spread = part_pairs(nodes, single, part_rows)
+    found = cut_lineage(spread.groupBy("size", "lo", "hi").applyInArrow(lambda t: _join_parts(t, cosine, single), FOUND))
     counts = cut_lineage(found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")))
     roots = connected_components(found.filter("links = 0 and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     # only now do ids come in: the smallest of a component names it

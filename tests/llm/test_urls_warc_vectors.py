@@ -241,3 +241,14 @@ def test_unlike_vectors_under_one_id(spark):
     rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.1, 0.0]), (8, [1.0, 0.0, 0.1]), (3, [0.0, 1.0, 0.1]), (3, [0.0, 0.0, 1.0])]
     out = subspace_join.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(3, 0, 3), (3, 1, 3), (5, 1, 3), (5, 2, 5), (7, 2, 5), (8, 2, 5)]
+
+
+@pytest.mark.parametrize("n, part_rows, copies", [(600, 32_768, 1), (600, 100, 6), (9000, 32_768, 3)])
+def test_a_vector_moves_once_for_each_part(spark, n, part_rows, copies):
+    """Neither the number of cells that a vector visits nor the blocks multiply what is shuffled."""
+    rng = np.random.default_rng(n)
+    nodes = spark.createDataFrame([(i, 1, rng.normal(size=64).tolist()) for i in range(n)], "node long, mult long, embedding array<double>")
+    dealt = subspace_join.part_pairs(nodes, True, part_rows)
+    got = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("vector")).alias("bytes")).agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.max("bytes")).first()
+    assert tuple(got) == (n, copies, copies, 256)
+    assert dealt.groupBy("lo", "hi").count().count() == copies * (copies + 1) // 2
