@@ -32,6 +32,7 @@ from metricloom.llm.tokens import encoder
 from metricloom.session import cut_lineage
 
 CAPACITY = 2048
+ENCODE_BYTES = 1 << 20  # text that a task encodes at a time
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -42,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, size=ENCODE_BYTES):
                 ids, bounds = encode.encode(texts)
                 rows = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):

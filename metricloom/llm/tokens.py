@@ -24,7 +24,7 @@ class WordCache:
     """Ids of words, computed once while they fit into ``cache_words``; that bounds
     a worker's memory, not the result."""
 
-    cache_words = 500_000
+    cache_words = 250_000
 
     def __init__(self):
         self._forget()
@@ -56,7 +56,7 @@ class WordCache:
 class WordEncoder(WordCache):
     """``encode(texts)`` equals the tokenizer's own ids for every text."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__()
