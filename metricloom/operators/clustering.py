@@ -2,22 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.operators.similarity import block_pairs
 from metricloom.session import cut_lineage
 
+#: Edges that a task folds into its forest at a time.
+FOREST_EDGES = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges, each as edges from its nodes to the smallest one."""
+    nodes, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = places[: len(u)], places[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    inner = root != np.arange(len(nodes))
+    return nodes[inner], nodes[root[inner]]
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) replaced, partition by partition, by as few that connect the same
+    nodes: a partition returns fewer rows than it has nodes, however many edges it reads."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += len(batch)
+            if size >= FOREST_EDGES:
+                held, size = [stars(*map(np.concatenate, zip(*held)))], 0
+        if held:
+            u, v = stars(*map(np.concatenate, zip(*held)))
+            for at in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 100_000]), pa.array(v[at : at + 100_000])], ["u", "v"])
+
+    wide = edges.filter("u <> v").select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
+    return wide.mapInArrow(fold, "u bigint, v bigint")
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node id of the component of every node: columns (node, root).
 
     Alternating star contraction (Kiveris et al., 2014): each round links nodes
     to the smallest known neighbour, so the rounds grow with the logarithm of
-    the diameter.  Minima are partial aggregates joined back; no neighbour list
+    the diameter.  A partition's edges are thinned to a forest before the first
+    shuffle, so the rounds carry few edges a node.  Minima are partial aggregates joined back; no neighbour list
     is collected.  Every round is a written table.
     """
     def both(e: DataFrame) -> DataFrame:
@@ -40,7 +85,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint")), F.min("v")).first()
 
-    current = settle(edges.select("u", "v"))
+    current = settle(spanning_forest(edges))
     seen = mark(current)
     while True:
         current = settle(small_star(large_star(current)))
@@ -185,18 +230,25 @@ def density_clusters(
     cores = marked.filter("core")
     boxes = cut_lineage(cores.groupBy("cell").agg(*_box(axes)))
     ends = (size, "lo", "hi", "o_lo", "o_hi")
+    # pairs of a dense region are many: they meet ids of cells, and only those that may still link two components meet boxes
+    near = pairs.filter("cell < other")
+    named_cores = boxes.select("cell")
+    whole_links = near.filter("inside").join(named_cores, "cell").join(named_cores.withColumnRenamed("cell", "other"), "other")
+    known = connected_components(whole_links.select(F.col("cell").alias("u"), F.col("other").alias("v")))
+    rooted = cut_lineage(named_cores.join(known.withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("root", "cell").alias("root")))
+    apart = (
+        near.filter(~F.col("inside")).join(rooted.withColumnRenamed("root", "_r"), "cell")
+        .join(rooted.select(F.col("cell").alias("other"), F.col("root").alias("_s")), "other").filter("_r <> _s").select("cell", "other")
+    )
     linked = cut_lineage(
-        pairs.filter("cell < other").select("cell", "other").join(boxes, "cell").join(_other(boxes, size), "other")
+        apart.join(boxes, "cell").join(_other(boxes, size), "other")
         .filter(_gap2(*ends) <= eps2).select("cell", "other", (_reach2(*ends) <= eps2).alias("sure"))
     )
     sure = linked.filter("sure").select(F.col("cell").alias("u"), F.col("other").alias("v"))
-    known = connected_components(sure)
-    root = lambda c, name: known.select(F.col("node").alias(c), F.col("root").alias(name))
-    open_pairs = (
-        linked.filter(~F.col("sure")).join(root("cell", "_r"), "cell", "left").join(root("other", "_s"), "other", "left")
-        .filter(F.coalesce("_r", "cell") != F.coalesce("_s", "other")).select("cell", "other")
+    open_pairs = linked.filter(~F.col("sure")).select("cell", "other")
+    roots = connected_components(
+        rooted.select(F.col("cell").alias("u"), F.col("root").alias("v")).unionByName(sure).unionByName(_touching(open_pairs, cores, boxes, size, eps2))
     )
-    roots = connected_components(sure.unionByName(_touching(open_pairs, cores, boxes, size, eps2)))
     # cells are named by their smallest point; a cluster by its smallest core point
     core_cells = cores.groupBy("cell").agg(F.min("rep").alias("lowest")).join(
         roots.withColumnRenamed("node", "cell"), "cell", "left"

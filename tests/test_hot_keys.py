@@ -290,3 +290,29 @@ def test_similarity_blocks_hold_one_tile_of_cosines():
     assert peak < 40e6
     assert (at == best).all() and (close >= 0.95).all()
     assert (i == some[0]).all() and (j == some[1]).all()
+
+
+def test_edges_of_a_partition_become_a_forest(spark):
+    """A dense graph of 60,000 edges over 300 nodes: no partition passes on more than a forest, in parts smaller than its edges."""
+    edges = [(i, j) for c in range(2) for i in range(c * 150, c * 150 + 150) for j in range(c * 150, c * 150 + 150)] + [(400, 400), (7, None), (None, None)]
+    df = spark.createDataFrame(edges * 2, "u bigint, v bigint").repartition(3)
+    before, clustering.FOREST_EDGES = clustering.FOREST_EDGES, 1000
+    try:
+        thin = clustering.spanning_forest(df).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    finally:
+        clustering.FOREST_EDGES = before
+    assert len(thin) <= 3 and all(r["count"] <= 298 for r in thin)
+    roots = {r["node"]: r["root"] for r in clustering.connected_components(df).collect()}
+    assert roots == {i: 0 if i < 150 else 150 for i in range(300)}
+
+
+def test_stars_against_a_plain_search():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (30, 20), (200, 150), (200, 400)):
+        u, v = rng.integers(0, n, m) * 7 - 50, rng.integers(0, n, m) * 7 - 50
+        low = {x: x for x in [*u, *v]}
+        for _ in range(len(low)):
+            for a, b in zip(u, v):
+                low[a] = low[b] = min(low[a], low[b])
+        got = dict(zip(*clustering.stars(u, v)))
+        assert got == {x: r for x, r in low.items() if x != r}
