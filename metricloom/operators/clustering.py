@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.operators.similarity import block_pairs
+from metricloom.operators.similarity import block_pairs, near_boxes
 from metricloom.session import cut_lineage
 
 #: Edges that a task folds into its forest at a time.
@@ -131,24 +131,24 @@ def _other(boxes: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _cell_pairs(cells: DataFrame, size: int, width: float, eps2: float, cell_columns: int) -> DataFrame:
+def _cell_pairs(cells: DataFrame, size: int, eps2: float, **blocks: int) -> DataFrame:
     """Ordered pairs of different cells whose boxes are within eps.
 
     ``inside`` tells that even their farthest points are within eps.
     """
-    boxes = cells.select("cell", *_names("lo", size), *_names("hi", size))
-    slots = _names("_g", cell_columns)
-    at = [F.floor(F.col(f"{p}lo{i}") / F.lit(width)).cast("bigint") for p in ("", "o_") for i in range(cell_columns)]
-    a = boxes.withColumns(dict(zip(slots, at[:cell_columns])))
-    b = _other(boxes, size).withColumns(dict(zip(slots, at[cell_columns:])))
-    for g in slots:
-        b = b.withColumn(g, F.explode(F.array(*[F.col(g) + d for d in (-1, 0, 1)])))
-    ends = (size, "lo", "hi", "o_lo", "o_hi")
-    return (
-        a.join(b, slots)
-        .filter((F.col("cell") != F.col("other")) & (_gap2(*ends) <= eps2))
-        .select("cell", "other", (_reach2(*ends) <= eps2).alias("inside"))
-    )
+    lo, hi = _names("lo", size), _names("hi", size)
+
+    def found(i: np.ndarray, j: np.ndarray, left: pd.DataFrame, right: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
+        reach = np.zeros(len(i))
+        for low, high in zip(lo, hi):
+            a, b = (left[c].to_numpy()[i] for c in (low, high))
+            c, d = (right[c].to_numpy()[j] for c in (low, high))
+            widest = np.maximum(d - a, b - c)
+            reach += widest * widest
+        out = pd.DataFrame({"cell": left["cell"].to_numpy()[i], "other": right["cell"].to_numpy()[j], "inside": reach <= eps2})
+        return out[out["cell"] != out["other"]]
+
+    return near_boxes(cells.select("cell", *lo, *hi), "cell", lo, hi, eps2, found, "cell bigint, other bigint, inside boolean", **blocks)
 
 
 def _touching(pairs: DataFrame, cores: DataFrame, boxes: DataFrame, size: int, eps2: float) -> DataFrame:
@@ -181,7 +181,7 @@ def _touching(pairs: DataFrame, cores: DataFrame, boxes: DataFrame, size: int, e
 
 
 def density_clusters(
-    points: DataFrame, key: str, columns: list[str], eps: float = 0.3, min_points: int = 5, cell_columns: int = 3
+    points: DataFrame, key: str, columns: list[str], eps: float = 0.3, min_points: int = 5
 ) -> DataFrame:
     """DBSCAN labels: (key, core, label); the label is the smallest core id, -1 is noise.
 
@@ -206,7 +206,7 @@ def density_clusters(
     base = cut_lineage(shaped.join(cells.select("fine", "cell", "cell_weight"), "fine").select(
         "rep", "weight", "cell", "cell_weight", *[F.col(c).alias(a) for c, a in zip(columns, axes)]
     ))
-    pairs = cut_lineage(_cell_pairs(cells, size, eps + side, eps2, min(cell_columns, size)))
+    pairs = cut_lineage(_cell_pairs(cells, size, eps2))
     light = base.filter(F.col("cell_weight") < min_points)
 
     def close(left: DataFrame, right: DataFrame) -> DataFrame:
